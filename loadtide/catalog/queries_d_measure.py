@@ -5,6 +5,7 @@ from loadtide.catalog import views as v
 from loadtide.catalog.registry import query
 from loadtide.functions.clock import day_of, floor_div, lookup
 
+from loadtide.functions.numeric import positive
 from loadtide.operators import evaluate as ev
 from loadtide.operators import features as ft
 from loadtide.operators import stats
@@ -111,8 +112,8 @@ def g10(spark, folder):
     SELECT region, 25.0 AS balance_point_c, corr(demand, greatest(25 - temp, 0)) AS corr_hdd, corr(demand, greatest(temp - 25, 0)) AS corr_cdd, corr(demand, temp) AS corr_temp_mean FROM demand_temp GROUP BY region)""",
        nums="balance_point_c corr_hdd corr_cdd corr_temp_mean")
 def g11(spark, folder):
-    d = v.demand_temp(spark, folder).withColumns({"balance_point_c": F.lit(25.0), "temp_mean_c": F.col("temp"), "hdd": F.greatest(25 - F.col("temp"), F.lit(0.0)),
-                                                  "cdd": F.greatest(F.col("temp") - 25, F.lit(0.0))})
+    d = v.demand_temp(spark, folder).withColumns({"balance_point_c": F.lit(25.0), "temp_mean_c": F.col("temp"), "hdd": positive(25 - F.col("temp")),
+                                                  "cdd": positive(F.col("temp") - 25)})
     return ft.weather_response(d, target="demand")
 
 

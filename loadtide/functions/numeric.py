@@ -15,6 +15,12 @@ def number(c) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def positive(x) -> Column:
+    """max(x, 0) that keeps NULL, where ``greatest`` would skip it."""
+    x = _col(x)
+    return F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
+
+
 def safe_corr(x, y) -> Column:
     """Correlation over jointly complete rows; NULL when a side never varies."""
     x, y = _col(x), _col(y)

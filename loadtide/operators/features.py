@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from loadtide.config import DAY, LAGS, RAIN_DAY_MM
 from loadtide.functions.clock import day_of, floor_div, with_calendar
-from loadtide.functions.numeric import safe_corr
-from loadtide.operators.ordered import framed
+from loadtide.functions.numeric import positive, safe_corr
+from loadtide.operators.ordered import framed, with_row_number
 
 KEYS = ["region"]
 
@@ -134,12 +134,11 @@ def daily_weather_features(daily: DataFrame, keys=KEYS, base: str | None = None)
     Days are rows here, as in the source table, so the chunk is a block of day numbers.
     """
     daily = daily.withColumn("_day", F.datediff(F.to_date("date"), F.lit("1970-01-01").cast("date")).cast("long"))
-    from loadtide.operators.ordered import with_row_number
     daily = with_row_number(daily, keys, [F.col("_day")], floor_div("_day", 366), "_pos")
     degree = {}
     if base:
-        degree = {"hdd": F.greatest(F.col(base) - F.col("temp_mean_c"), F.lit(0.0)),
-                  "cdd": F.greatest(F.col("temp_mean_c") - F.col(base), F.lit(0.0))}
+        degree = {"hdd": positive(F.col(base) - F.col("temp_mean_c")),
+                  "cdd": positive(F.col("temp_mean_c") - F.col(base))}
         daily = daily.withColumns(degree)
 
     def build(w):
