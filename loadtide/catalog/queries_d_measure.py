@@ -419,7 +419,12 @@ def m19(spark, folder):
     return stats.periodogram(_daily_series(spark, folder)).select("j", "freq", F.col("p_a").alias("power"))
 
 
-@query("M19b_smoothed_coherence")
+@query("M19b_smoothed_coherence", f"""WITH s AS (SELECT *, max(pos) OVER () + 1 AS n, y - avg(y) OVER () AS dy, x - avg(x) OVER () AS dx FROM ({SERIES})),
+    t AS (SELECT j, j * 1.0 / n AS freq, n, sum(dy * cos(2 * pi() * j * pos / n)) AS ca, sum(dy * sin(2 * pi() * j * pos / n)) AS sa, sum(dx * cos(2 * pi() * j * pos / n)) AS cb, sum(dx * sin(2 * pi() * j * pos / n)) AS sb
+      FROM s, (SELECT unnest(range(1, (SELECT count(*) FROM daily_weather) // 2 + 1)) AS j) GROUP BY j, n)
+    SELECT j, freq, avg((ca * ca + sa * sa) / n) OVER w AS smooth_a, avg((cb * cb + sb * sb) / n) OVER w AS smooth_b,
+      (pow(avg((ca * cb + sa * sb) / n) OVER w, 2) + pow(avg((ca * sb - sa * cb) / n) OVER w, 2)) / (avg((ca * ca + sa * sa) / n) OVER w * avg((cb * cb + sb * sb) / n) OVER w) AS coherence
+    FROM t WINDOW w AS (ORDER BY j ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)""", nums="freq smooth_a smooth_b coherence")
 def m19b(spark, folder):
     spec = stats.periodogram(_daily_series(spark, folder), values=["y", "x"])
     return stats.smooth_spectrum(spec, 25).select("j", "freq", "smooth_a", "smooth_b", "coherence")

@@ -92,6 +92,7 @@ def recursive_forecast(state: DataFrame, known: DataFrame, medians: DataFrame, k
     demand = [f for f in features if f in {*LAGS, "previous_day_mean", "previous_day_peak", "previous_day_min",
                                            "same_half_hour_7day_mean", "same_half_hour_14day_mean",
                                            "rolling_mean_24h_at_t_minus_48", "rolling_std_24h_at_t_minus_48"}]
+    known = known.drop(*demand)
     recent = state.where(F.col("hh") >= origin_hh - 14 * DAY).select(*keys, "hh", "y")
     blocks = []
     for d in range(days):
