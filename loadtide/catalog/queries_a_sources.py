@@ -5,7 +5,7 @@ from loadtide.catalog import views as v
 from loadtide.catalog.registry import query
 from loadtide.functions.clock import at, day_of, lookup
 from loadtide.functions.numeric import number
-from loadtide.operators.clean import dedupe_first
+from loadtide.operators import clean
 from loadtide.session import scratch_path
 from loadtide.sources import holidays as hol
 from loadtide.sources import readings as src
@@ -103,7 +103,10 @@ def s07(spark, folder):
 @query("S08_normalise_frame", """SELECT 'WA' AS region, ts, y, 'ACTUAL' AS period_type, 'FEED_LEGACY' AS source, 30 AS source_interval_min
     FROM minutely QUALIFY row_number() OVER (PARTITION BY ts ORDER BY seq DESC) = 1""", nums="y", ints="source_interval_min")
 def s08(spark, folder):
-    df = v.minute(spark, folder).select(
+    m = v.minute(spark, folder)
+    # the last copy of every minute, and the first copy again for the night hours, as a file with some repeats
+    rows = clean.dedupe_last(m, keys=[]).unionByName(clean.dedupe_first(m, keys=[]).where(F.hour("ts") < 3))
+    df = rows.select(
         F.date_format("ts", "dd/MM/yyyy HH:mm").alias("Trading Interval"),
         F.col("y").cast("string").alias("Operational Demand (MW)"), (F.col("y") * 9).alias("Demand Forecast"), "seq")
     return src.normalise(df, "FEED_LEGACY", 30)
@@ -133,7 +136,7 @@ def s09(spark, folder):
 def s10(spark, folder):
     tagged = v.minute(spark, folder).withColumn(
         "source", lookup("region", {"click": "FEED_DAILY", "view": "FEED_WEM_2024", "signup": "FEED_LEGACY",
-                                    "error": "FEED_LEGACY", "purchase": "FEED_LEGACY"})).withColumn("region", F.lit("ALL"))
+                                    "error": "FEED_LEGACY", "purchase": "FEED_LEGACY"})).withColumn("region", v.one_series("ts"))
     old, new = tagged.where("source = 'FEED_LEGACY'"), tagged.where("source <> 'FEED_LEGACY'")
     return src.merge_by_priority(old, new, at("2024-01-02 00:00:00"), at("2024-01-29 00:00:00"),
                                  cut_over=at("2024-01-10 00:00:00")).select("region", "ts", "y", "source")
@@ -217,7 +220,7 @@ def s18(spark, folder):
     raw = (v.table(spark, folder, "lineitem").groupBy("l_shipdate", "l_returnflag")
            .agg(F.max("l_quantity").cast("string").alias("Temp_Max (C)"), F.min("l_quantity").cast("string").alias("Temp_Min (C)"),
                 (F.avg("l_discount") * 10).cast("string").alias("Rainfall mm"))
-           .select(F.lit("ALL").alias("region"), F.ascii("l_returnflag").alias("seq"),
+           .select(v.one_series("l_shipdate").alias("region"), F.ascii("l_returnflag").alias("seq"),
                    F.date_format("l_shipdate", "yyyy-MM-dd").alias("Obs Date"), "Temp_Max (C)", "Temp_Min (C)", "Rainfall mm"))
     return wx.daily_weather(raw)
 
@@ -263,7 +266,7 @@ def s23(spark, folder):
 @query("S24_load_contract_tables", """SELECT region, ts, y, month(ts) AS local_month, isodow(ts) - 1 AS local_dow, dayofyear(ts) AS local_doy FROM minutely
     QUALIFY row_number() OVER (PARTITION BY region, ts ORDER BY seq) = 1""", nums="y")
 def s24(spark, folder):
-    d = dedupe_first(v.minute(spark, folder))
+    d = clean.dedupe_first(v.minute(spark, folder))
     return d.select("region", "ts", "y", F.month("ts").alias("local_month"), F.weekday("ts").alias("local_dow"),
                     F.dayofyear("ts").alias("local_doy"))
 
@@ -279,8 +282,8 @@ def s25(spark, folder):
         F.lit("interval_"), F.regexp_extract("detail", r"^(ending|beginning)-labelled", 1)).alias("convention"))
 
 
-@query("S26_rounded_sink", """SELECT region, count(*) AS rows, sum(floor(y * 10000 + 0.5) / 10000) AS total FROM grid_a GROUP BY region""", nums="total")
+@query("S26_rounded_sink", """SELECT region, count(*) AS rows, sum(round(y + 1e-9, 4)) AS total FROM grid_a GROUP BY region""", nums="total")
 def s26(spark, folder):
     path = scratch_path(spark, "sink")
-    src.write_rounded(v.grid_a(spark, folder).select("region", "hh", "y"), path)
+    src.write_rounded(v.grid_a(spark, folder).select("region", "hh", F.round("y", 8).alias("y")), path)
     return (spark.read.parquet(path).groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("total")))

@@ -257,7 +257,7 @@ def j07(spark, folder):
        nums="benchmark own source_difference")
 def j08(spark, folder):
     a = v.resample_mean(v.readings(spark, folder)).select("region", "hh", F.col("y").alias("benchmark"))
-    b = v.resample_mean(v.readings(spark, folder).withColumn("region", F.lit("ALL"))).select("hh", F.col("y").alias("own"))
+    b = v.resample_mean(v.readings(spark, folder).withColumn("region", v.one_series("ts"))).select("hh", F.col("y").alias("own"))
     return a.join(b, "hh").withColumn("source_difference", F.col("benchmark") - F.col("own"))
 
 

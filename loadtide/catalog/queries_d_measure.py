@@ -179,7 +179,7 @@ def g17(spark, folder):
 def g18(spark, folder):
     r = v.readings(spark, folder)
     a = v.resample_mean(r).select("region", "hh", F.col("y").alias("benchmark"))
-    b = v.resample_mean(r.withColumn("region", F.lit("ALL"))).select("hh", F.col("y").alias("own"))
+    b = v.resample_mean(r.withColumn("region", v.one_series("ts"))).select("hh", F.col("y").alias("own"))
     return ev.source_consistency(a.join(b, "hh"), ["region"], "benchmark", "own", ts="hh")
 
 
@@ -228,9 +228,9 @@ def g23(spark, folder):
                                                F.max("d_mae").alias("worst_day_MAE"), F.count(F.lit(1)).alias("days"))
 
 
-@query("G24_learning_curves", """SELECT region, max(epoch) AS epochs_run, min(val_loss) AS min_val_loss, min({'v': val_loss, 'e': epoch}).e AS best_epoch, arg_max(val_loss, epoch) AS final_val_loss,
-    CASE WHEN min({'v': val_loss, 'e': epoch}).e = max(epoch) AND max(epoch) = 30 THEN 'EPOCH_LIMIT_REACHED'
-      WHEN arg_max(val_loss, epoch) > 1.10 * min(val_loss) AND arg_max(loss, epoch) < min({'v': val_loss, 'e': epoch, 'l': loss}).l THEN 'OVERFITTING_SIGNAL' ELSE 'CONVERGED' END AS verdict
+@query("G24_learning_curves", """SELECT region, max(epoch) AS epochs_run, min(val_loss) AS min_val_loss, (min({'v': val_loss, 'e': epoch}) FILTER (val_loss IS NOT NULL)).e AS best_epoch, arg_max(val_loss, epoch) AS final_val_loss,
+    CASE WHEN (min({'v': val_loss, 'e': epoch}) FILTER (val_loss IS NOT NULL)).e = max(epoch) AND max(epoch) = 30 THEN 'EPOCH_LIMIT_REACHED'
+      WHEN arg_max(val_loss, epoch) > 1.10 * min(val_loss) AND arg_max(loss, epoch) < (min({'v': val_loss, 'e': epoch, 'l': loss}) FILTER (val_loss IS NOT NULL)).l THEN 'OVERFITTING_SIGNAL' ELSE 'CONVERGED' END AS verdict
     FROM (SELECT region, day(ts) AS epoch, avg(CASE WHEN hour(ts) < 12 THEN y END) AS loss, avg(CASE WHEN hour(ts) >= 12 THEN y END) AS val_loss FROM readings GROUP BY 1, 2) GROUP BY region""",
        nums="min_val_loss final_val_loss")
 def g24(spark, folder):
@@ -279,14 +279,14 @@ def w04(spark, folder):
     CASE WHEN count(temp_mean_c) OVER (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) = 7 THEN avg(temp_mean_c) OVER (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) END AS rolling_temp_mean_7d
     FROM daily_weather WINDOW w AS (ORDER BY date)""", nums="temp_mean_lag_1d temp_mean_lag_7d rolling_temp_mean_7d")
 def w05(spark, folder):
-    w = v.daily_weather(spark, folder).withColumn("region", F.lit("ALL"))
+    w = v.daily_weather(spark, folder).withColumn("region", v.one_series("date"))
     return ft.daily_weather_features(w).select("date", "temp_mean_lag_1d", "temp_mean_lag_7d", "rolling_temp_mean_7d")
 
 
 @query("W06_degree_days", """SELECT date, greatest(25 - temp_mean_c, 0) AS hdd, greatest(temp_mean_c - 25, 0) AS cdd, lag(greatest(25 - temp_mean_c, 0)) OVER w AS hdd_lag_1d, lag(greatest(temp_mean_c - 25, 0)) OVER w AS cdd_lag_1d
     FROM daily_weather WINDOW w AS (ORDER BY date)""", nums="hdd cdd hdd_lag_1d cdd_lag_1d")
 def w06(spark, folder):
-    w = v.daily_weather(spark, folder).withColumns({"region": F.lit("ALL"), "base_c": F.lit(25.0)})
+    w = v.daily_weather(spark, folder).withColumns({"region": v.one_series("date"), "base_c": F.lit(25.0)})
     return ft.daily_weather_features(w, base="base_c").select("date", "hdd", "cdd", "hdd_lag_1d", "cdd_lag_1d")
 
 
@@ -365,7 +365,7 @@ def w14(spark, folder):
 
 def _daily_series(spark, folder):
     """Daily weather as one numbered series with both variables."""
-    w = v.daily_weather(spark, folder).withColumns({"region": F.lit("ALL"), "_d": F.datediff(F.to_date("date"), F.lit("1970-01-01").cast("date")).cast("long")})
+    w = v.daily_weather(spark, folder).withColumns({"region": v.one_series("date"), "_d": F.datediff(F.to_date("date"), F.lit("1970-01-01").cast("date")).cast("long")})
     return with_row_number(w, ["region"], [F.col("_d")], floor_div("_d", 366), "pos").select("region", "date", "pos", F.col("temp_mean_c").alias("y"), F.col("rainfall_mm").alias("x"))
 
 

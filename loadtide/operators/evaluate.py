@@ -98,7 +98,7 @@ def learning_curves(history: DataFrame, keys: list[str], epoch_limit: int) -> Da
     """Best epoch, generalisation gap and a verdict per training run, in one aggregate."""
     agg = history.groupBy(*keys).agg(
         F.max("epoch").alias("epochs_run"), F.min("val_loss").alias("min_val_loss"),
-        F.min(F.struct("val_loss", "epoch", "loss")).alias("_best"),
+        F.min(F.when(F.col("val_loss").isNotNull(), F.struct("val_loss", "epoch", "loss"))).alias("_best"),
         F.max_by("val_loss", "epoch").alias("final_val_loss"),
         F.max_by("loss", "epoch").alias("final_loss"))
     out = agg.withColumns({"best_epoch": F.col("_best.epoch"), "train_loss_at_best": F.col("_best.loss")})

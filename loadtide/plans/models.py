@@ -61,6 +61,8 @@ def fit_groups(train: DataFrame, keys: list[str], groups: list[tuple], kind: str
 def predict_groups(models: dict, keys: list[str]):
     """Block predictor over all groups: (features) -> rows with ``prediction``."""
     def predict(rows: DataFrame) -> DataFrame:
+        if not models:
+            return rows.limit(0).withColumn("prediction", F.lit(None).cast("double"))
         parts = []
         for group, model in models.items():
             mine = rows
@@ -92,14 +94,21 @@ def recursive_forecast(state: DataFrame, known: DataFrame, medians: DataFrame, k
     demand = [f for f in features if f in {*LAGS, "previous_day_mean", "previous_day_peak", "previous_day_min",
                                            "same_half_hour_7day_mean", "same_half_hour_14day_mean",
                                            "rolling_mean_24h_at_t_minus_48", "rolling_std_24h_at_t_minus_48"}]
-    known = known.drop(*demand)
-    recent = state.where(F.col("hh") >= origin_hh - 14 * DAY).select(*keys, "hh", "y")
+    given = [f for f in features if f not in demand]
+    known = cut_lineage(known.where(F.col("hh").between(origin_hh, origin_hh + days * DAY - 1))
+                        .select(*keys, "hh", *given), "known")
+    medians = cut_lineage(medians, "medians")
+    actual = cut_lineage(state.where(F.col("hh").between(origin_hh - 14 * DAY, origin_hh - 1))
+                         .select(*keys, "hh", "y"), "state")
     blocks = []
     for d in range(days):
         lo = origin_hh + d * DAY
         block = known.where(F.col("hh").between(lo, lo + DAY - 1))
-        open_rows = block.select(*keys, "hh", F.lit(None).cast("double").alias("y"))
-        window = recent.where(F.col("hh").between(lo - 14 * DAY, lo - 1)).unionByName(open_rows)
+        window = block.select(*keys, "hh", F.lit(None).cast("double").alias("y"))
+        if d < 14:
+            window = window.unionByName(actual.where(F.col("hh") >= lo - 14 * DAY))
+        for b in blocks[-14:]:
+            window = window.unionByName(b.select(*keys, "hh", F.col("forecast").alias("y")))
         made = (demand_features(window, keys, skip_nulls=False)
                 .where(F.col("hh") >= lo).select(*keys, "hh", *demand))
         rows = block.join(made, [*keys, "hh"]).join(medians, keys, "left")
@@ -108,9 +117,7 @@ def recursive_forecast(state: DataFrame, known: DataFrame, medians: DataFrame, k
                 .withColumns({f: F.coalesce(F.col(f).cast("double"), F.col(f"med_{f}"), F.lit(0.0)) for f in features}))
         out = predict(rows.select(*keys, "hh", "filled_cells", *features)).select(
             *keys, "hh", F.col("prediction").alias("forecast"), "filled_cells")
-        out = cut_lineage(out, "block")
-        blocks.append(out)
-        recent = recent.unionByName(out.select(*keys, "hh", F.col("forecast").alias("y")))
+        blocks.append(cut_lineage(out, "block"))
     result = blocks[0]
     for b in blocks[1:]:
         result = result.unionByName(b)
