@@ -75,7 +75,7 @@ def s06a(spark, folder):
 @query("S06b_resolve_timestamp_numbered", """SELECT region, 'numbered' AS branch, make_timestamp(hh * 1800000000) + INTERVAL 8 HOUR AS ts
     FROM bins_a""")
 def s06b(spark, folder):
-    g = v.resample_mean(v.readings(spark, folder))
+    g = v.bins_a(spark, folder)
     df = g.select("region", F.date_format("ts", "dd/MM/yyyy").alias("Trading Date"),
                   (F.hour("ts") * 2 + F.floor(F.minute("ts") / 30) + 1).cast("string").alias("Interval Number"))
     branch, ts = src.find_timestamp(df.drop("region"), 30)
@@ -84,7 +84,7 @@ def s06b(spark, folder):
 
 @query("S06c_resolve_timestamp_clock", """SELECT region, 'clock' AS branch, make_timestamp(hh * 1800000000) AS ts FROM bins_a""")
 def s06c(spark, folder):
-    g = v.resample_mean(v.readings(spark, folder))
+    g = v.bins_a(spark, folder)
     df = g.select("region", F.date_format("ts", "yyyy-MM-dd").alias("Trading Date"), F.date_format("ts", "HH:mm").alias("Start Time"))
     branch, ts = src.find_timestamp(df.drop("region"), 30)
     return df.select("region", F.lit(branch).alias("branch"), ts.alias("ts"))

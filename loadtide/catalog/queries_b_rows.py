@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loadtide.catalog import views as v
 from loadtide.catalog.registry import query
 from loadtide.config import UNSAFE_PATTERNS, WARMUP
-from loadtide.functions.clock import at, floor_div, month_start, slot, slot_start, training_cutoff, with_calendar
+from loadtide.functions.clock import at, floor_div, month_start, slot_start, training_cutoff, with_calendar
 from loadtide.functions.numeric import number, percent_of, skill_percent
 from loadtide.operators.features import demand_features, trend_features
 from loadtide.operators.ordered import CHUNK, with_neighbour, with_row_number
@@ -119,7 +119,7 @@ def p12(spark, folder):
 @query("K01_stable_sort", """SELECT region, ts, seq, row_number() OVER (PARTITION BY region ORDER BY ts, seq) AS place FROM minutely""")
 def k01(spark, folder):
     m = v.minute(spark, folder)
-    n = with_row_number(m, ["region"], [F.col("ts"), F.col("seq")], floor_div(slot("ts"), 2), "place")
+    n = with_row_number(m, ["region"], [F.col("ts"), F.col("seq")], F.struct("ts", floor_div("seq", 100_000).alias("b")), "place")
     return n.select("region", "ts", "seq", (F.col("place") + 1).alias("place")).orderBy("region", "ts", "seq")
 
 
@@ -184,12 +184,10 @@ def k08(spark, folder):
 # --- set operations ------------------------------------------------------------------------------
 
 @query("U01_union_by_name", """SELECT region, source, count(*) AS rows, count(y) AS with_y FROM (
-      SELECT region, 'grid' AS source, y FROM grid_a UNION ALL SELECT r_name, 'daily', NULL FROM region, (SELECT DISTINCT date FROM daily_weather)) GROUP BY 1, 2""")
+      SELECT region, 'grid' AS source, y FROM grid_a UNION ALL SELECT region, 'daily', NULL FROM daily_demand) GROUP BY 1, 2""")
 def u01(spark, folder):
     g = v.grid_a(spark, folder).select("region", "y", F.lit("grid").alias("source"))
-    days = v.daily_weather(spark, folder).select("date")
-    names = F.array(*[F.lit(r["r_name"]) for r in v.table(spark, folder, "region").select("r_name").limit(1000).collect()])  # tiny dimension
-    d = days.select(F.explode(names).alias("region"), F.lit("daily").alias("source"))
+    d = v.daily_demand(spark, folder).select("region", F.lit("daily").alias("source"))
     return (src.union_sources(g, d).groupBy("region", "source")
             .agg(F.count(F.lit(1)).alias("rows"), F.count("y").alias("with_y")))
 
@@ -198,7 +196,7 @@ def u01(spark, folder):
     UNION ALL SELECT 'only_click', count(*) FROM (SELECT hh FROM bins_a WHERE region = 'click' EXCEPT SELECT hh FROM bins_a WHERE region = 'view')
     UNION ALL SELECT 'only_view', count(*) FROM (SELECT hh FROM bins_a WHERE region = 'view' EXCEPT SELECT hh FROM bins_a WHERE region = 'click')""")
 def u02(spark, folder):
-    b = v.resample_mean(v.readings(spark, folder))
+    b = v.bins_a(spark, folder)
     a, c = b.where("region = 'click'").select("hh"), b.where("region = 'view'").select("hh")
 
     def size(df, part):
@@ -212,7 +210,7 @@ def u02(spark, folder):
     JOIN bins_a c ON a.hh = c.hh AND c.region = 'error' JOIN bins_a d ON a.hh = d.hh AND d.region = 'signup' WHERE a.region = 'click'""",
        nums="click view error signup")
 def u03(spark, folder):
-    b = v.resample_mean(v.readings(spark, folder))
+    b = v.bins_a(spark, folder)
     names = ["click", "view", "error", "signup"]
     wide = b.where(F.col("region").isin(names)).groupBy("hh").agg(
         *[F.max(F.when(F.col("region") == n, F.col("y"))).alias(n) for n in names])

@@ -304,16 +304,8 @@ def w07(spark, folder):
 
 @query("W08_average_rank", """SELECT region, y, avg_rank, count(*) AS copies FROM (SELECT region, y, rank() OVER (PARTITION BY region ORDER BY y) + (count(*) OVER (PARTITION BY region, y) - 1) / 2.0 AS avg_rank FROM readings) GROUP BY 1, 2, 3""", nums="y avg_rank")
 def w08(spark, folder):
-    c = v.readings(spark, folder).groupBy("region", "y").agg(F.count(F.lit(1)).alias("copies"))
-    cents = F.round(F.col("y") * 100).cast("long")
-    chunked = c.withColumn("_pos", cents).withColumn("_bucket", floor_div("_pos", 1000))
-    before = chunked.groupBy("region", "_bucket").agg(F.sum("copies").alias("_s"))
-    from pyspark.sql import Window as W
-    run = W.partitionBy("region").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = before.withColumn("_off", F.coalesce(F.sum("_s").over(run), F.lit(0))).drop("_s")
-    inner = W.partitionBy("region", "_bucket").orderBy("y").rowsBetween(W.unboundedPreceding, 0)
-    r = chunked.join(before, ["region", "_bucket"]).withColumn("_cum", F.sum("copies").over(inner) + F.col("_off"))
-    return r.select("region", "y", (F.col("_cum") - (F.col("copies") - 1) / 2.0).alias("avg_rank"), "copies")
+    from loadtide.operators.quantiles import average_ranks
+    return average_ranks(v.readings(spark, folder).select("region", "y"), ["region"], "y", "avg_rank")
 
 
 @query("W09_trend_features", """SELECT region, hh, hh - min(hh) OVER (PARTITION BY region) AS time_index, (hh - min(hh) OVER (PARTITION BY region)) / 48.0 AS days_since_start FROM grid_a""", nums="days_since_start")
@@ -323,7 +315,7 @@ def w09(spark, folder):
 
 @query("W10_irregular_steps", """SELECT region, count(*) AS steps, count(CASE WHEN s <> 1 THEN 1 END) AS irregular_steps, max(s) AS longest FROM (SELECT region, hh - lag(hh) OVER (PARTITION BY region ORDER BY hh) AS s FROM bins_a) WHERE s IS NOT NULL GROUP BY region""")
 def w10(spark, folder):
-    b = v.resample_mean(v.readings(spark, folder)).select("region", "hh")
+    b = v.bins_a(spark, folder).select("region", "hh")
     s = with_neighbour(b, ["region"], "hh", floor_div("hh", CHUNK), {"prev_hh": "hh"}).where("prev_hh is not null")
     step = F.col("hh") - F.col("prev_hh")
     return s.groupBy("region").agg(F.count(F.lit(1)).alias("steps"), F.count_if(step != 1).alias("irregular_steps"), F.max(step).alias("longest"))

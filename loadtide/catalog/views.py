@@ -6,8 +6,9 @@ from loadtide.functions.clock import day_of
 from loadtide.operators.evaluate import error_metrics, with_skill
 from loadtide.operators.features import civil_calendar
 from loadtide.operators.clean import dedupe_last
-from loadtide.operators.regular import continuous_grid, resample_mean
+from loadtide.operators.regular import resample_mean  # noqa: F401  (used by the query modules)
 from loadtide.plans.forecast import naive_forecasts, with_actual
+from loadtide.plans.prepare import half_hour_bins, half_hour_grid
 from loadtide.sources.holidays import fixed_dates
 
 # Holiday dates of the test calendar.
@@ -39,14 +40,19 @@ def minute_last(spark, folder) -> DataFrame:
     return dedupe_last(minute(spark, folder))
 
 
+def bins_a(spark, folder) -> DataFrame:
+    """Filled half-hours per event type, written once."""
+    return half_hour_bins(readings(spark, folder))
+
+
 def grid_a(spark, folder) -> DataFrame:
     """One gappy half-hour series per event type."""
-    return continuous_grid(resample_mean(readings(spark, folder)), zero_columns=["n_source_readings"])
+    return half_hour_grid(readings(spark, folder), zero_columns=["n_source_readings"])
 
 
 def grid_b(spark, folder) -> DataFrame:
     """All events as one nearly dense half-hour series."""
-    return continuous_grid(resample_mean(readings(spark, folder).withColumn("region", one_series("ts"))))
+    return half_hour_grid(readings(spark, folder).withColumn("region", one_series("ts")))
 
 
 def cal_a(spark, folder) -> DataFrame:

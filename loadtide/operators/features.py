@@ -7,6 +7,7 @@ from loadtide.config import DAY, LAGS, RAIN_DAY_MM
 from loadtide.functions.clock import day_of, floor_div, with_calendar
 from loadtide.functions.numeric import positive, safe_corr
 from loadtide.operators.ordered import framed, with_row_number
+from loadtide.operators.quantiles import average_ranks
 
 KEYS = ["region"]
 
@@ -14,13 +15,15 @@ KEYS = ["region"]
 def demand_features(df: DataFrame, keys=KEYS, value="y", skip_nulls: bool = True) -> DataFrame:
     """Lags, strict previous-day summaries and same-half-hour means, one shuffle for all.
 
+    Needs the gap-free grid, where the k-th row before is k steps before.
+
     ``skip_nulls`` averages the days that exist (training rule); otherwise one
     missing day makes the mean null (recursion rule).
     """
     def build(w):
         day = w.rangeBetween(-(2 * DAY - 1), -DAY)
         full = F.count(value).over(day) == DAY
-        at = {k: F.max(value).over(w.rangeBetween(-k, -k))
+        at = {k: F.lag(value, k).over(w)
               for k in sorted({*LAGS.values(), *(DAY * d for d in range(1, 15))})}
         out = {name: at[k] for name, k in LAGS.items()}
         mean = F.when(full, F.avg(value).over(day))
@@ -237,13 +240,8 @@ def feature_correlations(df: DataFrame, features: list[str], keys=KEYS, target="
     pearson = long.groupBy(*keys, "feature").agg(
         safe_corr("value", target).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
-    def ranks(rows, group, col, out):
-        sizes = rows.groupBy(*group, col).agg(F.count(F.lit(1)).alias("_c"))
-        w = W.partitionBy(*group).orderBy(col).rowsBetween(W.unboundedPreceding, 0)
-        return sizes.withColumn(out, F.sum("_c").over(w) - (F.col("_c") - 1) / F.lit(2.0)).drop("_c")
-
-    value_rank = ranks(long, [*keys, "feature"], "value", "_rv")
-    target_rank = ranks(full.select(*keys, target), keys, target, "_rt")
+    value_rank = average_ranks(long, [*keys, "feature"], "value", "_rv").drop("copies")
+    target_rank = average_ranks(full.select(*keys, target), keys, target, "_rt").drop("copies")
     both = (long.join(value_rank, [*keys, "feature", "value"]).join(target_rank, [*keys, target]))
     spearman = both.groupBy(*keys, "feature").agg(safe_corr("_rv", "_rt").alias("spearman"))
     out = pearson.join(spearman, [*keys, "feature"])

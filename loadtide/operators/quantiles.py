@@ -61,6 +61,27 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     return exact_quantiles(df, keys, value, {name: 0.5})
 
 
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank", parts: int = 256) -> DataFrame:
+    """Average rank and number of copies of every distinct value per key.
+
+    Equal-depth cuts from a sketch split each key's value histogram; ranks run
+    inside a cut and add the carried count of the cuts below.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    cuts = F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(ACCURACY))
+    splitters = rows.groupBy(*keys).agg(cuts.alias("_cuts"))
+    sizes = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    placed = (sizes.join(splitters, keys)
+              .withColumn("_cut", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts"))
+    run = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    below = (placed.groupBy(*keys, "_cut").agg(F.sum("copies").alias("_s"))
+             .withColumn("_below", F.coalesce(F.sum("_s").over(run), F.lit(0))).drop("_s"))
+    inner = W.partitionBy(*keys, "_cut").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    upto = F.sum("copies").over(inner) + F.col("_below")
+    return (placed.join(below, [*keys, "_cut"])
+            .withColumn(name, upto - (F.col("copies") - 1) / F.lit(2.0)).drop("_cut", "_below"))
+
+
 def small_group_median(value) -> Column:
     """Median for groups whose size the clock bounds (a month, a half-hour of a month)."""
     return F.median(value)

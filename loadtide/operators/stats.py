@@ -13,8 +13,7 @@ KEYS = ["region"]
 
 def moving_average(df: DataFrame, window: int = 10, keys=KEYS, pos="pos", value="y", centred: bool = True) -> DataFrame:
     """Full-window mean; centred windows of even length reach one further forward."""
-    lo = -(window - 1) // 2 if centred else -(window - 1)
-    lo = -((window - 1) // 2) if centred else lo
+    lo = -((window - 1) // 2) if centred else -(window - 1)
     hi = window // 2 if centred else 0
 
     def build(w):
@@ -24,32 +23,35 @@ def moving_average(df: DataFrame, window: int = 10, keys=KEYS, pos="pos", value=
     return framed(df, keys, pos, build, back=-lo, ahead=hi)
 
 
-def autocorrelation(df: DataFrame, max_lag: int, keys=KEYS, pos="pos", value="y") -> DataFrame:
-    """ACF to ``max_lag``: divides by n and the overall variance.
+def _lag_sums(dev: DataFrame, left: str, right: str, lags, keys, pos) -> DataFrame:
+    """Per lag, the sum of left[t] * right[t - lag] on gap-free positions: one window pass, one aggregate row per series."""
+    names = {lag: f"_p{i}" for i, lag in enumerate(lags)}
 
-    Shifted copies meet by equi-join on position, and each lag is one sum.
-    """
+    def build(w):
+        return {n: F.col(left) * (F.lag(right, lag) if lag >= 0 else F.lead(right, -lag)).over(w) for lag, n in names.items()}
+
+    prod = framed(dev, keys, pos, build, back=max(max(lags), 0), ahead=max(-min(lags), 0))
+    sums = prod.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names.values()])
+    pairs = F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(n).alias("_sum")) for lag, n in names.items()])
+    return sums.select(*keys, F.inline(pairs))
+
+
+def autocorrelation(df: DataFrame, max_lag: int, keys=KEYS, pos="pos", value="y") -> DataFrame:
+    """ACF to ``max_lag``: divides by n and the overall variance."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count(value).alias("_n"),
                                   F.var_pop(value).alias("_v"))
-    dev = df.join(stats, keys).select(*keys, pos, (F.col(value) - F.col("_m")).alias("_d"), "_n", "_v")
-    lags = F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")
-    moved = (dev.select(*keys, pos, F.col("_d").alias("_e"), lags)
-             .withColumn(pos, F.col(pos) + F.col("lag")))
-    return (moved.join(dev, [*keys, pos]).groupBy(*keys, "lag")
-            .agg((F.sum(F.col("_d") * F.col("_e")) / F.max("_n") / F.max("_v")).alias("acf")))
+    dev = df.join(stats, keys).select(*keys, pos, (F.col(value) - F.col("_m")).alias("_d"))
+    return (_lag_sums(dev, "_d", "_d", range(max_lag + 1), keys, pos).join(stats, keys)
+            .select(*keys, "lag", F.try_divide(F.col("_sum") / F.col("_n"), F.col("_v")).alias("acf")))
 
 
 def cross_correlation(df: DataFrame, x: str, y: str, max_lag: int, keys=KEYS, pos="pos") -> DataFrame:
-    """CCF at -K..K: correlation of x[t + lag] with y[t], divided by n and both deviations."""
+    """CCF at -K..K: x[t + lag] with y[t], divided by n and both deviations."""
     stats = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.count(F.lit(1)).alias("_n"),
                                   (F.stddev_pop(x) * F.stddev_pop(y)).alias("_s"))
-    dev = df.join(stats, keys)
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
-    left = (dev.select(*keys, pos, (F.col(x) - F.col("_mx")).alias("_dx"), lags)
-            .withColumn(pos, F.col(pos) - F.col("lag")))
-    right = dev.select(*keys, pos, (F.col(y) - F.col("_my")).alias("_dy"), "_n", "_s")
-    return (left.join(right, [*keys, pos]).groupBy(*keys, "lag")
-            .agg(F.try_divide(F.sum(F.col("_dx") * F.col("_dy")) / F.max("_n"), F.max("_s")).alias("ccf")))
+    dev = df.join(stats, keys).select(*keys, pos, (F.col(x) - F.col("_mx")).alias("_dx"), (F.col(y) - F.col("_my")).alias("_dy"))
+    return (_lag_sums(dev, "_dx", "_dy", range(-max_lag, max_lag + 1), keys, pos).join(stats, keys)
+            .select(*keys, "lag", F.try_divide(F.col("_sum") / F.col("_n"), F.col("_s")).alias("ccf")))
 
 
 def box_pierce(acf: DataFrame, n: DataFrame, lag: int, keys=KEYS) -> DataFrame:

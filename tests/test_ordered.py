@@ -81,3 +81,27 @@ def test_exact_quantiles_match_numpy(spark, n):
 def test_median_skips_nulls(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 4.0)], "region string, y double")
     assert exact_median(df, ["region"], "y").first()["median"] == 2.5
+
+
+def test_average_ranks_match_pandas(spark):
+    from loadtide.operators.quantiles import average_ranks
+    rng = np.random.default_rng(2)
+    y = np.where(rng.random(4000) < 0.35, 5.0, np.round(rng.normal(size=4000), 2))
+    pdf = pd.DataFrame({"region": "a", "y": y})
+    got = average_ranks(spark.createDataFrame(pdf), ["region"], "y").toPandas().set_index("y")["rank"]
+    np.testing.assert_allclose(got.loc[y].to_numpy(), pdf["y"].rank().to_numpy())
+
+
+def test_acf_and_ccf_match_direct_sums(spark):
+    from loadtide.operators.stats import autocorrelation, cross_correlation
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=300), rng.normal(size=300)
+    df = spark.createDataFrame([("a", i, float(p), float(q)) for i, (p, q) in enumerate(zip(x, y))], "region string, pos long, x double, y double")
+    acf = autocorrelation(df, 5).toPandas().set_index("lag")["acf"]
+    ccf = cross_correlation(df, "x", "y", 3).toPandas().set_index("lag")["ccf"]
+    dx, dy = x - x.mean(), y - y.mean()
+    for k in range(6):
+        assert np.isclose(acf[k], (dy[k:] * dy[:300 - k]).sum() / (dy * dy).sum())
+    for k in range(-3, 4):
+        pairs = [(dx[t + k], dy[t]) for t in range(300) if 0 <= t + k < 300]
+        assert np.isclose(ccf[k], sum(a * b for a, b in pairs) / 300 / (x.std() * y.std()))
