@@ -397,6 +397,13 @@ def m18a(spark, folder):
     return fit.withColumns(stats.gaussian_criteria(F.col("n"), F.col("rss"), F.lit(2))).select("n", "rss", "AIC", "BIC")
 
 
+@query("M18c_nested_f", f"""SELECT n, (syy - rss) / (rss / (n - 2)) AS f_statistic FROM (SELECT count(*) AS n, regr_syy(y, pos) AS syy, regr_syy(y, pos) * (1 - regr_r2(y, pos)) AS rss FROM ({SERIES}))""", nums="f_statistic")
+def m18c(spark, folder):
+    fit = stats.simple_regression(_daily_series(spark, folder), "pos", "y")
+    flat = F.col("rss") / (1 - F.col("r2"))                      # the mean-only fit leaves the whole variation
+    return fit.select("n", stats.nested_f(F.col("n"), flat, F.lit(1), F.col("rss"), F.lit(2)).alias("f_statistic"))
+
+
 @query("M18b_box_pierce", f"""WITH s AS ({SERIES}), m AS (SELECT avg(y) AS my, count(*) AS n, var_pop(y) AS vy FROM s),
     a AS (SELECT lag, sum((p.y - my) * (q.y - my)) / max(n) / max(vy) AS r, max(n) AS n FROM s p CROSS JOIN m CROSS JOIN (SELECT unnest(range(1, 6)) AS lag) JOIN s q ON q.pos = p.pos + lag GROUP BY lag) SELECT max(n) * sum(r * r) AS Q FROM a""", nums="Q")
 def m18b(spark, folder):

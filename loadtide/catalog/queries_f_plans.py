@@ -10,6 +10,7 @@ from loadtide.operators import evaluate as ev
 from loadtide.operators import features as ft
 from loadtide.operators import sequences as sq
 from loadtide.plans import custom, forecast, models, panel, selection
+from loadtide.session import cut_lineage
 from loadtide.streaming import live
 
 METRICS = "matched_intervals MAE RMSE sMAPE Bias MedAE".split()
@@ -130,6 +131,19 @@ def m08(spark, folder):
     return out
 
 
+@query("M08b_weather_context", """WITH o AS (SELECT date_trunc('day', max(date) - INTERVAL 400 DAY) AS origin, max(date) AS last_day FROM daily_weather),
+    h AS (SELECT w.* FROM daily_weather w JOIN o ON w.date < o.origin), e AS (SELECT month(date) AS mo, day(date) AS d, avg(temp_mean_c) AS m FROM h GROUP BY 1, 2), c AS (SELECT month(date) AS mo, avg(temp_mean_c) AS m FROM h GROUP BY 1),
+    p AS (SELECT t.date, origin, CASE WHEN t.date < origin THEN coalesce(h.temp_mean_c, c.m) ELSE coalesce(e.m, c.m) END AS safe_temp FROM (SELECT origin, unnest(generate_series(origin - INTERVAL 14 DAY, last_day, INTERVAL 1 DAY)) AS date FROM o) t
+      LEFT JOIN h ON h.date = t.date LEFT JOIN e ON e.mo = month(t.date) AND e.d = day(t.date) LEFT JOIN c ON c.mo = month(t.date)),
+    l AS (SELECT *, lag(safe_temp) OVER w AS temp_mean_lag_1d, lag(safe_temp, 7) OVER w AS temp_mean_lag_7d, avg(safe_temp) OVER (ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS rolling_temp_mean_7d FROM p WINDOW w AS (ORDER BY date))
+    SELECT date, safe_temp, temp_mean_lag_1d, temp_mean_lag_7d, rolling_temp_mean_7d, greatest(25 - temp_mean_lag_1d, 0) AS hdd_lag_1d, greatest(temp_mean_lag_1d - 25, 0) AS cdd_lag_1d FROM l WHERE date >= origin""",
+       nums="safe_temp temp_mean_lag_1d temp_mean_lag_7d rolling_temp_mean_7d hdd_lag_1d cdd_lag_1d")
+def m08b(spark, folder):
+    w = v.daily_weather(spark, folder).withColumn("region", v.one_series("date"))
+    o = w.groupBy("region").agg(F.date_sub(F.to_date(F.max("date")), 400).cast("timestamp_ntz").alias("origin"), F.max("date").alias("last_day"))
+    return ft.weather_context(w, o.withColumn("base_c", F.lit(25.0)), "base_c").drop("region", "origin")
+
+
 @query("M09_future_feature_frame", """SELECT f.region, f.hh, f.half_hour_index, f.day_of_week, f.month, CASE WHEN h.date IS NULL THEN 0 ELSE 1 END AS is_public_holiday, f.hh - s.lo AS time_index, p.m AS historical_month_halfhour_mean,
       q.m AS historical_month_dow_halfhour_mean, NULL::DOUBLE AS lag_48 FROM cal_a f JOIN origin_one o ON o.region = f.region AND f.hh >= o.origin_hh JOIN (SELECT region, min(hh) AS lo FROM grid_a GROUP BY region) s ON s.region = f.region
     LEFT JOIN holidays h ON h.date = f.local_date
@@ -196,7 +210,7 @@ def _train_and_future(spark, folder):
     o = v.origin_one(g)
     c = ft.civil_calendar(g)
     hist = c.join(o.select("region", "origin_hh"), "region").where("hh < origin_hh")
-    train = ft.attach_profiles(ft.demand_features(hist), hist)
+    train = cut_lineage(ft.attach_profiles(ft.demand_features(hist), hist), "features")
     return g, o, train, future_frame(g, o, v.holidays(spark, folder))
 
 

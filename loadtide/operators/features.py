@@ -22,29 +22,28 @@ def demand_features(df: DataFrame, keys=KEYS, value="y", skip_nulls: bool = True
     """
     def build(w):
         day = w.rangeBetween(-(2 * DAY - 1), -DAY)
-        full = F.count(value).over(day) == DAY
-        at = {k: F.lag(value, k).over(w)
-              for k in sorted({*LAGS.values(), *(DAY * d for d in range(1, 15))})}
-        out = {name: at[k] for name, k in LAGS.items()}
-        mean = F.when(full, F.avg(value).over(day))
-        out.update({
-            "previous_day_mean": mean,
-            "previous_day_peak": F.when(full, F.max(value).over(day)),
-            "previous_day_min": F.when(full, F.min(value).over(day)),
-            "rolling_mean_24h_at_t_minus_48": mean,
-            "rolling_std_24h_at_t_minus_48": F.when(full, F.stddev_samp(value).over(day)),
-        })
-        for days in (7, 14):
-            same = [at[DAY * d] for d in range(1, days + 1)]
-            if skip_nulls:
-                total = sum((F.coalesce(c, F.lit(0.0)) for c in same), F.lit(0.0))
-                seen = sum((c.isNotNull().cast("int") for c in same), F.lit(0))
-                out[f"same_half_hour_{days}day_mean"] = F.when(seen > 0, total / seen)
-            else:
-                out[f"same_half_hour_{days}day_mean"] = sum(same[1:], same[0]) / F.lit(float(days))
+        out = {f"_back{d}": F.lag(value, DAY * d).over(w) for d in range(1, 15)}
+        for name, f in (("_n", F.count), ("_mean", F.avg), ("_max", F.max), ("_min", F.min), ("_std", F.stddev_samp)):
+            out[name] = f(value).over(day)
         return out
 
-    return framed(df, keys, "hh", build, back=14 * DAY)
+    wide = framed(df, keys, "hh", build, back=14 * DAY)
+    full = F.col("_n") == DAY
+    out = {name: F.col(f"_back{k // DAY}") for name, k in LAGS.items()}
+    for name, c in (("previous_day_mean", "_mean"), ("previous_day_peak", "_max"), ("previous_day_min", "_min"),
+                    ("rolling_mean_24h_at_t_minus_48", "_mean"), ("rolling_std_24h_at_t_minus_48", "_std")):
+        out[name] = F.when(full, F.col(c))
+    for days in (7, 14):
+        same = [f"_back{d}" for d in range(1, days + 1)]
+        if skip_nulls:
+            # an array skips what is missing: sum and size of the days that exist
+            there = F.array_compact(F.array(*same))
+            total = F.aggregate(there, F.lit(0.0), lambda acc, x: acc + x)
+            out[f"same_half_hour_{days}day_mean"] = F.when(F.size(there) > 0, total / F.size(there))
+        else:
+            out[f"same_half_hour_{days}day_mean"] = F.expr(f"({' + '.join(same)}) / {float(days)}")
+    made = wide.withColumns(out)
+    return made.drop(*[f"_back{d}" for d in range(1, 15)], "_n", "_mean", "_max", "_min", "_std")
 
 
 def demand_features_by_join(df: DataFrame, keys=KEYS, value="y") -> DataFrame:
@@ -201,6 +200,35 @@ def exact_or_monthly(target: DataFrame, history: DataFrame, value: str, keys=KEY
             .withColumn(name, F.coalesce("_fine", "_wide")).drop("_fine", "_wide"))
 
 
+def weather_context(history: DataFrame, origins: DataFrame, base: str, keys=KEYS) -> DataFrame:
+    """Temperature lags, week mean and lagged degree days on a daily path no forecast could have cheated on.
+
+    Days before the origin carry observations (their month's mean where one is
+    missing); from the origin on the path is month-day climatology of earlier
+    days, or the month's. ``origins`` has (keys, origin, last_day, ``base``).
+    """
+    first = F.date_sub(F.to_date("origin"), 14)
+    path = (origins.select(*keys, "origin", base, F.explode(F.sequence(first, F.to_date("last_day"), F.expr("interval 1 day"))).alias("_d"))
+            .withColumns({"date": F.col("_d").cast("timestamp_ntz"), "month": F.month("_d"), "day_of_month": F.dayofmonth("_d"),
+                          "_day": F.datediff("_d", F.lit("1970-01-01").cast("date")).cast("long")}).drop("_d"))
+    past = (history.join(origins.select(*keys, "origin"), keys).where(F.col("date") < F.col("origin"))
+            .withColumns({"month": F.month("date"), "day_of_month": F.dayofmonth("date")}))
+    by = [*keys, "origin"]
+    path = exact_or_monthly(path, past, "temp_mean_c", by, name="_climate")
+    path = exact_or_monthly(path, past, "temp_mean_c", by, exact=["month"], name="_month")
+    path = path.join(past.select(*by, "date", F.col("temp_mean_c").alias("_seen")), [*by, "date"], "left")
+    path = path.withColumn("safe_temp", F.when(F.col("date") < F.col("origin"), F.coalesce("_seen", "_month")).otherwise(F.col("_climate")))
+
+    def build(w):
+        return {"temp_mean_lag_1d": F.lag("safe_temp", 1).over(w), "temp_mean_lag_7d": F.lag("safe_temp", 7).over(w),
+                "rolling_temp_mean_7d": F.avg("safe_temp").over(w.rowsBetween(-7, -1))}
+
+    out = framed(path, by, "_day", build, back=7, chunk=366 * 4).where(F.col("date") >= F.col("origin"))
+    lag1 = F.col("temp_mean_lag_1d")
+    return (out.withColumns({"hdd_lag_1d": positive(F.col(base) - lag1), "cdd_lag_1d": positive(lag1 - F.col(base))})
+            .select(*by, "date", "safe_temp", "temp_mean_lag_1d", "temp_mean_lag_7d", "rolling_temp_mean_7d", "hdd_lag_1d", "cdd_lag_1d"))
+
+
 def civil_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Calendar columns when the market clock is the civil clock."""
     return with_calendar(df.withColumns({"local_timestamp": F.col(ts), "local_date": day_of(ts)}))

@@ -103,6 +103,11 @@ def gaussian_criteria(n, rss, params) -> dict[str, Column]:
     return {"AIC": base + 2 * (params + 1), "BIC": base + F.log(n) * (params + 1)}
 
 
+def nested_f(n, rss_small, k_small, rss_large, k_large) -> Column:
+    """F statistic of a nested pair of fits with ``k`` coefficients each (statistic only)."""
+    return F.try_divide((rss_small - rss_large) / (k_large - k_small), rss_large / (n - k_large))
+
+
 def simple_regression(df: DataFrame, x: str, y: str, keys=KEYS) -> DataFrame:
     """One-regressor least squares from moments: slope, intercept, R2, RSS."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -30,21 +30,37 @@ def estimator(kind: str, features: list[str], target: str = "y", quick: bool = F
         regressor(featuresCol="features", labelCol=target, predictionCol="prediction", **settings)])
 
 
+def _any_of(keys: list[str], groups: list[tuple]):
+    """Rows of the named groups."""
+    tests = [F.lit(False)]
+    for group in groups:
+        same = F.lit(True)
+        for k, v in zip(keys, group):
+            same = same & (F.col(k) == F.lit(v))
+        tests.append(same)
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
 def fit_groups(train: DataFrame, keys: list[str], groups: list[tuple], kind: str, features: list[str],
                min_rows: int = 2000, parallel: int = 4, **settings) -> tuple[dict, list[dict]]:
     """One model per named group; independent fits share the cluster from a small thread pool.
 
-    Returns the models and one status row per group.
+    The training frame is written once, so the passes of each fit read files. Returns the models and one status row per group.
     """
     if len(groups) > MAX_MODELS:
         raise ValueError(f"{len(groups)} models asked for; pool the series or raise MAX_MODELS")
-    full = train.dropna(subset=[*features, "y"])
+    full = cut_lineage(train.dropna(subset=[*features, "y"]).select(*keys, "y", *features), "train")
+    sizes = {tuple(r[k] for k in keys): r["n"] for r in
+             full.where(_any_of(keys, groups)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def fit(group):
         rows = full
         for k, v in zip(keys, group):
             rows = rows.where(F.col(k) == F.lit(v))
-        n = rows.count()
+        n = sizes.get(tuple(group), 0)
         status = {**dict(zip(keys, group)), "train_rows": n}
         if n < min_rows:
             return None, {**status, "status": "MODEL_FAILED", "detail": "too few complete training rows"}

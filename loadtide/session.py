@@ -13,6 +13,7 @@ def build_session(app: str = "loadtide", cores: str = "*", **conf) -> SparkSessi
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.driver.memory", "12g"))
     for k, v in conf.items():
         builder = builder.config(k, v)
