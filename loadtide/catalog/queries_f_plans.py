@@ -32,12 +32,11 @@ def m01(spark, folder):
     QUALIFY row_number() OVER (PARTITION BY region, anchor ORDER BY origin DESC) <= 3""")
 def m02(spark, folder):
     d = v.daily_demand(spark, folder)
-    spans = d.groupBy("region").agg(F.min("date").alias("s"), F.max("date").alias("e"),
-                                    F.collect_set(F.trunc(F.to_date("date"), "month")).alias("_a"))
+    spans = d.groupBy("region").agg(F.min("date").alias("s"), F.max("date").alias("e"))
     months = v.table(spark, folder, "orders").select(F.trunc(F.to_date("o_orderdate"), "month").alias("a")).distinct()
     anchors = F.explode(F.sequence(F.trunc(F.to_date("lo"), "month"), F.trunc(F.to_date("hi"), "month"), F.expr("interval 1 month")))
     ends = months.agg(F.min("a").alias("lo"), F.max("a").alias("hi")).first()        # two dates
-    spans = (spans.drop("_a").withColumns({"lo": F.lit(ends["lo"]), "hi": F.lit(ends["hi"])})
+    spans = (spans.withColumns({"lo": F.lit(ends["lo"]), "hi": F.lit(ends["hi"])})
              .select("region", "s", "e", anchors.alias("anchor")).withColumn("anchor", F.col("anchor").cast("timestamp_ntz")))
     return panel.analogue_origins(spans, "anchor", "s", "e").select("region", "anchor", "origin", "horizon_end", "rank")
 
@@ -428,7 +427,7 @@ def m34(spark, folder):
     ON c.region = o.region AND c.origin_hh = o.origin_hh AND c.k = o.hh % 48""", nums="forecast")
 def udf1(spark, folder):
     g = v.grid_a(spark, folder)
-    return custom.run_forecaster(g, v.origin_many(g), custom.mean_of_last_days, 336, "MeanOfLastDays")
+    return custom.run_forecaster(g, v.origin_many(g), custom.clock_mean(), 336, "MeanOfLastDays")
 
 
 # --- streaming -------------------------------------------------------------------------------------

@@ -32,7 +32,12 @@ def run_forecaster(df: DataFrame, origins: DataFrame, forecaster, history_steps:
     return rows.groupBy(*keys, "origin_hh").applyInPandas(run, schema)
 
 
-def mean_of_last_days(history: pd.Series, slots):
-    """Mean of each half-hour over the history window."""
-    by_clock = history.groupby(history.index % 48).mean()
-    return [by_clock.get(int(h) % 48) for h in slots]
+def clock_mean(steps_per_day: int = 48):
+    """Forecaster: mean of each half-hour over the history it is given.
+
+    Made by a function, so it travels to the workers by value.
+    """
+    def forecaster(history, slots):
+        by_clock = history.groupby(history.index % steps_per_day).mean()
+        return [by_clock.get(int(h) % steps_per_day) for h in slots]
+    return forecaster

@@ -51,7 +51,7 @@ def test_sequence_windows_end_before_the_origin(spark):
 
 
 def test_user_forecaster_sees_only_the_past(spark):
-    got = custom.run_forecaster(history(spark), origins(spark), custom.mean_of_last_days, 336, "m").toPandas()
+    got = custom.run_forecaster(history(spark), origins(spark), custom.clock_mean(), 336, "m").toPandas()
     assert len(got) == 500 and got["forecast"].max() < SENTINEL
 
 

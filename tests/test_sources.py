@@ -35,6 +35,26 @@ def test_html_files_are_rejected_whole(spark):
     assert out.count() == 2 and {r["path"] for r in out.collect()} == {"good"}
 
 
+def test_month_files_end_to_end(spark, tmp_path):
+    head = "REGION,SETTLEMENTDATE,TOTALDEMAND,RRP,PERIODTYPE"
+    (tmp_path / "m1.csv").write_text(f"{head}\nN1,2024/01/31 23:55:00,1,0,T\nN1,bad,1,0,T\n")
+    (tmp_path / "m2.csv").write_text(f"{head}\nN1,2024/01/31 23:55:00,2,0,T\nN1,2024/02/01 00:00:00,3,0,T\n")
+    (tmp_path / "m3.csv").write_text("<html><body>\nN1,2024/03/01 00:00:00,9,0,T\n</body></html>\n")
+    lines = src.read_month_files(spark, str(tmp_path / "*.csv"), head)
+    rows = lines.select(F.struct("path", "line_no").alias("seq"), F.from_csv("line", "region string, settlement_text string, y double, rrp double, kind string").alias("r"))
+    got = src.merge_months(rows.select("seq", "r.*")).toPandas().sort_values("ts")
+    assert got["settlement_text"].tolist() == ["2024/01/31 23:55:00", "2024/02/01 00:00:00"] and got["y"].tolist() == [2.0, 3.0]
+
+
+def test_json_payloads_take_the_longest_list(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{"meta": [{"k": 1}],\n "data": {"rows": [{"k": 5}, {"k": 6}]}}')
+    (tmp_path / "e.json").write_text('{"meta": [{"k": 7}], "data": {}}')
+    kind = "array<struct<k:bigint>>"
+    docs = src.read_json_payloads(spark, str(tmp_path / "*.json"), f"meta {kind}, data struct<rows:{kind}>")
+    best = src.largest_record_list("p", {"meta": (F.col("p.meta"), kind), "rows": (F.col("p.data.rows"), kind)})
+    assert sorted(r["k"] for r in docs.select(F.inline(best)).collect()) == [5, 6, 7]
+
+
 @pytest.mark.parametrize("text,want", [("2023-10-01 08:05:00", "2023-10-01 08:05"), ("2023/1/2", "2023-01-02 00:00"), ("03/04/2023 09:30", "2023-04-03 09:30"),
                                        ('"31-12-2022 23:30:00"', "2022-12-31 23:30"), ("2023-10-01T08:05:00", "2023-10-01 08:05"), ("nonsense", None)])
 def test_mixed_dates(spark, text, want):
