@@ -256,6 +256,34 @@ def m16(spark, folder):
                                      models.predict_groups(fitted, ["region"]), days, ends["origin_hh"])
 
 
+LAGGED = """SELECT h.hh, h.y, b.y AS x1, sin(2 * pi() * h.half_hour_index / 48) AS x2 FROM (SELECT c.* FROM cal_b c JOIN origin_one_b o ON o.region = c.region WHERE c.hh < o.origin_hh) h LEFT JOIN grid_b b ON b.hh = h.hh - 48"""
+
+
+@query("M16b_recursive_one_lag", f"""WITH l AS ({LAGGED}), f AS (SELECT regr_intercept(y, x1) AS a, regr_slope(y, x1) AS b FROM l), m AS (SELECT median(x1) AS med FROM l),
+    h AS (SELECT *, unnest(range(origin_hh, end_hh + 1)) AS hh FROM origin_one_b), k AS (SELECT region, hh, (hh - origin_hh) // 48 + 1 AS k FROM h)
+    SELECT k.region, k.hh, a * (1 - pow(b, k)) / (1 - b) + pow(b, k) * coalesce(g.y, med) AS forecast FROM k CROSS JOIN f CROSS JOIN m LEFT JOIN grid_b g ON g.hh = k.hh - 48 * k.k""", nums="forecast")
+def m16b(spark, folder):
+    """The same recursion with one lag, where a linear model has a closed form to check against."""
+    g, o, train, future = _train_and_future(spark, folder)
+    fitted, _ = models.fit_groups(train, ["region"], [("ALL",)], "linear", ["lag_48"], min_rows=20)
+    ends = o.first()
+    days = (ends["end_hh"] - ends["origin_hh"]) // 48 + 1
+    out = models.recursive_forecast(train, future, models.training_medians(train, ["region"], ["lag_48"]), ["region"], ["lag_48"],
+                                    models.predict_groups(fitted, ["region"]), days, ends["origin_hh"])
+    return out.select("region", "hh", "forecast")
+
+
+@query("M17b_two_regressor_fit", f"""WITH l AS (SELECT * FROM ({LAGGED}) WHERE y IS NOT NULL AND x1 IS NOT NULL), s AS (SELECT covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22, covar_pop(x1, x2) AS s12, covar_pop(y, x1) AS s1y, covar_pop(y, x2) AS s2y,
+      avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM l), b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s)
+    SELECT 'intercept' AS term, my - b1 * m1 - b2 * m2 AS coefficient FROM b UNION ALL SELECT 'lag_48', b1 FROM b UNION ALL SELECT 'sin_half_hour', b2 FROM b""", nums="coefficient")
+def m17b(spark, folder):
+    terms = ["lag_48", "sin_half_hour"]
+    _, _, train, _ = _train_and_future(spark, folder)
+    fitted, _ = models.fit_groups(train, ["region"], [("ALL",)], "linear", terms, min_rows=20)
+    rows = [kv for m in fitted.values() for kv in models.linear_coefficients(m, terms).items()]
+    return spark.createDataFrame(rows, "term string, coefficient double")
+
+
 @query("M17_linear_arx")
 def m17(spark, folder):
     return _fit_rows(spark, folder, "linear")
