@@ -40,7 +40,7 @@ def test_null_runs_of_any_length(spark):
 
 
 def minutes(spark, rows):
-    return spark.createDataFrame([("a", pd.Timestamp(t).to_pydatetime(), v, i) for i, (t, v) in enumerate(rows)],
+    return spark.createDataFrame([("a", pd.Timestamp(t).to_pydatetime(), float(v), i) for i, (t, v) in enumerate(rows)],
                                  "region string, ts timestamp_ntz, y double, seq long")
 
 
