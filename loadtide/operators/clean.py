@@ -7,6 +7,7 @@ from loadtide.config import IQR_K, MAD_SCALE, SHORT_GAP
 from loadtide.functions.clock import ONE_MINUTE, floor_div, from_micros, micros, month_start
 from loadtide.operators.ordered import framed, keep_one, with_neighbour, with_row_number
 from loadtide.operators.quantiles import exact_median, exact_quantiles
+from loadtide.session import cut_lineage
 
 KEYS = ["region"]
 
@@ -153,23 +154,22 @@ def outlier_bounds(df: DataFrame, keys=KEYS, value="y", k: float = IQR_K) -> Dat
                           "hi": F.col("q3") + k * (F.col("q3") - F.col("q1"))})
 
 
-def robust_scale(df: DataFrame, keys=KEYS, value="y") -> DataFrame:
-    """Median and median absolute deviation of the valid rows."""
-    valid = df.where("is_invalid = 0")
-    med = exact_median(valid, keys, value, "med")
-    away = valid.join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("med")))
-    return med.join(exact_median(away, keys, "_d", "mad"), keys)
+def absolute_deviation(valid: DataFrame, medians: DataFrame, keys=KEYS, value="y") -> DataFrame:
+    """Median absolute deviation from the given medians (keys, med)."""
+    away = valid.join(medians, keys).withColumn("_d", F.abs(F.col(value) - F.col("med")))
+    return exact_median(away, keys, "_d", "mad")
 
 
 def flag_outliers(df: DataFrame, keys=KEYS, pos="pos", value="y", k: float = IQR_K,
                   threshold: float = 0.0) -> DataFrame:
     """Invalid, statistical outlier, robust z, and isolated or sustained type. Nothing is removed."""
     base = df.withColumn("is_invalid", flag_invalid(value, threshold))
-    bounds = outlier_bounds(base, keys, value, k).select(*keys, "lo", "hi")
-    scale = robust_scale(base, keys, value)
+    # one row per series, written once: the flags and the deviation both read it
+    bounds = cut_lineage(outlier_bounds(base, keys, value, k).select(*keys, "lo", "hi", "med"), "bounds")
+    mad = absolute_deviation(base.where("is_invalid = 0"), bounds.select(*keys, "med"), keys, value)
     y = F.col(value)
     outside = (F.col("is_invalid") == 0) & ((y < F.col("lo")) | (y > F.col("hi")))
-    flagged = (base.join(bounds, keys, "left").join(scale, keys, "left")
+    flagged = (base.join(bounds, keys, "left").join(mad, keys, "left")
                .withColumns({
                    "is_stat_outlier": F.coalesce(outside, F.lit(False)).cast("int"),
                    "robust_z": F.when(F.col("mad") > 0, (y - F.col("med")) / (MAD_SCALE * F.col("mad")))})

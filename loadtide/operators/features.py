@@ -8,6 +8,7 @@ from loadtide.functions.clock import day_of, floor_div, with_calendar
 from loadtide.functions.numeric import positive, safe_corr
 from loadtide.operators.ordered import framed, with_row_number
 from loadtide.operators.quantiles import average_ranks
+from loadtide.session import cut_lineage
 
 KEYS = ["region"]
 
@@ -260,10 +261,10 @@ def unpivot(df: DataFrame, columns: list[str], keep: list[str] = (), name="featu
 def feature_correlations(df: DataFrame, features: list[str], keys=KEYS, target="y") -> DataFrame:
     """Pearson and Spearman of each feature with the target on jointly complete rows.
 
-    Ranks come from value histograms, one (series, feature, value) row per
+    The complete rows are written once and read by every pass below. Ranks come from value histograms, one (series, feature, value) row per
     distinct value, so ties are settled before any ordering and a hot value is one row.
     """
-    full = df.select(*keys, target, *features).dropna()
+    full = cut_lineage(df.select(*keys, target, *features).dropna(), "complete-rows")
     long = unpivot(full, features, [*keys, target])
     pearson = long.groupBy(*keys, "feature").agg(
         safe_corr("value", target).alias("pearson"), F.count(F.lit(1)).alias("n"))

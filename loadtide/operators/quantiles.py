@@ -61,7 +61,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     return exact_quantiles(df, keys, value, {name: 0.5})
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank", parts: int = 256) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "rank", parts: int = 64) -> DataFrame:
     """Average rank and number of copies of every distinct value per key.
 
     Equal-depth cuts from a sketch split each key's value histogram; ranks run
