@@ -1,5 +1,6 @@
 """Helpers shared by the text operators."""
 import sys
+import types
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -37,6 +38,14 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, kinds)
 
 
+def held(key: str, make):
+    """An object that a Python worker makes once and keeps for its later tasks (tables of a tokenizer, say)."""
+    store = sys.modules.setdefault("loadtide_held", types.ModuleType("loadtide_held")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def to_arrow(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(schema)

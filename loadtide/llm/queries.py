@@ -20,3 +20,18 @@ def op5(spark, folder):
     """Near-duplicate classes of documents: three-word shingles, Jaccard similarity of 0.85 or more."""
     from loadtide.llm.near_dup import near_duplicates
     return near_duplicates(table(spark, folder, "documents"), percent=85, words=3)
+
+
+@query("op3_word_bpe")
+def op3(spark, folder):
+    """Every document encoded and decoded with the public word-end vocabulary."""
+    import public_tokenizers
+    from loadtide.llm.word_bpe import digests
+    return digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_packing")
+def op9(spark, folder):
+    """All documents packed into sequences of 1024 tokens."""
+    from loadtide.llm.packing import pack, public_encoder
+    return pack(table(spark, folder, "documents"), public_encoder())
