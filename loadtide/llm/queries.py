@@ -35,3 +35,11 @@ def op9(spark, folder):
     """All documents packed into sequences of 1024 tokens."""
     from loadtide.llm.packing import pack, public_encoder
     return pack(table(spark, folder, "documents"), public_encoder())
+
+
+@query("op8_toxicity")
+def op8(spark, folder):
+    """Toxicity of every document, restored by a noisy channel; labels of held-out rows are never used."""
+    from loadtide.llm.toxicity import fit, score
+    docs = table(spark, folder, "documents")
+    return score(docs, fit(docs, table(spark, folder, "labels")))
