@@ -1,4 +1,5 @@
 """Named queries of the text operators over the given tables, and the SQL that checks those SQL can express."""
+import corpus_pipeline
 from loadtide.llm.common import table
 
 QUERIES: dict = {}
@@ -43,3 +44,40 @@ def op8(spark, folder):
     from loadtide.llm.toxicity import fit, score
     docs = table(spark, folder, "documents")
     return score(docs, fit(docs, table(spark, folder, "labels")))
+
+
+@query("op1_line_dedup", """
+WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+split AS (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages),
+keyed AS (SELECT DISTINCT source, text, trim(line, chr(32) || chr(9) || chr(13)) AS k FROM split WHERE trim(line, chr(32) || chr(9) || chr(13)) <> ''),
+total AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+bad AS (SELECT k.source, k.k FROM keyed k JOIN total t ON k.source = t.source GROUP BY k.source, k.k, t.pages
+        HAVING count(*) >= 4 AND count(*) > 0.05 * t.pages),
+numbered AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+lines AS (SELECT r, source, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM numbered),
+marked AS (SELECT l.r, l.i, l.line, b.k IS NOT NULL AS gone FROM lines l
+           LEFT JOIN bad b ON l.source = b.source AND b.k = trim(l.line, chr(32) || chr(9) || chr(13))),
+joined AS (SELECT r, count(*) AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_dropped,
+           coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM marked GROUP BY r)
+SELECT n.doc_id, n.source, coalesce(j.n_lines, 0) AS n_lines, CAST(coalesce(j.n_dropped, 0) AS BIGINT) AS n_dropped, j.text AS text
+FROM numbered n LEFT JOIN joined j ON n.r = j.r""")
+def op1(spark, folder):
+    """Documents without the lines that are on over 5 % of their source's pages."""
+    from loadtide.llm.line_dedup import drop_boilerplate
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate(docs, host="source", counted=True).select("doc_id", "source", "n_lines", "n_dropped", "text")
+
+
+@query("op6_sanitize")
+def op6(spark, folder):
+    """Personal data in every document, and terms that give it away."""
+    from pyspark.sql import functions as F
+    from loadtide.llm.sanitize import find_personal_data
+    found = find_personal_data(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")
+
+
+@query("pipeline")
+def pipeline(spark, folder):
+    """The stages of corpus_pipeline over documents."""
+    return corpus_pipeline.run(spark, folder)

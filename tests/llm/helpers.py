@@ -29,3 +29,32 @@ def near_classes(rows, percent, k):
                     ra, rb = find(a), find(b)
                     root[max(ra, rb)] = min(ra, rb)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+KIND_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def personal_spans(text):
+    """[(kind, start, end)] of the four patterns, by kind, then start."""
+    out = []
+    for kind, pattern in KIND_PATTERNS.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                  "card": lambda: 13 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 9 <= len(digits) <= 15}[kind]()
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
