@@ -81,3 +81,25 @@ def op6(spark, folder):
 def pipeline(spark, folder):
     """The stages of corpus_pipeline over documents."""
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op4_licenses")
+def op4(spark, folder):
+    """License notices and identifier expressions of every document."""
+    from loadtide.llm.licenses import scan_licenses
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op10_fingerprints")
+def op10(spark, folder):
+    """Winnowing fingerprints of every document and its edited text."""
+    from loadtide.llm.winnow import compare_with_next
+    return compare_with_next(table(spark, folder, "documents"))
+
+
+@query("op7_multi_index")
+def op7(spark, folder):
+    """The 20 nearest of every twentieth vector."""
+    from pyspark.sql import functions as F
+    from loadtide.llm.multi_index import search
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
