@@ -103,3 +103,10 @@ def op7(spark, folder):
     from pyspark.sql import functions as F
     from loadtide.llm.multi_index import search
     return search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op2_warc_derivatives")
+def op2(spark, folder):
+    """Metadata and conversion records of all pages."""
+    from loadtide.llm.warc import derivatives, responses_from_pages
+    return derivatives(responses_from_pages(table(spark, folder, "pages"), "2024-01-01T00:00:00Z"))
