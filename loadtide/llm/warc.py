@@ -20,7 +20,7 @@ VERSION = "WARC/1.1"
 RECORD = ("warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, "
           "payload_digest string, content string")
 #: Elements whose content is no text, and elements that end a line of text.
-DROPPED = ("script", "style", "noscript", "template", "svg", "head")
+DROPPED = ("script", "style", "noscript", "template", "svg", "title", "head")
 BLOCKS = frozenset("address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol "
                    "option p pre section table tbody td tfoot th thead title tr ul".split())
 DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(DROPPED)})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)", re.S | re.I)

@@ -115,7 +115,7 @@ def _ranges(docs: DataFrame):
     parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
     # Null ids come first. A range holds the ids from its cut on; the cast to double keeps their order.
-    edges = sorted({float(c) for c in cuts or []})
+    edges = sorted({float(c) for c in cuts or []}) or [0.0]
     finder = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_id", outputCol="_part", handleInvalid="keep")
     placed = finder.transform(docs.withColumn("_id", F.col("doc_id").cast("double")))
     placed = placed.select(F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("_part").cast("int")).alias("part"), "doc_id", "text")
