@@ -315,13 +315,13 @@ def j14(spark, folder):
     return ft.exact_or_monthly(keyed(t), w, "temp_mean_c", keys=[], name="climatology").select("date", "climatology")
 
 
-@query("J15_recomputed_vs_published", """SELECT region, origin, model, round(abs(round(MAE, 4) - MAE), 3) AS MAE_abs_diff, round(abs(round(Bias, 4) - Bias), 3) AS Bias_abs_diff FROM scores""",
+@query("J15_recomputed_vs_published", """SELECT region, origin, model, abs(round(MAE, 4) - MAE) AS MAE_abs_diff, abs(round(Bias, 4) - Bias) AS Bias_abs_diff FROM scores""",
        nums="MAE_abs_diff Bias_abs_diff")
 def j15(spark, folder):
     s = v.scores(v.grid_a(spark, folder))
     pub = s.select("region", "origin", "model", F.round("MAE", 4).alias("MAE_p"), F.round("Bias", 4).alias("Bias_p"))
     j = s.join(pub, ["region", "origin", "model"])
-    return j.select("region", "origin", "model", *[F.round(F.abs(F.col(c) - F.col(f"{c}_p")), 3).alias(f"{c}_abs_diff") for c in ("MAE", "Bias")])
+    return j.select("region", "origin", "model", *[F.abs(F.col(c) - F.col(f"{c}_p")).alias(f"{c}_abs_diff") for c in ("MAE", "Bias")])
 
 
 @query("J16_readiness_coverage_join", """SELECT r.region, r.rows, c.rows AS rows_coverage, c.missing FROM (SELECT region, count(*) AS rows FROM readings GROUP BY 1) r

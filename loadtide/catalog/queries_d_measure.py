@@ -411,19 +411,22 @@ def m18b(spark, folder):
     return stats.box_pierce(stats.autocorrelation(s, 5), s.groupBy("region").agg(F.count(F.lit(1)).alias("n")), 5).select("Q")
 
 
-@query("M19_periodogram", f"""WITH s AS (SELECT *, max(pos) OVER () + 1 AS n, y - avg(y) OVER () AS dy FROM ({SERIES}))
-    SELECT j, j * 1.0 / n AS freq, (sum(dy * cos(2 * pi() * j * pos / n)) * sum(dy * cos(2 * pi() * j * pos / n)) + sum(dy * sin(2 * pi() * j * pos / n)) * sum(dy * sin(2 * pi() * j * pos / n))) / n AS power
-    FROM s, (SELECT unnest(range(1, (SELECT count(*) FROM daily_weather) // 2 + 1)) AS j) GROUP BY j, n""", nums="freq power")
+# Periods in days at which daily series are looked at.
+PERIODS = {"year": 365.25, "half_year": 182.625, "quarter": 91.3125, "month": 30.4375, "fortnight": 14.0, "week": 7.0, "half_week": 3.5}
+PERIOD_SQL = "(VALUES " + ", ".join(f"('{k}', {length})" for k, length in PERIODS.items()) + ") p(period, len)"
+SPECTRUM = f"""WITH s AS (SELECT *, count(*) OVER () AS n, y - avg(y) OVER () AS dy, x - avg(x) OVER () AS dx FROM ({SERIES})),
+    t AS (SELECT period, k, n, 1.0 / len + k * 1.0 / n AS freq, sum(dy * cos(2 * pi() * pos * (1.0 / len + k * 1.0 / n))) AS ca, sum(dy * sin(2 * pi() * pos * (1.0 / len + k * 1.0 / n))) AS sa,
+      sum(dx * cos(2 * pi() * pos * (1.0 / len + k * 1.0 / n))) AS cb, sum(dx * sin(2 * pi() * pos * (1.0 / len + k * 1.0 / n))) AS sb
+      FROM s, {PERIOD_SQL}, (SELECT unnest(range(-12, 13)) AS k) GROUP BY period, k, n, len)"""
+
+
+@query("M19_periodogram", f"{SPECTRUM} SELECT period, freq, (ca * ca + sa * sa) / n AS power FROM t WHERE k = 0", nums="freq power")
 def m19(spark, folder):
-    return stats.periodogram(_daily_series(spark, folder)).select("j", "freq", F.col("p_a").alias("power"))
+    return stats.power_at(_daily_series(spark, folder), PERIODS).select("period", "freq", F.col("p_a").alias("power"))
 
 
-@query("M19b_smoothed_coherence", f"""WITH s AS (SELECT *, max(pos) OVER () + 1 AS n, y - avg(y) OVER () AS dy, x - avg(x) OVER () AS dx FROM ({SERIES})),
-    t AS (SELECT j, j * 1.0 / n AS freq, n, sum(dy * cos(2 * pi() * j * pos / n)) AS ca, sum(dy * sin(2 * pi() * j * pos / n)) AS sa, sum(dx * cos(2 * pi() * j * pos / n)) AS cb, sum(dx * sin(2 * pi() * j * pos / n)) AS sb
-      FROM s, (SELECT unnest(range(1, (SELECT count(*) FROM daily_weather) // 2 + 1)) AS j) GROUP BY j, n)
-    SELECT j, freq, avg((ca * ca + sa * sa) / n) OVER w AS smooth_a, avg((cb * cb + sb * sb) / n) OVER w AS smooth_b,
-      (pow(avg((ca * cb + sa * sb) / n) OVER w, 2) + pow(avg((ca * sb - sa * cb) / n) OVER w, 2)) / (avg((ca * ca + sa * sa) / n) OVER w * avg((cb * cb + sb * sb) / n) OVER w) AS coherence
-    FROM t WINDOW w AS (ORDER BY j ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)""", nums="freq smooth_a smooth_b coherence")
+@query("M19b_smoothed_coherence", f"""{SPECTRUM} SELECT period, avg((ca * ca + sa * sa) / n) AS smooth_a, avg((cb * cb + sb * sb) / n) AS smooth_b,
+      (pow(avg((ca * cb + sa * sb) / n), 2) + pow(avg((ca * sb - sa * cb) / n), 2)) / (avg((ca * ca + sa * sa) / n) * avg((cb * cb + sb * sb) / n)) AS coherence FROM t GROUP BY period""", nums="smooth_a smooth_b coherence")
 def m19b(spark, folder):
-    spec = stats.periodogram(_daily_series(spark, folder), values=["y", "x"])
-    return stats.smooth_spectrum(spec, 25).select("j", "freq", "smooth_a", "smooth_b", "coherence")
+    spec = stats.power_at(_daily_series(spark, folder), PERIODS, values=["y", "x"], spread=12)
+    return stats.coherence_at(spec).select("period", "smooth_a", "smooth_b", "coherence")

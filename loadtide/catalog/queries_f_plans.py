@@ -239,7 +239,7 @@ def _fit_rows(spark, folder, kind, **settings):
 
 @query("M14_random_forest_fit")
 def m14(spark, folder):
-    return _fit_rows(spark, folder, "forest", numTrees=20, maxDepth=8)
+    return _fit_rows(spark, folder, "forest")
 
 
 @query("M15_boosted_trees_fit")
@@ -289,20 +289,21 @@ def m17(spark, folder):
     return _fit_rows(spark, folder, "linear")
 
 
-@query("M18_trend_degree_by_aic")
+TREND = """WITH d AS (SELECT temp_mean_c AS y, date_diff('day', DATE '1995-01-01', CAST(date AS DATE)) / 1000.0 - 1.25 AS t FROM daily_weather),
+    p1 AS (SELECT y, t, t - (SELECT avg(t) FROM d) AS q1 FROM d), k1 AS (SELECT sum(t * q1 * q1) / sum(q1 * q1) AS a, sum(q1 * q1) / count(*) AS b FROM p1),
+    p2 AS (SELECT y, t, q1, (t - a) * q1 - b AS q2 FROM p1, k1), k2 AS (SELECT sum(t * q2 * q2) / sum(q2 * q2) AS a, sum(q2 * q2) / sum(q1 * q1) AS b FROM p2),
+    p3 AS (SELECT y, t, q1, q2, (t - a) * q2 - b * q1 AS q3 FROM p2, k2), k3 AS (SELECT sum(t * q3 * q3) / sum(q3 * q3) AS a, sum(q3 * q3) / sum(q2 * q2) AS b FROM p3),
+    p4 AS (SELECT y, t, q1, q2, q3, (t - a) * q3 - b * q2 AS q4 FROM p3, k3),
+    g AS (SELECT count(*) AS n, regr_syy(y, t) AS syy, pow(sum(y * q1), 2) / sum(q1 * q1) AS g1, pow(sum(y * q2), 2) / sum(q2 * q2) AS g2, pow(sum(y * q3), 2) / sum(q3 * q3) AS g3, pow(sum(y * q4), 2) / sum(q4 * q4) AS g4 FROM p4),
+    r AS (SELECT n, unnest([1, 2, 3, 4]) AS degree, unnest([syy - g1, syy - g1 - g2, syy - g1 - g2 - g3, syy - g1 - g2 - g3 - g4]) AS rss FROM g)"""
+
+
+@query("M18_trend_degree_by_aic", f"{TREND} SELECT degree, n, rss, n * (ln(2 * pi()) + ln(rss / n) + 1) + 2 * (degree + 2) AS AIC, n * (ln(2 * pi()) + ln(rss / n) + 1) + ln(n) * (degree + 2) AS BIC FROM r", nums="rss AIC BIC", ints="degree")
 def m18(spark, folder):
-    """Polynomial degree 1..4 by AIC; each fit is a normal-equation pass over the daily series."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from loadtide.operators.stats import gaussian_criteria
-    d = v.daily_weather(spark, folder).withColumn("t", F.datediff(F.to_date("date"), F.lit("1995-01-01").cast("date")) / F.lit(1000.0))
-    d = d.select(F.col("temp_mean_c").alias("y"), *[F.pow("t", F.lit(k)).alias(f"t{k}") for k in range(1, 5)])
-    n, rows = d.count(), []
-    for k in range(1, 5):
-        fit = models.estimator("linear", [f"t{i}" for i in range(1, k + 1)]).fit(d)
-        mse = RegressionEvaluator(labelCol="y", metricName="mse").evaluate(fit.transform(d))
-        rows.append((k, n, mse * n))
-    t = spark.createDataFrame(rows, "degree int, n long, rss double")
-    return t.withColumns(gaussian_criteria(F.col("n"), F.col("rss"), F.col("degree") + 1)).orderBy("AIC")
+    """Polynomial degree 1..4 by AIC, all fits from one aggregate of power sums."""
+    from loadtide.operators.stats import gaussian_criteria, polynomial_rss
+    d = v.daily_weather(spark, folder).select(F.col("temp_mean_c").alias("y"), (F.datediff(F.to_date("date"), F.lit("1995-01-01").cast("date")) / F.lit(1000.0) - 1.25).alias("t"))
+    return polynomial_rss(d, "t", "y", 4).withColumns(gaussian_criteria(F.col("n"), F.col("rss"), F.col("degree") + 1)).orderBy("AIC")
 
 
 @query("M20_exogenous_support", """SELECT region, hi0 - lo0 AS train_range, hi1 - lo1 AS horizon_range, sd AS train_sd, CASE WHEN sd <= 1e-8 THEN 'no training variation' WHEN hi1 - lo1 > 1.5 * greatest(hi0 - lo0, 1e-9) THEN 'horizon outruns training' ELSE 'keep' END AS verdict FROM (
@@ -410,7 +411,7 @@ def m29(spark, folder):
 
 @query("M30_feature_importance")
 def m30(spark, folder):
-    *_, fitted = _fit_predict(spark, folder, "forest", numTrees=20, maxDepth=8)
+    *_, fitted = _fit_predict(spark, folder, "forest")
     return models.importance_table(spark, fitted, ["region"], MODEL_FEATURES)
 
 

@@ -6,6 +6,7 @@ from loadtide.catalog.check_views import CTES
 
 QUERIES: dict = {}
 SQL: dict = {}
+RAW_SQL: dict = {}                                                   # bodies before the shared views are put in front
 
 
 def published(df: DataFrame) -> DataFrame:
@@ -65,5 +66,6 @@ def query(key: str, sql: str | None = None, nums: str = "", ints: str = ""):
         QUERIES[key] = run
         if sql:
             SQL[key] = check_sql(sql, nums, ints)
+            RAW_SQL[key] = sql
         return fn
     return wrap

@@ -33,7 +33,7 @@ def readiness(rows: DataFrame, facts: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("checks_run"), F.count_if(F.col("result") == "PASS").alias("checks_passed"),
         F.count_if(fail).alias("failures"), F.count_if(critical).alias("critical_failures"))
     j = agg.join(facts, "region", "left")
-    status = (F.when(F.col("horizon_holidays") == 0, "NOT_READY")
+    status = (F.when(F.coalesce("horizon_holidays", F.lit(0)) == 0, "NOT_READY")
               .when(F.col("critical_failures") > 0, "NOT_READY")
               .when((F.col("failures") > 0) | (F.col("weather_pct") == 0) | (F.col("forecast_available") == 0),
                     "READY_WITH_WARNINGS").otherwise("READY"))

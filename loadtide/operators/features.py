@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loadtide.config import DAY, LAGS, RAIN_DAY_MM
 from loadtide.functions.clock import day_of, floor_div, with_calendar
 from loadtide.functions.numeric import positive, safe_corr
-from loadtide.operators.ordered import framed, with_row_number
+from loadtide.operators.ordered import framed, require_keys, with_row_number
 from loadtide.operators.quantiles import average_ranks
 from loadtide.session import cut_lineage
 
@@ -58,6 +58,7 @@ def demand_features_by_join(df: DataFrame, keys=KEYS, value="y") -> DataFrame:
 
 def trend_features(df: DataFrame, keys=KEYS) -> DataFrame:
     """Position and days since the start; on a gap-free grid position is slot arithmetic."""
+    df = require_keys(df, list(keys))
     start = df.groupBy(*keys).agg(F.min("hh").alias("_h0"))
     return (df.join(start, keys)
             .withColumns({"time_index": F.col("hh") - F.col("_h0"),

@@ -72,10 +72,15 @@ def with_neighbour(df: DataFrame, keys: list[str], order: str, chunk: Column,
             .drop(CHUNK_COL, "_near", "_at_edge", "_carried"))
 
 
+def require_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A NULL key raises: an equi-join would drop its rows without a word."""
+    return df.withColumns({k: F.coalesce(F.col(k), F.raise_error(F.lit(f"NULL in key column {k}")).cast(df.schema[k].dataType)) for k in keys})
+
+
 def with_row_number(df: DataFrame, keys: list[str], order: list, chunk: Column,
                     name: str = "pos") -> DataFrame:
     """Zero-based row number per series: number within the chunk plus a carried offset."""
-    rows = df.withColumn(CHUNK_COL, chunk)
+    rows = require_keys(df, keys).withColumn(CHUNK_COL, chunk)
     inner = W.partitionBy(*keys, CHUNK_COL).orderBy(*order)
     before = W.partitionBy(*keys).orderBy(CHUNK_COL).rowsBetween(W.unboundedPreceding, -1)
     sizes = rows.groupBy(*keys, CHUNK_COL).agg(F.count(F.lit(1)).alias("_n"))

@@ -3,7 +3,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadtide.config import DAY, WARMUP
-from loadtide.operators.ordered import framed
+from loadtide.operators.ordered import framed, require_keys
 
 KEYS = ["region"]
 
@@ -52,7 +52,7 @@ def chronological_split(starts: DataFrame, days: int = 56, min_valid: int = 10,
 
 def training_scaler(df: DataFrame, limits: DataFrame, columns: list[str], keys=KEYS) -> DataFrame:
     """Mean and deviation of the rows before each limit, with the last slot they saw."""
-    rows = df.join(limits, keys).where(F.col("hh") < F.col("origin_hh"))
+    rows = require_keys(df, list(keys)).join(limits, keys).where(F.col("hh") < F.col("origin_hh"))
     stats = [f(c).alias(f"{c}_{n}") for c in columns
              for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
     return rows.groupBy(*keys, "origin_hh").agg(F.max("hh").alias("fitted_until_hh"),

@@ -1,12 +1,10 @@
 """Research statistics: moving averages, correlograms, spectra, regression by normal equations."""
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loadtide.functions.numeric import safe_corr
-from loadtide.operators.ordered import framed
+from loadtide.operators.ordered import framed, require_keys
 
 KEYS = ["region"]
 
@@ -38,6 +36,7 @@ def _lag_sums(dev: DataFrame, left: str, right: str, lags, keys, pos) -> DataFra
 
 def autocorrelation(df: DataFrame, max_lag: int, keys=KEYS, pos="pos", value="y") -> DataFrame:
     """ACF to ``max_lag``: divides by n and the overall variance."""
+    df = require_keys(df, list(keys))
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count(value).alias("_n"),
                                   F.var_pop(value).alias("_v"))
     dev = df.join(stats, keys).select(*keys, pos, (F.col(value) - F.col("_m")).alias("_d"))
@@ -47,6 +46,7 @@ def autocorrelation(df: DataFrame, max_lag: int, keys=KEYS, pos="pos", value="y"
 
 def cross_correlation(df: DataFrame, x: str, y: str, max_lag: int, keys=KEYS, pos="pos") -> DataFrame:
     """CCF at -K..K: x[t + lag] with y[t], divided by n and both deviations."""
+    df = require_keys(df, list(keys))
     stats = df.groupBy(*keys).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.count(F.lit(1)).alias("_n"),
                                   (F.stddev_pop(x) * F.stddev_pop(y)).alias("_s"))
     dev = df.join(stats, keys).select(*keys, pos, (F.col(x) - F.col("_mx")).alias("_dx"), (F.col(y) - F.col("_my")).alias("_dy"))
@@ -61,40 +61,36 @@ def box_pierce(acf: DataFrame, n: DataFrame, lag: int, keys=KEYS) -> DataFrame:
     return q.join(n, keys).select(*keys, (F.col("n") * F.col("_s")).alias("Q"))
 
 
-def periodogram(df: DataFrame, keys=KEYS, pos="pos", values: list[str] = ("y",)) -> DataFrame:
-    """Power at the Fourier frequencies j/n, j = 1..n/2, of each demeaned daily series.
+def power_at(df: DataFrame, periods: dict, keys=KEYS, pos="pos", values: list[str] = ("y",), spread: int = 0) -> DataFrame:
+    """Power of each demeaned series at named periods (name -> length in steps): one aggregate of sums with sines and cosines.
 
-    A fast transform per series inside a grouped task: one series has one row per
-    day, so the calendar bounds the group. With two values also the cross-spectrum.
+    With two values also the cross-spectrum; ``spread`` adds the frequencies within so many Fourier steps (1/n) of each. Columns:
+    keys, period, k (Fourier steps from the period), freq, p_a, p_b, c_re, c_im.
     """
     a, b = values[0], values[-1]
-    schema = ", ".join(f"{k} string" for k in keys) + ", j long, freq double, p_a double, p_b double, c_re double, c_im double"
+    rows = require_keys(df, list(keys)).select(*keys, F.col(pos).alias("_t"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("_a").alias("_ma"), F.avg("_b").alias("_mb"))
+    asked = [(name, k, float(length)) for name, length in periods.items() for k in range(-spread, spread + 1)]
+    dev = rows.join(stats, list(keys)).select(*keys, "_t", "_n", (F.col("_a") - F.col("_ma")).alias("_a"), (F.col("_b") - F.col("_mb")).alias("_b"))
 
-    def transform(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        frame = frame.sort_values(pos)
-        n = len(frame)
-        fa, fb = (np.fft.rfft(frame[v].to_numpy() - frame[v].mean()) for v in (a, b))
-        j = np.arange(1, n // 2 + 1)
-        cross = fa[j] * np.conj(fb[j]) / n
-        out = {k: frame[k].iloc[0] for k in keys}
-        return pd.DataFrame({**out, "j": j, "freq": j / n, "p_a": np.abs(fa[j]) ** 2 / n,
-                             "p_b": np.abs(fb[j]) ** 2 / n, "c_re": cross.real, "c_im": cross.imag})
+    def sums(k, length):
+        angle = F.lit(2 * math.pi) * F.col("_t") * (F.lit(1 / length) + F.lit(float(k)) / F.col("_n"))
+        return F.array(*[F.sum(F.col(v) * f(angle)) for v in ("_a", "_b") for f in (F.cos, F.sin)])
 
-    return df.select(*keys, pos, *dict.fromkeys((a, b))).groupBy(*keys).applyInPandas(transform, schema)
+    wide = dev.groupBy(*keys, "_n").agg(*[sums(k, length).alias(f"_s{i}") for i, (_, k, length) in enumerate(asked)])
+    parts = F.array(*[F.struct(F.lit(name).alias("period"), F.lit(k).alias("k"), (F.lit(1 / length) + F.lit(float(k)) / F.col("_n")).alias("freq"),
+                               F.col(f"_s{i}").alias("_s")) for i, (name, k, length) in enumerate(asked)])
+    s = [F.col("_s")[i] for i in range(4)]
+    return wide.select(*keys, "_n", F.inline(parts)).select(
+        *keys, "period", "k", "freq", ((s[0] * s[0] + s[1] * s[1]) / F.col("_n")).alias("p_a"), ((s[2] * s[2] + s[3] * s[3]) / F.col("_n")).alias("p_b"),
+        ((s[0] * s[2] + s[1] * s[3]) / F.col("_n")).alias("c_re"), ((s[0] * s[3] - s[1] * s[2]) / F.col("_n")).alias("c_im"))
 
 
-def smooth_spectrum(spec: DataFrame, span: int, keys=KEYS) -> DataFrame:
-    """Simple moving average over neighbouring frequencies, with squared coherence."""
-    half = span // 2
-
-    def build(w):
-        f = w.rangeBetween(-half, half)
-        pa, pb = F.avg("p_a").over(f), F.avg("p_b").over(f)
-        re, im = F.avg("c_re").over(f), F.avg("c_im").over(f)
-        return {"smooth_a": pa, "smooth_b": pb, "coherence": F.try_divide(re * re + im * im, pa * pb)}
-
-    return framed(spec, keys, "j", build, back=half, ahead=half)
+def coherence_at(spec: DataFrame, keys=KEYS) -> DataFrame:
+    """Mean power over the neighbouring frequencies of each period, and the squared coherence of the two series there."""
+    m = spec.groupBy(*keys, "period").agg(*[F.avg(c).alias(c) for c in ("p_a", "p_b", "c_re", "c_im")])
+    return m.select(*keys, "period", F.col("p_a").alias("smooth_a"), F.col("p_b").alias("smooth_b"),
+                    F.try_divide(F.col("c_re") * F.col("c_re") + F.col("c_im") * F.col("c_im"), F.col("p_a") * F.col("p_b")).alias("coherence"))
 
 
 def gaussian_criteria(n, rss, params) -> dict[str, Column]:
@@ -117,5 +113,20 @@ def simple_regression(df: DataFrame, x: str, y: str, keys=KEYS) -> DataFrame:
     return m.withColumn("rss", F.col("syy") * (1 - F.col("r2"))).drop("syy")
 
 
-def grouped_corr(df: DataFrame, keys, x, y, name) -> DataFrame:
-    return df.groupBy(*keys).agg(safe_corr(x, y).alias(name))
+
+def polynomial_rss(df: DataFrame, x: str, y: str, top: int) -> DataFrame:
+    """degree (1..top), n, rss of least-squares polynomials of y on x: one aggregate of power sums, then systems of top + 1 numbers.
+
+    Centre and scale ``x`` beforehand: powers of large numbers lose digits.
+    """
+    import numpy as np
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    m = F.pow
+    sums = both.agg(*[F.sum(m("_x", F.lit(i))).alias(f"s{i}") for i in range(2 * top + 1)], *[F.sum(m("_x", F.lit(i)) * F.col("_y")).alias(f"t{i}") for i in range(top + 1)],
+                    F.sum(F.col("_y") * F.col("_y")).alias("yy")).first()
+    rows = []
+    for k in range(1, top + 1) if sums["yy"] is not None else []:
+        a = np.array([[sums[f"s{i + j}"] for j in range(k + 1)] for i in range(k + 1)])
+        b = np.array([sums[f"t{i}"] for i in range(k + 1)])
+        rows.append((k, int(sums["s0"]), float(sums["yy"] - b @ np.linalg.solve(a, b))))
+    return df.sparkSession.createDataFrame(rows, "degree int, n long, rss double")

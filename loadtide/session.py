@@ -37,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path in the application's own folder below the shared one; the folder goes when the application ends."""
+    sc = spark.sparkContext
+    run = os.path.join(shared_dir(spark), f"run-{sc.applicationId}")
+    path = sc._jvm.org.apache.hadoop.fs.Path(run)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path) and fs.mkdirs(path):
+        fs.deleteOnExit(path)
+    return os.path.join(run, f"{label}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
