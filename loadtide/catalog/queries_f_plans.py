@@ -250,10 +250,8 @@ def m15(spark, folder):
 @query("M16_recursive_forecast")
 def m16(spark, folder):
     g, o, train, future, fitted = _fit_predict(spark, folder, "linear")
-    ends = o.first()                                              # one series: its origin and end
-    days = (ends["end_hh"] - ends["origin_hh"]) // 48 + 1
     return models.recursive_forecast(train, future, models.training_medians(train, ["region"], MODEL_FEATURES), ["region"], MODEL_FEATURES,
-                                     models.predict_groups(fitted, ["region"]), days, ends["origin_hh"])
+                                     models.predict_linear(fitted, ["region"], MODEL_FEATURES), o).drop("origin_hh", "status")
 
 
 LAGGED = """SELECT h.hh, h.y, b.y AS x1, sin(2 * pi() * h.half_hour_index / 48) AS x2 FROM (SELECT c.* FROM cal_b c JOIN origin_one_b o ON o.region = c.region WHERE c.hh < o.origin_hh) h LEFT JOIN grid_b b ON b.hh = h.hh - 48"""
@@ -266,10 +264,8 @@ def m16b(spark, folder):
     """The same recursion with one lag, where a linear model has a closed form to check against."""
     g, o, train, future = _train_and_future(spark, folder)
     fitted, _ = models.fit_groups(train, ["region"], [("ALL",)], "linear", ["lag_48"], min_rows=20)
-    ends = o.first()
-    days = (ends["end_hh"] - ends["origin_hh"]) // 48 + 1
     out = models.recursive_forecast(train, future, models.training_medians(train, ["region"], ["lag_48"]), ["region"], ["lag_48"],
-                                    models.predict_groups(fitted, ["region"]), days, ends["origin_hh"])
+                                    models.predict_linear(fitted, ["region"], ["lag_48"]), o)
     return out.select("region", "hh", "forecast")
 
 

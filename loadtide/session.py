@@ -47,8 +47,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(run, f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write and read back: survives executor loss, unlike a local checkpoint."""
+def cut_lineage(df: DataFrame, label: str = "cut", by: list[str] = ()) -> DataFrame:
+    """Write and read back: survives executor loss, unlike a local checkpoint. ``by`` lays out folders that later filters prune."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -59,7 +59,7 @@ def test_recursion_sees_only_the_past(spark):
     df, feats = history(spark), ["lag_48", "same_half_hour_7day_mean"]
     known = panel.horizon_rows(origins(spark, end=1500 + 95)).select("region", "hh")
     med = spark.createDataFrame([("a", 1.0, 1.0)], "region string, med_lag_48 double, med_same_half_hour_7day_mean double")
-    got = models.recursive_forecast(df, known, med, ["region"], feats, lambda d: d.withColumn("prediction", F.col("lag_48")), 2, 1500).toPandas().sort_values("hh")
+    got = models.recursive_forecast(df, known, med, ["region"], feats, lambda d: d.withColumn("prediction", F.col("lag_48")), origins(spark, end=1500 + 95)).toPandas().sort_values("hh")
     y = df.toPandas().sort_values("hh")["y"].to_numpy()
     np.testing.assert_allclose(got["forecast"], np.tile(y[1452:1500], 2))
 
@@ -149,3 +149,54 @@ def test_learning_curve_verdicts(spark):
     df = spark.createDataFrame(rows, "run string, epoch long, loss double, val_loss double")
     got = {r["run"]: r["verdict"] for r in learning_curves(df, ["run"], 5).collect()}
     assert got == {"limit": "EPOCH_LIMIT_REACHED", "over": "OVERFITTING_SIGNAL", "ok": "CONVERGED"}
+
+
+def two_series(spark, n=1100):
+    """y(t) = 10 + 0.5 y(t - 48) in region a, 4 + 0.25 y(t - 48) in b."""
+    rows = []
+    for region, c, k in (("a", 10.0, 0.5), ("b", 4.0, 0.25)):
+        y = list(range(100, 148))
+        while len(y) < n:
+            y.append(c + k * y[-48])
+        rows += [(region, i, float(v)) for i, v in enumerate(y)]
+    return spark.createDataFrame(rows, "region string, hh long, y double")
+
+
+def test_backtest_of_fitted_models_over_two_series_and_origins(spark):
+    """A recursion that the linear model can learn exactly, over two regions and origins; nothing after an origin is seen."""
+    from loadtide.plans.backtest import backtest, backtest_scores
+    grid = two_series(spark)
+    o = spark.createDataFrame([(r, h, h + 95) for r in "ab" for h in (700, 900)], "region string, origin_hh long, end_hh long")
+    train = ft.demand_features(grid)
+    known = o.select("region", F.explode(F.sequence("origin_hh", "end_hh")).alias("hh")).distinct()
+    detail, status = backtest(grid, train, known, o, ["region"], {"Linear": {"kind": "linear", "features": ["lag_48"]}, "Starved": {"kind": "linear", "features": ["lag_48", "lag_96"]}},
+                              min_rows=500)
+    got = detail.toPandas()
+    assert got.groupby(["region", "model", "origin_hh"]).size().eq(96).all() and len(got) == 4 * 4 * 96
+    linear = got[got["model"] == "Linear"]
+    np.testing.assert_allclose(linear["forecast"], linear["y"], rtol=1e-6)
+    s = backtest_scores(detail, ["region"]).toPandas().set_index(["region", "model", "origin_hh"])
+    assert s.loc[("a", "Linear", 700), "MAE"] < 1e-4 < s.loc[("a", "Naive48", 700), "MAE"] and s.loc[("b", "Linear", 900), "MAE_first_7d"] < 1e-4
+    assert status.count() == 16
+
+
+def test_a_group_without_a_model_comes_back_without_a_forecast(spark):
+    from loadtide.plans.backtest import backtest
+    grid = two_series(spark).where("region = 'a' OR hh > 600")
+    o = spark.createDataFrame([("a", 700, 795), ("b", 700, 795)], "region string, origin_hh long, end_hh long")
+    detail, status = backtest(grid, ft.demand_features(grid), o.select("region", F.col("origin_hh").alias("hh")), o, ["region"], {"Linear": {"kind": "linear", "features": ["lag_48"]}},
+                              naive=["Naive48"], min_rows=200)
+    got = detail.where("model = 'Linear'").groupBy("region", "status").agg(F.count("*").alias("n"), F.count("forecast").alias("f")).collect()
+    assert {(r["region"], r["status"], r["n"], r["f"]) for r in got} == {("a", "OK", 96, 96), ("b", "NO_MODEL", 96, 0)}
+    assert {(r["region"], r["status"]) for r in status.where("model = 'Linear'").collect()} == {("a", "MODEL_READY"), ("b", "MODEL_FAILED")}
+
+
+def test_predictors_keep_rows_and_agree(spark):
+    grid = two_series(spark)
+    train = ft.demand_features(grid).dropna(subset=["lag_48"])
+    made, _ = models.fit_groups(train, ["region"], [("a",), ("b",)], "linear", ["lag_48"], min_rows=10)
+    rows = train.select("region", "hh", "lag_48").unionByName(spark.createDataFrame([("c", 1, 2.0), (None, 2, 2.0)], "region string, hh long, lag_48 double"))
+    one = models.predict_linear(made, ["region"], ["lag_48"])(rows).toPandas().sort_values(["region", "hh"])
+    other = models.predict_groups(made, ["region"])(rows).toPandas().sort_values(["region", "hh"])
+    assert len(one) == len(other) == rows.count() and one["prediction"].isna().sum() == other["prediction"].isna().sum() == 2
+    np.testing.assert_allclose(one["prediction"].dropna(), other["prediction"].dropna())

@@ -105,3 +105,24 @@ def test_acf_and_ccf_match_direct_sums(spark):
     for k in range(-3, 4):
         pairs = [(dx[t + k], dy[t]) for t in range(300) if 0 <= t + k < 300]
         assert np.isclose(ccf[k], sum(a * b for a, b in pairs) / 300 / (x.std() * y.std()))
+
+
+def test_quantiles_of_small_tied_and_large_groups_by_one_path(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    frames = [pd.DataFrame({"region": k, "y": v}) for k, v in {"one": [3.0], "two": [1.0, 2.0], "ties": [5.0] * 50 + [1.0], "small": rng.normal(size=37), "large": rng.exponential(size=30_000).round(3)}.items()]
+    pdf = pd.concat(frames)
+    probs = {"lo": 0.0, "q": 0.1, "m": 0.5, "hi": 0.997, "top": 1.0}
+    got = exact_quantiles(spark.createDataFrame(pdf), ["region"], "y", probs).toPandas().set_index("region")
+    for k, g in pdf.groupby("region"):
+        np.testing.assert_allclose(got.loc[k, list(probs)].astype(float), np.quantile(g["y"], list(probs.values())), rtol=1e-12)
+
+
+def test_null_keys_raise(spark):
+    import pytest
+    from loadtide.operators.ordered import with_row_number
+    df = spark.createDataFrame([("a", 1, 1.0), (None, 2, 2.0)], "region string, hh long, y double")
+    for call in (lambda: exact_median(df, ["region"], "y"), lambda: with_row_number(df, ["region"], ["hh"], F.lit(0))):
+        with pytest.raises(Exception, match="NULL in key column region"):
+            call().collect()
