@@ -5,8 +5,8 @@ the corpus says: with n(e) texts holding an entity, n(t) a term and n(e, t) the
 information log2(n(e, t) N / (n(e) n(t))) says how much of the entity's information log2(N / n(e)) the term
 reveals. Terms that reveal more than a share of it are generalised, those that identify the entity fully are removed.
 
-All counts are of distinct texts: an exact copy is no new evidence and gets the same spans. Everything but the last step works on
-one row a mention and never moves a text.
+Counts are of all documents; that a term belongs to an entity must show in several distinct texts, so copies alone are no evidence. Everything but
+the last step works on one row a mention of a distinct text and never moves a text.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +56,7 @@ def _valid(kind, m) -> Column:
 
 
 def mentions(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """h, c, chars, kind, start, stop, value, left, right: a row for each valid match in each distinct text.
+    """h, c, chars, kind, start, stop, value, left, right, copies: a row for each valid match in each distinct text.
 
     A pattern's matches and the gaps between them are cut out side by side; a running sum of their lengths gives the places.
     """
@@ -72,7 +72,7 @@ def mentions(docs: DataFrame, near: int = NEAR) -> DataFrame:
     rows = (keyed.select(*KEY, F.inline(F.array(*found))).filter("pairs IS NOT NULL").select(*KEY, "kind", F.posexplode("pairs").alias("i", "p"))
             .select(*KEY, "kind", "i", F.col("p.m").alias("m"), F.length("p.gap").alias("gap"),
                     F.right(F.col("p.gap"), F.lit(near)).alias("tail"), F.left(F.col("p.gap"), F.lit(near)).alias("head"))
-            .filter("m IS NOT NULL OR i > 0").distinct())
+            .filter("m IS NOT NULL OR i > 0").groupBy(*KEY, "kind", "i", "m", "gap", "tail", "head").agg(F.count("*").alias("copies")))
     w = W.partitionBy(*KEY, "kind").orderBy("i")
     stop = F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0))
     placed = (rows.withColumn("stop", stop.cast("int")).withColumn("right", F.lead("head").over(w)).withColumn("after", F.lead("gap").over(w))
@@ -82,23 +82,23 @@ def mentions(docs: DataFrame, near: int = NEAR) -> DataFrame:
     left = F.when(F.col("gap") > near, F.regexp_replace("tail", r"^\S+", "")).otherwise(F.col("tail"))
     right = F.when(F.col("after") > near, F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right"))
     return placed.select(*KEY, "kind", (F.col("stop") - F.length("m")).alias("start"), "stop", F.concat_ws(":", "kind", value).alias("value"),
-                         left.alias("left"), right.alias("right"))
+                         left.alias("left"), right.alias("right"), "copies")
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """h, c, chars, value, term, start, stop: the words near each mention and their places."""
+    """h, c, chars, copies, value, term, start, stop: the words near each mention and their places."""
     sides = F.array(F.struct(F.lit(0).alias("side"), (F.col("start") - F.length("left")).alias("base"), F.col("left").alias("s")),
                     F.struct(F.lit(1).alias("side"), F.col("stop").alias("base"), F.col("right").alias("s")))
     # Tokens and the blanks before them, in order; the running length gives each token's place.
     parts = F.regexp_extract_all("s", F.lit(r"\s+|\S+"), F.lit(0))
     w = W.partitionBy(*KEY, "value", "at", "side").orderBy("i")
-    rows = (found.select(*KEY, "value", F.col("start").alias("at"), F.inline(sides))
-            .select(*KEY, "value", "at", "side", "base", F.posexplode(parts).alias("i", "token"))
+    rows = (found.select(*KEY, "copies", "value", F.col("start").alias("at"), F.inline(sides))
+            .select(*KEY, "copies", "value", "at", "side", "base", F.posexplode(parts).alias("i", "token"))
             .withColumn("from", F.col("base") + F.sum(F.length("token")).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.length("token")))
     core = F.btrim(F.col("token"), F.lit(OUTER))
     lead = F.length("token") - F.length(F.expr(f"trim(LEADING {_sql(OUTER)} FROM token)"))
     return (rows.withColumn("term", F.lower(core)).filter(F.col("term").rlike(r"^\p{L}{3,}$"))
-            .select(*KEY, "value", "term", (F.col("from") + lead).cast("int").alias("start"), (F.col("from") + lead + F.length(core)).cast("int").alias("stop")))
+            .select(*KEY, "copies", "value", "term", (F.col("from") + lead).cast("int").alias("start"), (F.col("from") + lead + F.length(core)).cast("int").alias("stop")))
 
 
 def _sql(s: str) -> str:
@@ -107,17 +107,18 @@ def _sql(s: str) -> str:
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, contexts: DataFrame, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
     """value, term, share: how much of the entity's information the term reveals, for those above the threshold."""
-    entity = found.select("value", *KEY).distinct().groupBy("value").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= least_texts)
-    joint = (contexts.select("value", "term", *KEY).distinct().groupBy("value", "term").agg(F.count("*").alias("n_et"))
-             .filter(F.col("n_et") >= least_texts).join(entity, "value"))
+    counted = [F.count("*").alias("texts"), F.sum("copies").cast("double").alias("n")]
+    entity = (found.select("value", "copies", *KEY).distinct().groupBy("value").agg(*counted).filter(F.col("texts") >= least_texts)
+              .select("value", F.col("n").alias("n_e")))
+    joint = (contexts.select("value", "term", "copies", *KEY).distinct().groupBy("value", "term").agg(*counted).filter(F.col("texts") >= least_texts)
+             .select("value", "term", F.col("n").alias("n_et")).join(entity, "value"))
     joint = cut_lineage(joint, "joint")
     wanted = cut_lineage(joint.select("term").distinct(), "terms")
-    tokens = docs.select(*text_key(), F.explode(F.split(F.lower(whole_text()), r"\s+")).alias("token"))
-    holds = tokens.select(*KEY, F.btrim(F.col("token"), F.lit(OUTER)).alias("term")).join(wanted, "term", "left_semi").distinct()
-    term = holds.groupBy("term").agg(F.count("*").alias("n_t"))
-    texts = docs.select(*text_key()).distinct().agg(F.count("*").alias("n"))
-    n = texts.first()["n"]
-    share = F.expr(f"log2(n_et * CAST({n} AS DOUBLE) / (CAST(n_e AS DOUBLE) * n_t)) / log2(CAST({n} AS DOUBLE) / n_e)")
+    tokens = F.array_distinct(F.transform(F.split(F.lower(whole_text()), r"\s+"), lambda t: F.btrim(t, F.lit(OUTER))))
+    term = (docs.select(F.explode(tokens).alias("term")).join(wanted, "term", "left_semi").groupBy("term")
+            .agg(F.count("*").cast("double").alias("n_t")))
+    n = docs.count()
+    share = F.expr(f"log2(n_et * CAST({n} AS DOUBLE) / (n_e * n_t)) / log2(CAST({n} AS DOUBLE) / n_e)")
     return (joint.join(term, "term").filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= disclosed)
             .select("value", "term", "share"))
 
