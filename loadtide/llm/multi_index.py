@@ -152,25 +152,27 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
             out += [(group, b) for b in sorted({int(start[c] + i) for c in np.flatnonzero(any_cell) for i in range(int(parts[c]))})]
         return {"group": [g for g, _ in out], "block": [b for _, b in out]}
 
-    pairs = _mapped(asked.select("group", "asked.cells"), met, "group long, block long", 8)
+    pairs = _mapped(asked.select("group", "asked.cells"), met, "group long, block long", 16)
 
     def rerank(batch):
         out = []
-        for entry, query in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for at in range(batch.num_rows):                             # one pair of blocks at a time in memory
+            entry, query = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
             x, y = np.array([e["v"] for e in entry]), np.array([q["v"] for q in query])
             cell = np.array([e["cell"] for e in entry])
             scores = y @ x.T
             for row, q in zip(scores, query):
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(q["cells"], dtype=np.uint8))[cell])
-                if len(at) > k + 1:
-                    limit = np.partition(row[at], len(at) - k - 1)[len(at) - k - 1]
-                    at = at[row[at] >= limit - 1e-9]                  # ties and rounding stay in
-                near = sorted((-float(np.dot(y_, x[i])), j) for y_ in (np.array(q["v"]),) for i in at.tolist() for j in entry[i]["ids"] if j != q["id"])
+                seen = np.flatnonzero(np.unpackbits(np.frombuffer(q["cells"], dtype=np.uint8))[cell])
+                if len(seen) > k + 1:
+                    limit = np.partition(row[seen], len(seen) - k - 1)[len(seen) - k - 1]
+                    seen = seen[row[seen] >= limit - 1e-9]            # ties and rounding stay in
+                v = np.array(q["v"])
+                near = sorted((-float(np.dot(v, x[i])), j) for i in seen.tolist() for j in entry[i]["ids"] if j != q["id"])
                 out += [(q["id"], j, -s) for s, j in near[:k]]
         return {"query_id": [o[0] for o in out], "vec_id": [o[1] for o in out], "score": [o[2] for o in out]}
 
     joined = pairs.join(blocks, "block").join(asked.select("group", "asked"), "group").select("e", "asked")
-    found = _mapped(joined, rerank, "query_id long, vec_id long, score double", 1)
+    found = _mapped(joined, rerank, "query_id long, vec_id long, score double", 16)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
