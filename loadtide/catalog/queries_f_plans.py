@@ -332,6 +332,25 @@ def m22(spark, folder):
     return v.skilled(v.grid_a(spark, folder)).select("region", "model", "origin", *METRICS, "skill_vs_naive_pct")
 
 
+BACKTEST = """WITH t AS (SELECT o.region, o.origin_hh, g.y, b.y AS x FROM origin_many o JOIN grid_a g ON g.region = o.region AND g.hh < o.origin_hh LEFT JOIN grid_a b ON b.region = g.region AND b.hh = g.hh - 48),
+    f AS (SELECT region, origin_hh, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, median(x) AS med FROM t GROUP BY 1, 2), h AS (SELECT *, unnest(range(origin_hh, end_hh + 1)) AS hh FROM origin_many),
+    k AS (SELECT *, (hh - origin_hh) // 48 + 1 AS k FROM h), d AS (SELECT k.region, k.origin_hh, k.hh, 'Linear' AS model, a * (1 - pow(b, k)) / (1 - b) + pow(b, k) * coalesce(g.y, med) AS forecast
+      FROM k JOIN f ON f.region = k.region AND f.origin_hh = k.origin_hh LEFT JOIN grid_a g ON g.region = k.region AND g.hh = k.hh - 48 * k.k UNION ALL SELECT region, origin_hh, hh, model, forecast FROM naive_many)
+    SELECT d.region, d.model, d.origin_hh, count(*) AS asked, avg(abs(d.forecast - g.y)) AS MAE, sqrt(avg(pow(d.forecast - g.y, 2))) AS RMSE FROM d LEFT JOIN grid_a g ON g.region = d.region AND g.hh = d.hh GROUP BY 1, 2, 3"""
+
+
+@query("M22b_model_backtest", BACKTEST, nums="MAE RMSE")
+def m22b(spark, folder):
+    """Naive and fitted models over all series and origins; with one lag the linear recursion has a closed form to check against."""
+    from loadtide.plans.backtest import backtest, backtest_scores
+    g = v.grid_a(spark, folder)
+    o = v.origin_many(g)
+    known = panel.horizon_rows(o).select("region", "hh").distinct()
+    detail, _ = backtest(g, ft.demand_features(g), known, o, ["region"], {"Linear": {"kind": "linear", "features": ["lag_48"]}}, min_rows=20)
+    asked = detail.groupBy("region", "model", "origin_hh").agg(F.count(F.lit(1)).alias("asked"))
+    return asked.join(backtest_scores(detail, ["region"]), ["region", "model", "origin_hh"], "left").select("region", "model", "origin_hh", "asked", "MAE", "RMSE")
+
+
 @query("M23_model_choice", """WITH s AS (SELECT region, model, origin, MAE FROM scores UNION ALL SELECT region, 'XGBoost_A', origin, MAE * 2.6 FROM scores WHERE model = 'Naive48' UNION ALL SELECT region, 'RandomForest_A', origin, MAE * 0.995 FROM scores WHERE model = 'Naive48'),
     a AS (SELECT region, model, avg(MAE) AS m, stddev_samp(MAE) AS sd, count(DISTINCT origin) AS origins FROM s GROUP BY 1, 2)
     SELECT region, model AS selected_model, m AS mean_backtest_MAE, sd AS mae_spread, origins FROM (SELECT *, min(m) OVER (PARTITION BY region) AS best FROM a) WHERE m <= best * 1.01

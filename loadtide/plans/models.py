@@ -94,11 +94,9 @@ def predict_linear(models: dict, keys: list[str], features: list[str]):
 
 def training_medians(train: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Per-series fill values, fixed before the horizon is touched."""
-    out = None
-    for f in features:
-        one = exact_median(train.select(*keys, F.col(f).cast("double").alias(f)), keys, f, f"med_{f}")
-        out = one if out is None else out.join(one, keys, "full")
-    return out
+    cells = F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_v")) for f in features])
+    long = exact_median(train.select(*keys, F.inline(cells)), [*keys, "_f"], "_v", "_m")
+    return long.groupBy(*keys).pivot("_f", list(features)).agg(F.first("_m")).select(*keys, *[F.col(f"`{f}`").alias(f"med_{f}") for f in features])
 
 
 def recursive_forecast(state: DataFrame, known: DataFrame, medians: DataFrame, keys: list[str],

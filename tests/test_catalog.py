@@ -30,7 +30,7 @@ def db():
 
 
 # fits that need more history than the smallest tables hold
-SHORT = {"M16b_recursive_one_lag", "M17b_two_regressor_fit"}
+SHORT = {"M16b_recursive_one_lag", "M17b_two_regressor_fit", "M22b_model_backtest"}
 
 
 @pytest.mark.parametrize("key", sorted(set(oracle_sql()) - TIES - SHORT))
