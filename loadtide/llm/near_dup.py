@@ -3,14 +3,15 @@
 Each permutation of the shingle hashes gives two signature values, its minimum and its maximum, so a
 signature of 2p values costs p hash evaluations. Bands of signature values are bucket keys.
 
-Texts with equal sets collapse into one node first. In a bucket nobody meets everybody: all members meet a
-few centres, and the true distances found decide who still has to meet more. Distance 1 - J is a metric, so
-a member at distance d from a centre of its own component has no link to any member outside it when these
-all lie further than d + (1 - threshold) from that centre; it leaves the bucket. Centres leave too, and a
-bucket whose members are in one component is done. The rest goes on with more centres. So every link inside
-a bucket is either found or lies within a component that is known already: components are exact for all pairs
-that share a bucket, whatever the bucket's size.
+Texts with equal sets collapse into one node first. In a bucket nobody meets everybody. First all members meet
+one centre. The links found make components; a bucket whose members are in one component is done. Elsewhere a link needs
+shared shingles: a member that shares too few with all nodes of other components to reach the threshold can't have one and
+leaves. Of the rest, members outside the bucket's largest component are centres, some at a time: they meet the members of other
+components with which their shared shingles allow a link, then leave the bucket. So every link inside a bucket is found or lies
+within a known component, whatever the bucket's size.
 """
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from loadtide.llm.shingles import Shingler, mixed
 #: Signature values in a band, and bands. A pair at the threshold t is missed with probability (1 - t^4)^24:
 #: 2e-8 at 0.85, 3e-6 at 0.8.
 BAND_VALUES, BANDS = 4, 24
-#: Centres that a bucket's members meet, by round; the last value goes on.
-CENTRES = (1, 4, 16, 64)
+#: Centres of a bucket, by round after the first; the last value goes on.
+CENTRES = (8, 64, 1024)
 
 
 class MinMax:
@@ -99,63 +100,72 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         seen = state
 
 
-def _centres(members: DataFrame, count: int) -> DataFrame:
-    """The buckets' smallest nodes."""
-    if count == 1:
-        return members.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("c")).selectExpr("band", "c.node AS c", "c.n AS nc")
-    rank = F.row_number().over(W.partitionBy("band").orderBy("node"))
-    return members.withColumn("_r", rank).filter(F.col("_r") <= count).selectExpr("band", "node AS c", "n AS nc")
-
-
 def _several(members: DataFrame, key: str) -> DataFrame:
     """Members of buckets that hold more than one value of ``key``."""
     more = members.groupBy("band").agg(F.min(key).alias("_a"), F.max(key).alias("_b")).filter("_a <> _b").select("band")
     return members.join(more, "band")
 
 
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b of the pairs c, nc, x, nx whose whole sets are alike enough."""
+    asked = pairs.filter(f"100 * least(nc, nx) >= {percent} * greatest(nc, nx)").select("c", "nc", "x", "nx").distinct()
+    met = (asked.join(sets.select(F.col("node").alias("x"), F.col("items").alias("ix")), "x")
+           .join(sets.select(F.col("node").alias("c"), F.col("items").alias("ic")), "c")
+           .withColumn("common", F.size(F.array_intersect("ix", "ic"))))
+    return met.filter(f"100 * common >= {percent} * (nc + nx - common)").selectExpr("x AS a", "c AS b").distinct()
+
+
 def node_links(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """Edges a, b between nodes with 100 * intersection >= percent * union, enough of them to span every component."""
     members = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
     members = cut_lineage(_several(members, "node"), "members")
     wanted = nodes.join(members.select("node").distinct(), "node").select("doc_id").distinct()
-    sets = cut_lineage(full_sets(docs.join(wanted, "doc_id", "left_semi"), words).join(members.select("node").distinct(), "node", "left_semi"), "sets")
-    edges, rounds = None, 0
-    while True:
-        pairs = members.join(_centres(members, CENTRES[min(rounds, len(CENTRES) - 1)]), "band").filter("c < node")
-        pairs = cut_lineage(pairs.select("band", "c", "nc", F.col("node").alias("x"), F.col("n").alias("nx")), "pairs")
-        if rounds and pairs.isEmpty():
+    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), words).join(members.select("node").distinct(), "node", "left_semi")
+    sets = cut_lineage(sets, "sets")
+    centre = members.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("c")).selectExpr("band", "c.node AS c", "c.n AS nc")
+    pairs = members.join(centre, "band").filter("c <> node").selectExpr("c", "nc", "node AS x", "n AS nx")
+    edges = cut_lineage(_links(pairs, sets, percent), "edges")
+    bands = nodes.select("node", "bands")
+    for round_ in itertools.count():                                 # each round takes centres out of every open bucket
+        members = cut_lineage(_open_members(members, components(edges), sets, percent), "open")
+        if members.isEmpty():
             return edges
-        near = F.expr(f"100 * least(nc, nx) >= {percent} * greatest(nc, nx)")
-        asked = pairs.filter(near).select("c", "x").distinct()
-        met = (asked.join(sets.select(F.col("node").alias("x"), F.col("items").alias("ix")), "x")
-               .join(sets.select(F.col("node").alias("c"), F.col("items").alias("ic")), "c")
-               .select("c", "x", F.size(F.array_intersect("ix", "ic")).alias("common")).distinct())
-        met = cut_lineage(met, "met")
-        found = (met.join(pairs.select("c", "x", "nc", "nx").distinct(), ["c", "x"])
-                 .filter(f"100 * common >= {percent} * (nc + nx - common)").selectExpr("x AS a", "c AS b"))
-        edges = cut_lineage(found if edges is None else edges.unionByName(found).distinct(), "edges")
-        members = cut_lineage(_still_open(members, pairs, met, components(edges), percent), "members")
-        rounds += 1
-
-
-def _still_open(members, pairs, met, roots, percent):
-    """Members that may have a link to another component which no centre has shown yet."""
-    def root_of(df, key):
-        r = roots.select(F.col("node").alias(key), F.col("root").alias(f"root_{key}"))
-        return df.join(r, key, "left").withColumn(f"root_{key}", F.coalesce(f"root_{key}", key))
-
-    least_distance = F.expr("1 - least(nc, nx) / greatest(nc, nx)")             # what sizes alone say
-    seen = (pairs.join(met, ["c", "x"], "left")
-            .withColumn("d", F.when(F.col("common").isNull(), least_distance).otherwise(F.expr("1 - common / (nc + nx - common)"))))
-    seen = root_of(root_of(seen, "c"), "x")
-    apart = seen.filter("root_c <> root_x").groupBy("band", "c").agg(F.min("d").alias("nearest"))
-    reach = 1 - percent / 100
-    safe = (F.col("root_c") == F.col("root_x")) & F.col("common").isNotNull() & (F.col("nearest").isNull() | (F.col("d") < F.col("nearest") - reach - 1e-9))
-    state = seen.join(apart, ["band", "c"], "left").groupBy("band", "x").agg(F.max(safe).alias("safe"))
-    centres = pairs.select("band", F.col("c").alias("node")).distinct()
-    left = (members.join(state.filter("NOT safe").select("band", F.col("x").alias("node")), ["band", "node"], "left_semi")
-            .join(centres, ["band", "node"], "left_anti"))
-    return _several(root_of(left, "node"), "root_node").select("band", "node", "n")
+        rank = F.row_number().over(W.partitionBy("band").orderBy("node"))
+        centre = (members.filter("asks").withColumn("_r", rank).filter(F.col("_r") <= CENTRES[min(round_, len(CENTRES) - 1)])
+                  .selectExpr("band", "node AS c", "n AS nc", "root AS root_c", "reach AS reach_c").join(bands.selectExpr("node AS c", "bands AS bands_c"), "c"))
+        centre = cut_lineage(centre, "centres")
+        # Two members of several buckets meet in the first of these only.
+        first = "element_at(filter(zip_with(bands_c, bands, (p, q) -> IF(p = q, p, NULL)), z -> z IS NOT NULL), 1)"
+        pairs = (members.join(bands, "node").join(centre, "band")
+                 .filter(f"root <> root_c AND {_may_link('least(reach, reach_c)', 'nc', 'n', percent)} AND {first} = band")
+                 .selectExpr("least(c, node) AS c", "IF(c < node, nc, n) AS nc", "greatest(c, node) AS x", "IF(c < node, n, nc) AS nx"))
+        edges = cut_lineage(edges.unionByName(_links(pairs, sets, percent)).distinct(), "edges")
+        members = members.join(centre.select("band", F.col("c").alias("node")), ["band", "node"], "left_anti").select("band", "node", "n")
+
+
+def _may_link(reach: str, n: str, other: str, percent: int) -> str:
+    """Can sets of n and ``other`` items be alike enough when they share ``reach`` items at most?"""
+    return f"100 * {reach} >= {percent} * ({n} + greatest({other}, {reach}) - {reach})"
+
+
+def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """band, node, n, root, reach, asks for buckets in which a link between two components may be left.
+
+    reach is how many of a node's shingles occur in any other component. Members whose reach can't make a link in the bucket are
+    left out. asks: the node is outside the bucket's largest component, so it is for it to meet the others.
+    """
+    rooted = members.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut_lineage(_several(rooted, "root"), "rooted")
+    everyone = rooted.select("node", "root").distinct()
+    items = cut_lineage(sets.join(everyone, "node").select("node", "root", "items"), "items")
+    shared = (items.select("root", F.explode("items").alias("item")).groupBy("item")
+              .agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("item"))
+    reach = (items.select("node", F.explode("items").alias("item")).join(shared, "item", "left_semi").groupBy("node").agg(F.count("*").alias("reach")))
+    sized = rooted.groupBy("band", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    largest = sized.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.min("least").alias("least"))
+    state = rooted.join(largest, "band").join(reach, "node").filter(_may_link("reach", "n", "least", percent))
+    state = state.withColumn("asks", F.col("root") != F.col("largest")).select("band", "node", "n", "root", "reach", "asks")
+    return _several(state, "root")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
