@@ -108,18 +108,24 @@ def _sql(s: str) -> str:
 def disclosing_terms(docs: DataFrame, found: DataFrame, contexts: DataFrame, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
     """value, term, share: how much of the entity's information the term reveals, for those above the threshold."""
     counted = [F.count("*").alias("texts"), F.sum("copies").cast("double").alias("n")]
-    entity = (found.select("value", "copies", *KEY).distinct().groupBy("value").agg(*counted).filter(F.col("texts") >= least_texts)
+    total = docs.count()
+
+    def share(term_count):
+        return F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col(term_count))) / F.log2(F.lit(float(total)) / F.col("n_e"))
+
+    entity = (found.select("value", "copies", *KEY).distinct().groupBy("value").agg(*counted).filter((F.col("texts") >= least_texts) & (F.col("n") < total))
               .select("value", F.col("n").alias("n_e")))
     joint = (contexts.select("value", "term", "copies", *KEY).distinct().groupBy("value", "term").agg(*counted).filter(F.col("texts") >= least_texts)
-             .select("value", "term", F.col("n").alias("n_et")).join(entity, "value"))
+             .select("value", "term", F.col("n").alias("n_et")))
+    # A term is in no fewer documents than have it near some entity, so its share is no larger than that count says: common words end here.
+    near_any = contexts.select("term", "copies", *KEY).distinct().groupBy("term").agg(F.sum("copies").alias("n_near"))
+    joint = joint.join(entity, "value").join(near_any, "term").filter(share("n_near") >= disclosed)
     joint = cut_lineage(joint, "joint")
     wanted = cut_lineage(joint.select("term").distinct(), "terms")
     tokens = F.array_distinct(F.transform(F.split(F.lower(whole_text()), r"\s+"), lambda t: F.btrim(t, F.lit(OUTER))))
     term = (docs.select(F.explode(tokens).alias("term")).join(wanted, "term", "left_semi").groupBy("term")
-            .agg(F.count("*").cast("double").alias("n_t")))
-    n = docs.count()
-    share = F.expr(f"log2(n_et * CAST({n} AS DOUBLE) / (n_e * n_t)) / log2(CAST({n} AS DOUBLE) / n_e)")
-    return (joint.join(term, "term").filter(F.col("n_e") < n).withColumn("share", share).filter(F.col("share") >= disclosed)
+            .agg(F.count("*").alias("n_t")))
+    return (joint.join(term, "term").withColumn("share", share("n_t")).filter(F.col("share") >= disclosed)
             .select("value", "term", "share"))
 
 
