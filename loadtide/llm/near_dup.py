@@ -7,7 +7,7 @@ Texts with equal sets collapse into one node first. In a bucket nobody meets eve
 one centre. The links found make components; a bucket whose members are in one component is done. Elsewhere a link needs
 shared shingles: a member that shares too few with all nodes of other components to reach the threshold can't have one and
 leaves. Of the rest, members outside the bucket's largest component are centres, some at a time: they meet the members of other
-components with which their shared shingles allow a link, then leave the bucket. So every link inside a bucket is found or lies
+components with which their counts of shared shingles, in all and by parts of the hash range, allow a link, then leave. So every link inside a bucket is found or lies
 within a known component, whatever the bucket's size.
 """
 import itertools
@@ -25,6 +25,8 @@ from loadtide.llm.shingles import Shingler, mixed
 BAND_VALUES, BANDS = 4, 24
 #: Centres of a bucket, by round after the first; the last value goes on.
 CENTRES = (8, 64, 1024)
+#: Parts of the hash range in which the items of two sets are counted: the smaller counts bound what they share.
+PARTS = 256
 
 
 class MinMax:
@@ -68,15 +70,16 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node and its whole set."""
+    """node, its whole set, and how many of its items fall into each of PARTS parts of the hash range."""
     shingler = Shingler(words)
 
     def run(batch):
         sets = shingler.sets([x.encode() for x in batch.column(0).to_pylist()])
         return {"node": [int(mixed(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)) for s in sets],
-                "items": [s.view(np.int64) for s in sets]}
+                "items": [s.view(np.int64) for s in sets],
+                "parts": [np.bincount((s % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) for s in sets]}
 
-    return map_batches(docs.select(whole_text().alias("text")), run, "node long, items array<long>")
+    return map_batches(docs.select(whole_text().alias("text")), run, "node long, items array<long>, parts array<int>")
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -125,19 +128,20 @@ def node_links(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> D
     centre = members.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("c")).selectExpr("band", "c.node AS c", "c.n AS nc")
     pairs = members.join(centre, "band").filter("c <> node").selectExpr("c", "nc", "node AS x", "n AS nx")
     edges = cut_lineage(_links(pairs, sets, percent), "edges")
-    bands = nodes.select("node", "bands")
+    more = nodes.select("node", "bands").join(sets.select("node", "parts").dropDuplicates(["node"]), "node")
     for round_ in itertools.count():                                 # each round takes centres out of every open bucket
         members = cut_lineage(_open_members(members, components(edges), sets, percent), "open")
         if members.isEmpty():
             return edges
         rank = F.row_number().over(W.partitionBy("band").orderBy("node"))
         centre = (members.filter("asks").withColumn("_r", rank).filter(F.col("_r") <= CENTRES[min(round_, len(CENTRES) - 1)])
-                  .selectExpr("band", "node AS c", "n AS nc", "root AS root_c", "reach AS reach_c").join(bands.selectExpr("node AS c", "bands AS bands_c"), "c"))
+                  .selectExpr("band", "node AS c", "n AS nc", "root AS root_c", "reach AS reach_c").join(more.selectExpr("node AS c", "bands AS bands_c", "parts AS parts_c"), "c"))
         centre = cut_lineage(centre, "centres")
         # Two members of several buckets meet in the first of these only.
         first = "element_at(filter(zip_with(bands_c, bands, (p, q) -> IF(p = q, p, NULL)), z -> z IS NOT NULL), 1)"
-        pairs = (members.join(bands, "node").join(centre, "band")
-                 .filter(f"root <> root_c AND {_may_link('least(reach, reach_c)', 'nc', 'n', percent)} AND {first} = band")
+        common = "aggregate(zip_with(parts_c, parts, (p, q) -> least(p, q)), 0, (a, x) -> a + x)"
+        pairs = (members.join(more, "node").join(centre, "band")
+                 .filter(f"root <> root_c AND {_may_link('least(reach, reach_c)', 'nc', 'n', percent)} AND {first} = band AND {_may_link(common, 'nc', 'n', percent)}")
                  .selectExpr("least(c, node) AS c", "IF(c < node, nc, n) AS nc", "greatest(c, node) AS x", "IF(c < node, n, nc) AS nx"))
         edges = cut_lineage(edges.unionByName(_links(pairs, sets, percent)).distinct(), "edges")
         members = members.join(centre.select("band", F.col("c").alias("node")), ["band", "node"], "left_anti").select("band", "node", "n")
@@ -145,7 +149,7 @@ def node_links(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> D
 
 def _may_link(reach: str, n: str, other: str, percent: int) -> str:
     """Can sets of n and ``other`` items be alike enough when they share ``reach`` items at most?"""
-    return f"100 * {reach} >= {percent} * ({n} + greatest({other}, {reach}) - {reach})"
+    return f"(100 + {percent}) * {reach} >= {percent} * ({n} + {other})"
 
 
 def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +167,7 @@ def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent
     reach = (items.select("node", F.explode("items").alias("item")).join(shared, "item", "left_semi").groupBy("node").agg(F.count("*").alias("reach")))
     sized = rooted.groupBy("band", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     largest = sized.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.min("least").alias("least"))
-    state = rooted.join(largest, "band").join(reach, "node").filter(_may_link("reach", "n", "least", percent))
+    state = rooted.join(largest, "band").join(reach, "node").filter(_may_link("reach", "n", "greatest(least, reach)", percent))
     state = state.withColumn("asks", F.col("root") != F.col("largest")).select("band", "node", "n", "root", "reach", "asks")
     return _several(state, "root")
 
