@@ -5,7 +5,8 @@ the corpus says: with n(e) texts holding an entity, n(t) a term and n(e, t) the
 information log2(n(e, t) N / (n(e) n(t))) says how much of the entity's information log2(N / n(e)) the term
 reveals. Terms that reveal more than a share of it are generalised, those that identify the entity fully are removed.
 
-Counts are of all documents; that a term belongs to an entity must show in several distinct texts, so copies alone are no evidence. Everything but
+Counts are of all documents, and every entity is weighed, also one of a single text. A pair that only a few distinct texts show is thin evidence, however many
+copies they have: with m texts the conditional probability n(e, t) / n(t) is smoothed to m / (m + 1) of itself. Everything but
 the last step works on one row a mention of a distinct text and never moves a text.
 """
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 GENERAL = "[TERM]"
 #: Characters looked at on either side of an entity.
 NEAR = 60
-#: Texts that must show a term near an entity, the share of the entity's information that is disclosure, and the share that identifies.
+#: Texts from which on a pair's counts stand as they are (with fewer they are smoothed), the share of the entity's information that is disclosure, and the share that identifies.
 LEAST_TEXTS, DISCLOSED, IDENTIFIED = 3, 0.8, 0.999
 OUTER = ".,;:!?\"'()[]{}<>"
 
@@ -106,26 +107,32 @@ def _sql(s: str) -> str:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, contexts: DataFrame, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
-    """value, term, share: how much of the entity's information the term reveals, for those above the threshold."""
+    """value, term, share: how much of the entity's information the term reveals, for those above the threshold.
+
+    The smoothed share of a pair with under ``least_texts`` texts must reach DISCLOSED at least; it never identifies. Of an entity of one text that takes 32 documents.
+    """
     counted = [F.count("*").alias("texts"), F.sum("copies").cast("double").alias("n")]
     total = docs.count()
 
     def share(term_count):
-        return F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col(term_count))) / F.log2(F.lit(float(total)) / F.col("n_e"))
+        known = F.when(F.col("texts") < least_texts, F.col("texts") / (F.col("texts") + 1)).otherwise(1.0)
+        return F.log2(known * F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col(term_count))) / F.log2(F.lit(float(total)) / F.col("n_e"))
+
+    enough = F.when(F.col("texts") < least_texts, max(disclosed, DISCLOSED)).otherwise(disclosed)
 
-    entity = (found.select("value", "copies", *KEY).distinct().groupBy("value").agg(*counted).filter((F.col("texts") >= least_texts) & (F.col("n") < total))
+    entity = (found.select("value", "copies", *KEY).distinct().groupBy("value").agg(*counted).filter(F.col("n") < total)
               .select("value", F.col("n").alias("n_e")))
-    joint = (contexts.select("value", "term", "copies", *KEY).distinct().groupBy("value", "term").agg(*counted).filter(F.col("texts") >= least_texts)
-             .select("value", "term", F.col("n").alias("n_et")))
+    joint = (contexts.select("value", "term", "copies", *KEY).distinct().groupBy("value", "term").agg(*counted)
+             .select("value", "term", "texts", F.col("n").alias("n_et")))
     # A term is in no fewer documents than have it near some entity, so its share is no larger than that count says: common words end here.
     near_any = contexts.select("term", "copies", *KEY).distinct().groupBy("term").agg(F.sum("copies").alias("n_near"))
-    joint = joint.join(entity, "value").join(near_any, "term").filter(share("n_near") >= disclosed)
+    joint = joint.join(entity, "value").join(near_any, "term").filter(share("n_near") >= enough)
     joint = cut_lineage(joint, "joint")
     wanted = cut_lineage(joint.select("term").distinct(), "terms")
     tokens = F.array_distinct(F.transform(F.split(F.lower(whole_text()), r"\s+"), lambda t: F.btrim(t, F.lit(OUTER))))
     term = (docs.select(F.explode(tokens).alias("term")).join(wanted, "term", "left_semi").groupBy("term")
             .agg(F.count("*").alias("n_t")))
-    return (joint.join(term, "term").withColumn("share", share("n_t")).filter(F.col("share") >= disclosed)
+    return (joint.join(term, "term").withColumn("share", share("n_t")).filter(F.col("share") >= enough)
             .select("value", "term", "share"))
 
 

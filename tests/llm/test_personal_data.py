@@ -55,3 +55,20 @@ def test_masking(corpus, spark):
     df = spark.createDataFrame([(1, "é +1 (555) 555-1234, 4111 1111 1111 1111, 1.2.3.4 x"), (2, ""), (2, "")], "doc_id long, text string")
     assert sorted(r["text"] for r in sanitize(df).collect()) == ["", "", "é [PHONE], [CARD], [IP] x"]
     assert sanitize(df).columns == df.columns and sanitize(df.limit(0)).count() == 0 and find_personal_data(df.limit(0)).count() == 0
+
+
+def test_entities_of_one_text_and_of_two_are_weighed(spark):
+    """Every mention of the fixture's rare entities has a term that stands with it alone; copies of a text are no further evidence."""
+    rows = [(1, "all said Quorvex mail rare@one.example far"), (2, "all Twinor two@two.example far"), (3, "far Twinor all two@two.example said"), (4, "all Twinor Bex at 10.1.2.3 and far")]
+    rows += [(5 + i, "all Copyx copy@copy.example far") for i in range(3)] + [(20 + i, "all said far and near at mail two") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in find_personal_data(df).collect()}
+    terms = {i: {rows[i - 1][1][int(a):int(e)] for k, a, e in (s.split(":") for s in got[i]["spans"].split(",")) if k == "term"} for i in range(1, 8)}
+    assert terms == {1: {"Quorvex"}, 2: {"Twinor"}, 3: {"Twinor"}, 4: {"Bex"}, 5: {"Copyx"}, 6: {"Copyx"}, 7: {"Copyx"}}
+    assert got[1]["n_term"] == 1 and got[20]["n_term"] == 0
+    assert {r["doc_id"]: r["text"] for r in sanitize(df).collect()}[1] == "all said [TERM] mail [EMAIL] far"     # thin evidence never identifies
+
+
+def test_terms_are_found_on_a_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert find_personal_data(docs).filter("n_term > 0").count() > 0
