@@ -1,13 +1,15 @@
 """Personal data and the terms that give it away, with DataFrame functions only.
 
-Four patterns find the protected entities. Terms near them (letters only, within some characters on either side) are weighed by what
-the corpus says: with n(e) texts holding an entity, n(t) a term and n(e, t) the term near the entity, the pointwise mutual
+Four patterns find the protected entities. The terms (letters only) of the whole texts that hold them are weighed by what
+the corpus says: with n(e) texts holding an entity, n(t) a term and n(e, t) both, the pointwise mutual
 information log2(n(e, t) N / (n(e) n(t))) says how much of the entity's information log2(N / n(e)) the term
 reveals. Terms that reveal more than a share of it are generalised, those that identify the entity fully are removed.
 
 Counts are of all documents, and every entity is weighed, also one of a single text. A pair that only a few distinct texts show is thin evidence, however many
-copies they have: with m texts the conditional probability n(e, t) / n(t) is smoothed to m / (m + 1) of itself. Everything but
-the last step works on one row a mention of a distinct text and never moves a text.
+copies they have: with m texts the conditional probability n(e, t) / n(t) is smoothed to m / (m + 1) of itself. Every occurrence of such a term in a text of the entity is a span.
+
+Entities that stand in the same texts have equal counts and are one. Terms too common for any entity leave before they meet one, so pairs stay in
+proportion to the rare words of the texts with entities; of the other texts only word counts are kept.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 DIGIT_RUN = r"[0-9](?:[\x20-]?[0-9]){12}"
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 GENERAL = "[TERM]"
-#: Characters looked at on either side of an entity.
-NEAR = 60
+#: A term in more than this share of the documents, and too common for any entity, leaves by a short list.
+COMMON = 0.001
 #: Texts from which on a pair's counts stand as they are (with fewer they are smoothed), the share of the entity's information that is disclosure, and the share that identifies.
 LEAST_TEXTS, DISCLOSED, IDENTIFIED = 3, 0.8, 0.999
 OUTER = ".,;:!?\"'()[]{}<>"
@@ -56,54 +58,82 @@ def _valid(kind, m) -> Column:
             .when(kind == "phone", F.length(digits).between(9, 15)))
 
 
-def mentions(docs: DataFrame, near: int = NEAR) -> DataFrame:
-    """h, c, chars, kind, start, stop, value, left, right, copies: a row for each valid match in each distinct text.
+def _hint(kind: str, t: Column) -> Column:
+    return t.rlike(DIGIT_RUN) if kind == "card" else t.rlike(r"[0-9]\.[0-9]++\.[0-9]") if kind == "ip" else t.contains(HINTS[kind])
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """h, c, chars, kind, start, stop, value, copies: a row for each valid match in each distinct text.
 
     A pattern's matches and the gaps between them are cut out side by side; a running sum of their lengths gives the places.
     """
     t = F.col("text")
     found = []
     for kind, pattern in PATTERNS.items():
-        hint = t.rlike(DIGIT_RUN) if HINTS[kind] is None else t.contains(HINTS[kind])
-        if kind == "ip":
-            hint = t.rlike(r"[0-9]\.[0-9]++\.[0-9]")
         pairs = F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern, -1).alias("gap"))
-        found.append(F.struct(F.lit(kind).alias("kind"), F.when(hint, pairs).alias("pairs")))
+        found.append(F.struct(F.lit(kind).alias("kind"), F.when(_hint(kind, t), pairs).alias("pairs")))
     keyed = docs.select(whole_text().alias("text"), *text_key())
     rows = (keyed.select(*KEY, F.inline(F.array(*found))).filter("pairs IS NOT NULL").select(*KEY, "kind", F.posexplode("pairs").alias("i", "p"))
-            .select(*KEY, "kind", "i", F.col("p.m").alias("m"), F.length("p.gap").alias("gap"),
-                    F.right(F.col("p.gap"), F.lit(near)).alias("tail"), F.left(F.col("p.gap"), F.lit(near)).alias("head"))
-            .filter("m IS NOT NULL OR i > 0").groupBy(*KEY, "kind", "i", "m", "gap", "tail", "head").agg(F.count("*").alias("copies")))
+            .select(*KEY, "kind", "i", F.col("p.m").alias("m"), F.length("p.gap").alias("gap"))
+            .filter("m IS NOT NULL OR i > 0").groupBy(*KEY, "kind", "i", "m", "gap").agg(F.count("*").alias("copies")))
     w = W.partitionBy(*KEY, "kind").orderBy("i")
     stop = F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0))
-    placed = (rows.withColumn("stop", stop.cast("int")).withColumn("right", F.lead("head").over(w)).withColumn("after", F.lead("gap").over(w))
-              .filter("m IS NOT NULL").filter(_valid(F.col("kind"), F.col("m"))))
+    placed = (rows.withColumn("stop", stop.cast("int")).filter("m IS NOT NULL").filter(_valid(F.col("kind"), F.col("m"))))
     value = F.when(F.col("kind") == "email", F.lower("m")).when(F.col("kind") == "ip", F.col("m")).otherwise(F.regexp_replace("m", "[^0-9]", ""))
-    # A word that the window cuts in two is left out.
-    left = F.when(F.col("gap") > near, F.regexp_replace("tail", r"^\S+", "")).otherwise(F.col("tail"))
-    right = F.when(F.col("after") > near, F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right"))
-    return placed.select(*KEY, "kind", (F.col("stop") - F.length("m")).alias("start"), "stop", F.concat_ws(":", "kind", value).alias("value"),
-                         left.alias("left"), right.alias("right"), "copies")
+    return placed.select(*KEY, "kind", (F.col("stop") - F.length("m")).alias("start"), "stop", F.concat_ws(":", "kind", value).alias("value"), "copies")
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """h, c, chars, copies, value, term, start, stop: the words near each mention and their places."""
-    sides = F.array(F.struct(F.lit(0).alias("side"), (F.col("start") - F.length("left")).alias("base"), F.col("left").alias("s")),
-                    F.struct(F.lit(1).alias("side"), F.col("stop").alias("base"), F.col("right").alias("s")))
-    # Tokens and the blanks before them, in order; the running length gives each token's place.
-    parts = F.regexp_extract_all("s", F.lit(r"\s+|\S+"), F.lit(0))
-    w = W.partitionBy(*KEY, "value", "at", "side").orderBy("i")
-    rows = (found.select(*KEY, "copies", "value", F.col("start").alias("at"), F.inline(sides))
-            .select(*KEY, "copies", "value", "at", "side", "base", F.posexplode(parts).alias("i", "token"))
-            .withColumn("from", F.col("base") + F.sum(F.length("token")).over(w.rowsBetween(W.unboundedPreceding, 0)) - F.length("token")))
-    core = F.btrim(F.col("token"), F.lit(OUTER))
-    lead = F.length("token") - F.length(F.expr(f"trim(LEADING {_sql(OUTER)} FROM token)"))
-    return (rows.withColumn("term", F.lower(core)).filter(F.col("term").rlike(r"^\p{L}{3,}$"))
-            .select(*KEY, "copies", "value", "term", (F.col("from") + lead).cast("int").alias("start"), (F.col("from") + lead + F.length(core)).cast("int").alias("stop")))
+    """h, c, chars, copies, value, n_e: the texts that hold each entity and how many documents do; of entities of the same texts the smallest stands for all."""
+    held = found.select("value", "copies", *KEY).distinct()
+    same = [F.count("*").alias("texts"), F.bit_xor(F.xxhash64(*KEY)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *KEY)).alias("y"), F.sum("copies").cast("double").alias("n_e")]
+    classes = held.groupBy("value").agg(*same).groupBy("texts", "x", "y", "n_e").agg(F.min("value").alias("value"))
+    return held.join(classes.select("value", "n_e"), "value")
+
+
+def _word(token) -> Column:
+    return F.lower(F.btrim(token, F.lit(OUTER)))
+
+
+def _terms(text) -> Column:
+    """The distinct terms of a text."""
+    words = F.transform(F.array_distinct(F.split(text, r"\s+")), _word)
+    return F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{L}{3,}$")))
+
+
+def _texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """text, h, c, chars of the documents whose text is one of ``keys``; only texts that may hold a mention are looked up."""
+    t = whole_text()
+    hint = F.lit(False)
+    for kind in PATTERNS:
+        hint = hint | _hint(kind, t)
+    return docs.filter(hint).select(t.alias("text"), *text_key()).join(keys.select(*KEY).distinct(), KEY, "left_semi")
 
 
-def _sql(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def _pairs(docs: DataFrame, contexts: DataFrame, disclosed: float) -> tuple[DataFrame, float]:
+    """h, c, chars, copies, value, n_e, term, n_t: entities and the terms of their texts that are rare enough to reach the share; and the number of documents.
+
+    n(e, t) is n(e) at most, so no term in more than n(e) (N / n(e)) ^ (1 - share) documents reaches it.
+    """
+    total = float(docs.count())
+    contexts = contexts.filter(F.col("n_e") < total).withColumn("most", F.col("n_e") * F.pow(F.lit(total) / F.col("n_e"), F.lit(1 - disclosed)) * (1 + 1e-9))
+    most = contexts.agg(F.max("most")).first()[0] or 0.0
+    counts = cut_lineage(docs.select(F.explode(_terms(whole_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")), "terms")
+    # At most 1 / COMMON times the mean number of a text's terms, so the list stays short.
+    common = counts.filter(F.col("n_t") > max(most, COMMON * total)).select("term")
+    rare = counts.filter(F.col("n_t") <= most)
+    terms = _texts(docs, contexts).select(*KEY, F.explode(_terms(F.col("text"))).alias("term")).join(F.broadcast(common), "term", "left_anti").distinct()
+    pairs = terms.join(rare, "term").join(contexts, KEY).filter("n_t <= most").drop("most")
+    return cut_lineage(pairs, "pairs"), total
+
+
+def _shares(pairs: DataFrame, total: float, least_texts: int, disclosed: float) -> DataFrame:
+    joint = pairs.groupBy("value", "n_e", "term", "n_t").agg(F.count("*").alias("texts"), F.sum("copies").cast("double").alias("n_et"))
+    thin = F.col("texts") < least_texts
+    known = F.when(thin, F.col("texts") / (F.col("texts") + 1)).otherwise(1.0)
+    share = F.log2(known * F.col("n_et") * F.lit(total) / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(total) / F.col("n_e"))
+    return (joint.withColumn("share", share).filter(F.col("share") >= F.when(thin, max(disclosed, DISCLOSED)).otherwise(disclosed))
+            .select("value", "term", "share"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, contexts: DataFrame, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
@@ -111,45 +141,37 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, contexts: DataFrame, lea
 
     The smoothed share of a pair with under ``least_texts`` texts must reach DISCLOSED at least; it never identifies. Of an entity of one text that takes 32 documents.
     """
-    counted = [F.count("*").alias("texts"), F.sum("copies").cast("double").alias("n")]
-    total = docs.count()
-
-    def share(term_count):
-        known = F.when(F.col("texts") < least_texts, F.col("texts") / (F.col("texts") + 1)).otherwise(1.0)
-        return F.log2(known * F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col(term_count))) / F.log2(F.lit(float(total)) / F.col("n_e"))
-
-    enough = F.when(F.col("texts") < least_texts, max(disclosed, DISCLOSED)).otherwise(disclosed)
-
-    entity = (found.select("value", "copies", *KEY).distinct().groupBy("value").agg(*counted).filter(F.col("n") < total)
-              .select("value", F.col("n").alias("n_e")))
-    joint = (contexts.select("value", "term", "copies", *KEY).distinct().groupBy("value", "term").agg(*counted)
-             .select("value", "term", "texts", F.col("n").alias("n_et")))
-    # A term is in no fewer documents than have it near some entity, so its share is no larger than that count says: common words end here.
-    near_any = contexts.select("term", "copies", *KEY).distinct().groupBy("term").agg(F.sum("copies").alias("n_near"))
-    joint = joint.join(entity, "value").join(near_any, "term").filter(share("n_near") >= enough)
-    joint = cut_lineage(joint, "joint")
-    wanted = cut_lineage(joint.select("term").distinct(), "terms")
-    tokens = F.array_distinct(F.transform(F.split(F.lower(whole_text()), r"\s+"), lambda t: F.btrim(t, F.lit(OUTER))))
-    term = (docs.select(F.explode(tokens).alias("term")).join(wanted, "term", "left_semi").groupBy("term")
-            .agg(F.count("*").alias("n_t")))
-    return (joint.join(term, "term").withColumn("share", share("n_t")).filter(F.col("share") >= enough)
-            .select("value", "term", "share"))
+    return _shares(*_pairs(docs, contexts, disclosed), least_texts, disclosed)
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """h, c, chars, term, start, stop: every place of a term in each distinct text."""
+    # Words with the blanks before them, in order; the running length gives each one's place.
+    words = F.regexp_extract_all("text", F.lit(r"\s*+\S++"), F.lit(0))
+    rows = texts.select(*KEY, F.posexplode(words).alias("i", "token")).distinct()
+    stop = F.sum(F.length("token")).over(W.partitionBy(*KEY).orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    token = F.regexp_replace("token", r"^\s+", "")
+    lead = F.length(token) - F.length(F.ltrim(token, F.lit(OUTER)))
+    start = (F.col("end") - F.length(token) + lead).cast("int")
+    return (rows.withColumn("end", stop).withColumn("term", _word(token)).filter(F.col("term").rlike(r"^\p{L}{3,}$"))
+            .select(*KEY, "term", start.alias("start"), (start + F.length(F.btrim(token, F.lit(OUTER)))).cast("int").alias("stop")))
 
 
-def spans(docs: DataFrame, near: int = NEAR, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
+def spans(docs: DataFrame, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
     """h, c, chars, kind, start, stop, mask: all spans of each distinct text (code points, stop exclusive)."""
-    found = cut_lineage(mentions(docs, near), "mentions")
-    contexts = cut_lineage(_contexts(found), "contexts")
-    terms = disclosing_terms(docs, found, contexts, least_texts, disclosed)
+    found = cut_lineage(mentions(docs), "mentions")
+    pairs, total = _pairs(docs, cut_lineage(_contexts(found), "contexts"), disclosed)
+    terms = _shares(pairs, total, least_texts, disclosed)
+    # Back to the pairs of a text, not to all texts of the entity: their number stays that of the pairs.
+    told = cut_lineage(pairs.join(terms, ["value", "term"]).groupBy(*KEY, "term").agg(F.max("share").alias("share")), "told")
     mask = F.when(F.col("share") >= IDENTIFIED, F.lit("")).otherwise(F.lit(GENERAL))
-    near_terms = (contexts.join(terms, ["value", "term"]).groupBy(*KEY, "start", "stop").agg(F.max("share").alias("share"))
-                  .select(*KEY, F.lit("term").alias("kind"), "start", "stop", mask.alias("mask")))
+    term_spans = _places(_texts(docs, told)).join(told, [*KEY, "term"]).select(*KEY, F.lit("term").alias("kind"), "start", "stop", mask.alias("mask"))
     masks = F.create_map(*[F.lit(x) for kv in MASKS.items() for x in kv])
     base = found.select(*KEY, "kind", "start", "stop", masks[F.col("kind")].alias("mask"))
-    return base.unionByName(near_terms)
+    return base.unionByName(term_spans)
 
 
-def find_personal_data(docs: DataFrame, near: int = NEAR, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
+def find_personal_data(docs: DataFrame, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base (spans of the four patterns), spans (all), one row per row of ``docs``.
 
     Spans are ``kind:start:end``, by kind in the order of KINDS, then by start. ``docs`` needs doc_id and text; other columns are
@@ -157,7 +179,7 @@ def find_personal_data(docs: DataFrame, near: int = NEAR, least_texts: int = LEA
     """
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     item = F.struct(rank.alias("rank"), "start", "stop", "kind")
-    per_text = (spans(docs, near, least_texts, disclosed).groupBy(*KEY)
+    per_text = (spans(docs, least_texts, disclosed).groupBy(*KEY)
                 .agg(F.sort_array(F.collect_list(item)).alias("items")))
     per_text = cut_lineage(per_text, "spans")
     written = F.transform("items", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string")))
@@ -170,14 +192,14 @@ def find_personal_data(docs: DataFrame, near: int = NEAR, least_texts: int = LEA
                           F.array_join(written, ",").alias("spans"))
 
 
-def sanitize(docs: DataFrame, near: int = NEAR, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
+def sanitize(docs: DataFrame, least_texts: int = LEAST_TEXTS, disclosed: float = DISCLOSED) -> DataFrame:
     """``docs`` with personal data masked in ``text`` and disclosing terms generalised or removed; rows, order of columns and other columns stay.
 
     Overlapping spans are masked as one run, by the mask of the first. A null text stays null.
     """
     w = W.partitionBy(*KEY).orderBy("start", F.desc("stop"), "kind")
     done = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    cut = (spans(docs, near, least_texts, disclosed).withColumn("done", F.coalesce(done, F.lit(0))).filter(F.col("stop") > F.col("done"))
+    cut = (spans(docs, least_texts, disclosed).withColumn("done", F.coalesce(done, F.lit(0))).filter(F.col("stop") > F.col("done"))
            .withColumn("shown", F.when(F.col("start") >= F.col("done"), F.col("mask")).otherwise(F.lit("")))
            .withColumn("start", F.greatest("start", "done"))
            .groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "done", "shown"))).alias("cuts")))

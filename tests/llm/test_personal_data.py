@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from helpers import personal_spans
@@ -72,3 +73,16 @@ def test_entities_of_one_text_and_of_two_are_weighed(spark):
 def test_terms_are_found_on_a_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert find_personal_data(docs).filter("n_term > 0").count() > 0
+
+
+def test_a_term_far_from_its_entity_and_all_its_places_are_found(spark):
+    """The name at the head of a letter and in its middle, the address at its end."""
+    filler = "all said and far " * 40
+    rows = [(i, f"Dear Zephyr,\n{filler}(zephyr) {filler}mail: boss@firm.example") for i in range(2)] + [(2, f"ZEPHYR! {filler}{filler} far boss@firm.example, İé😀 Zephyr")]
+    rows += [(20 + i, "dear all said far and mail") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in find_personal_data(df).collect()}
+    for i in (1, 2):
+        cut = [(int(a), int(e)) for k, a, e in (s.split(":") for s in got[i]["spans"].split(",")) if k == "term"]
+        assert cut == [(m.start(), m.end()) for m in re.finditer("zephyr", rows[i][1].lower().replace("i̇", "i"))] and len(cut) == 2
+    assert "ephyr" not in "".join(r["text"] for r in sanitize(df).collect())
