@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product over an inverted multi-index.
 
 The two halves of a vector are quantised on their own; a pair of centroids is a cell. A query visits cells in the order of the summed
-products of its halves with the cells' centroids, by a heap over pairs, until the cells hold a share of all entries. Entries of visited cells
+products of its halves with the cells' centroids, by a heap over pairs, until the cells hold a share of all entries, and k + 1 at least. Entries of visited cells
 are reranked by their exact product.
 
 Identical vectors are one entry with the smallest ids that a result can need. Entries lie in blocks of neighbouring cells, a large
@@ -129,7 +129,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vecto
     table = spark.createDataFrame([(int(c), int(start[c]), int(parts[c])) for c in np.flatnonzero(counts)], "cell int, first long, parts long")
     blocks = (placed.join(F.broadcast(table), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("ids"), "parts"))
               .groupBy("block").agg(F.collect_list(F.struct("v", "ids", "cell")).alias("e")))
-    least, grid = share * counts.sum(), counts.reshape(len(left), wide)
+    total = int(counts.sum())
+    # The query's own entry may be one of those visited.
+    least, grid = max(share * total, min(total, k + 1)), counts.reshape(len(left), wide)
 
     def probes(batch):
         x, out = _matrix(batch.column(1)), []

@@ -131,6 +131,15 @@ def test_recall_and_edge_cases(spark):
     assert search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 10, 30, 40])
+def test_small_tables_give_all_asked_at_the_default_share(spark, n):
+    import pyspark.sql.functions as F
+    x = np.random.default_rng(n).normal(size=(n, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = search(df, F.col("vec_id") % 5 == 0).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {i: min(20, n - 1) for i in range(0, n, 5)}
+
+
 # toxicity
 
 @pytest.fixture(scope="module")
