@@ -19,11 +19,23 @@ from loadtide.llm.common import map_batches, ship
 VERSION = "WARC/1.1"
 RECORD = ("warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, "
           "payload_digest string, content string")
-#: Elements whose content is no text, and elements that end a line of text.
-DROPPED = ("script", "style", "noscript", "template", "svg", "title", "head")
+#: Elements whose content is no text (beside the head), and elements that end a line of text.
+DROPPED = ("script", "style", "noscript", "template", "svg", "title")
 BLOCKS = frozenset("address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol "
                    "option p pre section table tbody td tfoot th thead title tr ul".split())
-DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(DROPPED)})(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)", re.S | re.I)
+COMMENT = r"<!--.*?(?:-->|\Z)"
+ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+
+
+def _whole(name, tags):
+    return rf"<(?P<{name}>{tags})(?=[\s/>])[^>]*+>.*?(?:</(?P={name})\s*+>|\Z)"
+
+
+#: A head ends at its end tag or, like a browser's, before the first text or element that can't stand in it.
+HEAD = (rf"<head(?=[\s/>])[^>]*+>(?:\s++|{COMMENT}|<[!?][^>]*+>|{_whole('inner', 'script|style|noscript|template|title|noframes')}"
+        rf"|<(?:base|basefont|bgsound|link|meta|head|html)(?=[\s/>]){ATTRIBUTES}>|</(?!(?:head|body|html|br)[\s>])[a-z][^>]*+>)*+(?:</head\s*+>)?")
+#: A self-closing svg is empty.
+DROP = re.compile(rf"{COMMENT}|<svg(?=[\s/>]){ATTRIBUTES}(?<=/)>|{HEAD}|{_whole('outer', '|'.join(DROPPED))}", re.S | re.I)
 TITLE = re.compile(r"<title(?=[\s>])[^>]*+>(.*?)(?:</title\s*+>|\Z)", re.S | re.I)
 TAG = re.compile(r"<(?:/?([a-zA-Z][a-zA-Z0-9]*+)(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[!?][^>]*+>)")
 LINK = re.compile(r"<a\s(?:[^>]*?\s)?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)

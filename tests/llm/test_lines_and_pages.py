@@ -2,7 +2,7 @@ import hashlib
 from html.parser import HTMLParser
 
 from loadtide.llm.line_dedup import drop_boilerplate, host_of
-from loadtide.llm.warc import derivatives, parse_http, plain_text, read_records, responses_from_pages, write_records
+from loadtide.llm.warc import derivatives, derive, parse_http, plain_text, read_records, responses_from_pages, write_records
 
 
 def test_lines_over_the_ratio_go_and_others_stay(spark):
@@ -60,6 +60,16 @@ def test_plain_text_of_odd_pages():
     assert plain_text("1 < 2 and <a title='x>y'>z</a>") == "1 < 2 and z"
 
 
+def test_an_unclosed_head_and_a_self_closing_svg_end():
+    assert plain_text("<head><title>T</title><body><p>text</p>") == "text"
+    assert plain_text("<html><head lang=x><!-- <p> --><meta charset='>'><script>'<p>'</script>\n<link href=a><p>text</p><p>more") == "text\nmore"
+    assert plain_text("<head><title>T</title>loose</head><header>h</header>") == "loose\nh" and plain_text("<head><style>a</style></head>t") == "t"
+    assert plain_text("a<svg class='x>y' /><p>b</p><svg><path d='M0'/><text>no</text></svg>c<svg/>d") == "a\nb\nc d"
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<head><title>T</title><body><svg/><a href='/q'>z</a>"
+    meta, text = derive("<r>", "u", "d", page, None)
+    assert "outlink: /q\r\n" in meta[-1] and text[-1] == "T\nz"
+
+
 def sha1(b):
     import base64
     return "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
