@@ -2,7 +2,8 @@
 
 Writers hide words by look-alike symbols (``1d10t``), by spacing letters out and by repeating them. A token that shows
 such signs becomes a lattice of the characters that may be meant; Viterbi decoding under a character trigram model,
-counted over all documents, picks the likeliest reading. Restored words are matched with terms (words and beginnings of
+counted over all documents, picks the likeliest reading. Where neighbours may mean the same letter a second reading merges them, and the parts of a token between punctuation are
+read on their own and together. Restored words are matched with terms (words and beginnings of
 words) whose share among labelled toxic texts is significantly above that among the others; a logistic curve
 turns the evidence of a text into a score.
 """
@@ -33,8 +34,12 @@ LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 #: Log-probabilities of the channel: a letter as it is, a symbol for a letter, one of two readings of a repeated letter, a gap that parts words.
 PLAIN_COST, SYMBOL_COST, REPEAT_COST, GAP_COST = 0.0, -1.5, -0.7, -2.0
 OUTER = ".,;:?\"'()[]{}<>%#&*~`^=/\\_-…»«“”„’‘"
-SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*][^\W_]){3,}(?![^\W_])")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
+LETTER = rf"(?:[^\W_]|[{re.escape(''.join(c for c in LOOKS if not c.isalnum()))}])"
+SPACED = re.compile(rf"(?<![^\W_]){LETTER}(?:[\s.\-_*]++{LETTER}){{2,}}(?![^\W_])")
+PIECE = re.compile(f"{LETTER}+")
+DOUBLE, TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
+#: Symbols that also end a sentence or part words; tokens over so many characters are read as several words.
+PARTING, LONG = "!|+", 40
 
 
 def fold(c: str) -> int:
@@ -42,6 +47,8 @@ def fold(c: str) -> int:
     return LETTERS.find(unicodedata.normalize("NFD", c)[0].lower()) if c.isalpha() else -1
 
 
+#: Readings' places, kept: pairs of single characters at most.
+CODES: dict = {}
 FOLDED = np.array([i if (i := fold(chr(c))) >= 0 else EDGE for c in range(0x250)], dtype=np.int64)
 
 
@@ -80,50 +87,101 @@ class Channel:
                 out.append([(c, PLAIN_COST)] if k == 1 else [(c * 2, PLAIN_COST)] if k == 2 and not TRIPLE.search(token)
                            else [(c, REPEAT_COST), (c * 2, REPEAT_COST)])
                 i += k
+            elif k > 2 and c in LOOKS:
+                out.append([(x * n, SYMBOL_COST + REPEAT_COST) for x in LOOKS[c] for n in (1, 2)] + parting(c))
+                i += k
             else:
-                out.append([(x, SYMBOL_COST) for x in LOOKS.get(c, "")] or [("", SYMBOL_COST)])
+                out.append([(x, SYMBOL_COST) for x in LOOKS.get(c, "")] + parting(c) or [("", SYMBOL_COST)])
                 i += 1
         return out
 
-    def decode(self, lattice):
-        """Viterbi over states of the last two characters."""
-        beam = {(EDGE, EDGE): (0.0, "")}
-        for readings in lattice:
+    def merged(self, token: str):
+        """A lattice of single characters, and for each the letters that it may repeat."""
+        return [[(x, SYMBOL_COST if c in LOOKS else PLAIN_COST) for x in readings(c)] + parting(c) or [("", SYMBOL_COST)] for c in token], [readings(c) for c in token]
+
+    def decode(self, lattice, repeats=None):
+        """Viterbi over states of the last two characters. With ``repeats`` a position may be one more of the letter before it, if that is among its own."""
+        beam = {(EDGE, EDGE): (0.0, None, "")}                       # score, reading and what was before it, last character
+        for at, items in enumerate(lattice):
             after = {}
-            for (a, b), (score, text) in beam.items():
-                for reading, cost in readings:
+            coded = [(text, cost, codes(text)) for text, cost in items]
+            for (a, b), (score, path, last) in beam.items():
+                if repeats and last and last in repeats[at] and ((a, b) not in after or after[a, b][0] < score + REPEAT_COST):
+                    after[a, b] = (score + REPEAT_COST, path, last)
+                for text, cost, zs in coded:
                     x, y, s = a, b, score + cost
-                    for c in reading:
-                        z = fold(c)
-                        z = EDGE if z < 0 else z
+                    for z in zs:
                         s += self.logp[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or after[x, y][0] < s:
-                        after[x, y] = (s, text + reading)
+                        after[x, y] = (s, (path, text), text[-1:] or last)
             beam = after
-        return max((s + self.logp[x][y][EDGE], t) for (x, y), (s, t) in beam.items())[1]
-
-    def restore(self, token: str) -> str:
-        """The word of a lower-cased token, or an empty string."""
-        word = token.strip(OUTER)
+        _, path = max(((s + self.logp[x][y][EDGE], path) for (x, y), (s, path, _) in beam.items()), key=lambda r: r[0])
+        out = []
+        while path:
+            path, text = path
+            out.append(text)
+        return "".join(reversed(out))
+
+    def restore(self, token: str) -> set:
+        """The words that a lower-cased token may be."""
+        pieces = PIECE.findall(token)
+        out = {w for p in pieces for w in self.read(p)}
+        return out | self.read("".join(pieces)) if len(pieces) > 1 else out
+
+    def read(self, word: str) -> set:
+        """Readings of letters and look-alikes: as written, and with neighbours that may be one letter merged."""
         bare = word.rstrip("!$|+") or word
         if bare.isalpha():
-            return self.decode(self.lattice(bare)) if TRIPLE.search(bare) else bare
-        if any(c.isalpha() for c in word) and any(c in LOOKS for c in word) and len(word) <= 40:
-            return self.decode(self.lattice(word.rstrip("!") if bare != word and not any(c in LOOKS for c in bare) else word))
-        return "".join(c for c in word if c.isalpha())
+            out = {self.decode(self.lattice(bare)) if TRIPLE.search(bare) else bare}
+            if DOUBLE.search(bare):
+                out.update(self.decode(*self.merged(bare)).split())
+            return out
+        if not any(c.isalpha() for c in word) or not any(c in LOOKS for c in word):
+            return {"".join(c for c in word if c.isalpha())}
+        word = word.rstrip("!") if bare != word and not any(c in LOOKS for c in bare) else word
+        lattice, repeats = self.merged(word)
+        ways = [self.decode(gaps(self.lattice(word)) if len(word) > LONG else self.lattice(word))]
+        if any(set(a) & set(b) for a, b in zip(repeats, repeats[1:])):
+            ways.append(self.decode(gaps(lattice) if len(word) > LONG else lattice, repeats))
+        return {w for text in ways for w in text.split()}
 
     def joined(self, text: str) -> list:
         """Words of the runs of spaced-out letters in a lower-cased text."""
         words = []
         for run in SPACED.findall(text):
-            letters = [c for c in run if c not in " .-_*"]
-            lattice = [[(x, PLAIN_COST) for x in (c if c.isalpha() else LOOKS.get(c, ""))] or [("", SYMBOL_COST)] for c in letters]
-            lattice = lattice[:1] + [r + [(" " + t, c + GAP_COST) for t, c in r] for r in lattice[1:]]
-            words += self.decode(lattice).split()
+            letters = "".join(PIECE.findall(run))
+            for form in {letters, letters.rstrip("!|+$") or letters}:
+                lattice = [[(x, PLAIN_COST) for x in readings(c)] or [("", SYMBOL_COST)] for c in form]
+                repeats = [readings(c) for c in form]
+                alike = any(set(a) & set(b) for a, b in zip(repeats, repeats[1:]))
+                for way in (lattice, gaps(lattice)):
+                    words += self.decode(way).split()
+                    words += self.decode(way, repeats).split() if alike else []
         return words
 
 
+def readings(c: str) -> str:
+    """The letters that a character may be."""
+    return c if c.isalpha() and c not in LOOKS else LOOKS.get(c, "")
+
+
+def parting(c: str) -> list:
+    return [(" ", GAP_COST)] if c in PARTING else []
+
+
+def gaps(lattice: list) -> list:
+    """The lattice with a gap possible before each reading but the first."""
+    return lattice[:1] + [r + [(" " + t, c + GAP_COST) for t, c in r] for r in lattice[1:]]
+
+
+def codes(text: str) -> tuple:
+    """Places of a reading's characters in the model's alphabet."""
+    if text not in CODES:
+        CODES[text] = tuple(EDGE if (z := fold(c)) < 0 else z for c in text)
+    return CODES[text]
+
+
 def term_keys(word: str) -> list:
     """Terms of a word: itself and its beginnings."""
     if len(word) < 3:
@@ -132,25 +190,25 @@ def term_keys(word: str) -> list:
 
 
 class Words(dict):
-    """token -> restored word, kept."""
+    """token -> restored words, kept."""
 
     def __init__(self, channel):
         self.channel = channel
 
     def __missing__(self, token):
-        word = self.channel.restore(token)
+        found = self.channel.restore(token)
         if len(token) < 40:
             if len(self) >= TOKENS:
                 self.clear()
-            self[token] = word
-        return word
+            self[token] = found
+        return found
 
 
 def restored(text: str, words: Words):
     """Number of tokens and set of restored words of a text."""
     low = text.lower()
     tokens = low.split()
-    out = set(map(words.__getitem__, set(tokens)))
+    out = set().union(*map(words.__getitem__, set(tokens)))
     if SPACED.search(low):
         out.update(words.channel.joined(low))
     out.discard("")

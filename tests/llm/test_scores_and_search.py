@@ -165,6 +165,21 @@ def test_hidden_words_are_restored(model):
     assert restored("The house, at 12 %%% (ok) 3rd.", words)[1] >= {"the", "house", "at", "ok"}
 
 
+@pytest.mark.parametrize("hidden, word", [
+    ("i d ! o t", "idiot"), ("a $ $ h o l e", "asshole"), ("i  d  i  o  t", "idiot"), ("i - d . i\to  t !", "idiot"), ("s c u m", "scum"), ("f a t", "fat"), ("1d1000t", "idiot"),
+    ("iddiioott", "idiot"), ("1dd!!00tt", "idiot"), ("i d d i i o o t", "idiot"), ("you/idiot", "idiot"), ("really-idiot", "idiot"), ("really\u2014idiot", "idiot"), ("you|1d10t", "idiot"),
+    ("id-iot", "idiot"), ("so/1d10t/" + "erand/" * 8, "idiot"), ("1d10t|" * 9, "idiot"), ("w0rthl3ss", "worthless")])
+def test_combined_disguises_are_restored(model, hidden, word):
+    got = restored(f"the {hidden} erand", Words(Channel(model[1].counts)))[1]
+    assert word in got, got
+
+
+def test_combined_disguises_raise_the_score(model):
+    m, clean = model[1], "the and of thion erand that in onther " * 6
+    assert m.score(clean + "i d ! o t and m  o  r  o  n you/loser") >= 0.7
+    assert m.score(clean + "1d1000t moorroonn and/loser") >= 0.7
+
+
 def test_hidden_words_raise_the_score(model):
     m, clean = model[1], "the and of thion erand that in onther " * 6
     assert m.score(clean) < 0.3 and m.score("") < 0.3
