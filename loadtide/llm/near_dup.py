@@ -55,18 +55,18 @@ class MinMax:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, node and node2 (two hashes of the whole set), bands (null for an empty set)."""
+    """doc_id, text_key (a hash of the text), n_shingles, node and node2 (two hashes of the whole set), bands (null for an empty set)."""
     shingler, minmax = Shingler(words), MinMax()
 
     def run(batch):
         sets = shingler.sets([x.encode() for x in batch.column(1).to_pylist()])
-        return {"doc_id": batch.column(0), "n_shingles": [len(s) for s in sets],
+        return {"doc_id": batch.column(0), "text_key": batch.column(2), "n_shingles": [len(s) for s in sets],
                 "node": [int(mixed(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)) for s in sets],
                 "node2": [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets],
                 "bands": [minmax.keys(s) if len(s) else None for s in sets]}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run,
-                       "doc_id long, n_shingles long, node long, node2 long, bands array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), F.xxhash64(whole_text()).alias("text_key")), run,
+                       "doc_id long, text_key long, n_shingles long, node long, node2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -179,6 +179,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     and is its own class. Rows without a doc_id are linked to nothing: component_id and kept are null. Rows
     that repeat a doc_id get the class of their own text. Two texts count as equal sets when two 64-bit hashes of the sets agree.
     """
+    return _classified(docs, percent, words).drop("text_key")
+
+
+def _classified(docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """Like near_duplicates, with text_key."""
     signed = cut_lineage(signatures(docs, words), "signatures")
     nodes = (signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node", "node2", "n_shingles")
              .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
@@ -188,21 +193,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
               .withColumn("root", F.coalesce("root", "node")))
     heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = cut_lineage(rooted.join(heads, "root").select("node", "node2", "n_shingles", "component_id"), "classes")
-    return (signed.select("doc_id", "node", "node2", "n_shingles").join(classes, ["node", "node2", "n_shingles"], "left")
-            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return (signed.select("doc_id", "text_key", "node", "node2", "n_shingles").join(classes, ["node", "node2", "n_shingles"], "left")
+            .select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, that with the smallest doc_id.
 
-    Repeated rows (same doc_id and text) are copies: one stays. Rows without a doc_id stay.
+    Repeated rows (same doc_id and text) are copies: one stays. Of rows that repeat a doc_id with other texts each goes or stays by the class of its own text.
+    Rows without a doc_id stay.
     """
-    found = near_duplicates(docs, percent, words)
-    gone, key = fresh(docs, "_gone"), fresh(docs, "_key")
-    dropped = cut_lineage(found.filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    found = _classified(docs, percent, words)
+    gone, gone_key, key = fresh(docs, "_gone"), fresh(docs, "_gone_key"), fresh(docs, "_key")
+    dropped = cut_lineage(found.filter("NOT kept").select(F.col("doc_id").alias(gone), F.col("text_key").alias(gone_key)).distinct(), "gone")
     named = docs.filter("doc_id IS NOT NULL")
-    kept = (named.join(dropped, named["doc_id"].cast("long") == dropped[gone], "left_anti")
+    kept = (named.join(dropped, (named["doc_id"].cast("long") == dropped[gone]) & (F.xxhash64(whole_text()) == dropped[gone_key]), "left_anti")
             .withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key))
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 

@@ -60,3 +60,9 @@ def test_nulls_empty_texts_ties_and_extra_columns(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(df).count() == 0 and drop_near_duplicates(df).count() == 0
+
+
+def test_a_doc_id_with_two_texts_loses_only_the_copy(spark):
+    rows = [(5, "one two three four"), (5, "x y z w"), (2, "x y z w"), (7, "One two three four"), (8, None), (8, "X y z w")]
+    kept = drop_near_duplicates(frame(spark, rows), 85, 3).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(2, "x y z w"), (5, "one two three four"), (8, None)]
