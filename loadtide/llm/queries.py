@@ -110,3 +110,28 @@ def op2(spark, folder):
     """Metadata and conversion records of all pages."""
     from loadtide.llm.warc import derivatives, responses_from_pages
     return derivatives(responses_from_pages(table(spark, folder, "pages"), "2024-01-01T00:00:00Z"))
+
+
+@query("op11_decontaminate", r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+items AS (SELECT item_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
+cut AS (SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + 10], ' ') AS s FROM cut),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, w, unnest(range(len(w))) AS i FROM docs),
+met AS (SELECT p.r, p.i, z.n, array_to_string(p.w[p.i + 1:p.i + z.n], ' ') AS s FROM places p JOIN sizes z ON p.i + z.n <= len(p.w)),
+hits AS (SELECT m.r, m.i, m.n, x.item_id FROM met m JOIN windows x ON m.n = x.n AND m.s = x.s),
+hit_words AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, i + unnest(range(n)) AS place FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r),
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
+  coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit_words h ON d.r = h.r LEFT JOIN hit_items i ON d.r = i.r""")
+def op11(spark, folder):
+    """Words of every document that stand inside a passage of a benchmark item, and the items."""
+    from pyspark.sql import functions as F
+    from loadtide.llm.decontaminate import contamination
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
