@@ -135,3 +135,29 @@ def op11(spark, folder):
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op12_prefix_trie", r"""
+WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT conv_id, {'role': role, 'text': text} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM given),
+own AS (SELECT conv_id, list(t ORDER BY i) AS path FROM turns GROUP BY conv_id),
+bytes AS (SELECT conv_id, unnest(range(1, length(CAST(conv_id AS VARCHAR)) + 1)) AS i, CAST(conv_id AS VARCHAR) AS s FROM own),
+listed AS (SELECT conv_id, [4294967295] || list(ascii(substr(s, i, 1)) ORDER BY i) AS codes FROM bytes GROUP BY conv_id),
+crc AS (SELECT conv_id, xor(4294967295, list_reduce(codes, lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 4 AS h
+        FROM listed),
+convs AS (SELECT o.conv_id, coalesce(a.path, [])[1:c.h] || o.path[c.h + 1:] AS path FROM own o JOIN crc c ON o.conv_id = c.conv_id
+          LEFT JOIN own a ON a.conv_id = o.conv_id - o.conv_id % 20),
+steps AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM convs),
+nodes AS (SELECT path[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = d), '')) AS ends_sha256,
+          CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(coalesce(path[1:d][-1].text, ''), '[^\x20\x09-\x0D]+')) END AS words FROM steps GROUP BY path[1:d], d),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY p[1:d - 1]),
+known AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.p = k.p),
+above AS (SELECT p, d, n_children, n_convs, words, unnest(range(d + 1)) AS a FROM known),
+sums AS (SELECT p[1:a] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM above GROUP BY p[1:a])
+SELECT k.conv_id, CAST(k.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens,
+  k.ends_sha256
+FROM known k JOIN sums s ON k.p = s.p LEFT JOIN known u ON k.d > 0 AND u.d = k.d - 1 AND u.p = k.p[1:k.d - 1]""")
+def op12(spark, folder):
+    """The prefix trie of all rebuilt conversations."""
+    from loadtide.llm.prefix_trie import trie_nodes
+    return trie_nodes(table(spark, folder, "conversations"))
