@@ -161,3 +161,28 @@ def op12(spark, folder):
     """The prefix trie of all rebuilt conversations."""
     from loadtide.llm.prefix_trie import trie_nodes
     return trie_nodes(table(spark, folder, "conversations"))
+
+
+@query("op13_collocations", r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3), (4)) s(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.*, unnest(range(1, k)) AS cut FROM cand c),
+parts AS (SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, (2000000 * CAST(c.a AS HUGEINT)) // (l.f + r.f) AS score FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+worst AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM parts),
+inside AS (SELECT lang, a, w, k, unnest(range(2, k)) AS m FROM cand WHERE k > 2),
+inner_at AS (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM inside),
+covering AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS f FROM inner_at GROUP BY ALL),
+kept AS (SELECT p.* FROM worst p LEFT JOIN covering c ON c.lang = p.lang AND c.phrase = p.phrase WHERE p.o = 1 AND (c.f IS NULL OR 100 * CAST(c.f AS HUGEINT) < 80 * CAST(p.a AS HUGEINT))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT x.lang, x.rank, x.phrase, x.a, x.l, x.r, CAST(t.n AS BIGINT) AS n, CAST(x.score AS BIGINT) AS score FROM ranked x JOIN total t ON t.lang = x.lang WHERE x.rank <= 2000""")
+def op13(spark, folder):
+    """The best phrases of two to four words of every language."""
+    from loadtide.llm.collocations import collocations
+    return collocations(table(spark, folder, "documents"))
