@@ -8,6 +8,7 @@ from loadtide.functions.clock import slot_start
 from loadtide.functions.numeric import percent_of
 from loadtide.operators import evaluate as ev
 from loadtide.operators import features as ft
+from loadtide.operators import least_squares as lsq
 from loadtide.operators import sequences as sq
 from loadtide.plans import custom, forecast, models, panel, selection
 from loadtide.session import cut_lineage
@@ -280,9 +281,53 @@ def m17b(spark, folder):
     return spark.createDataFrame(rows, "term string, coefficient double")
 
 
-@query("M17_linear_arx")
+# The two weekly frequencies, in cycles a day, and the terms of the three daily models.
+ARX_CYCLES = {"f1": 0.1428571, "f2": 0.2857143}
+ARX_MODELS = {
+    "simple": ["y_lag1", "x", "cos_f1", "sin_f1", "cos_f2", "sin_f2"],
+    "complex": ["y_lag1", "y_lag2", "y_lag3", "x", "x_lag1", "x_lag2", "x_lag3", "cos_f1", "sin_f1", "cos_f2", "sin_f2"],
+    "third": ["y_lag1", "x", "x_lag1", "x_lag2", "cos_f1", "cos_f2", "sin_f2"],
+}
+ARX_ORIGINS = (2190, 2555)                                           # days since 1990: two years and three years of history
+
+
+def _arx_sql():
+    """Normal equations of each model by Gauss-Jordan steps over lists, one recursion a model."""
+    ctes = ["o AS (SELECT unnest([%s]) AS origin_day)" % ", ".join(map(str, ARX_ORIGINS)),
+            "raw AS (SELECT region, date_diff('day', DATE '1990-01-01', CAST(date AS DATE)) AS d, demand AS y, temp AS x FROM demand_temp)",
+            "z AS (SELECT a.region, a.d, a.y, a.x, " + ", ".join(f"l{k}.y AS y_lag{k}, l{k}.x AS x_lag{k}" for k in (1, 2, 3)) + ", "
+            + ", ".join(f"{fn}(2 * pi() * {f} * a.d) AS {fn}_{n}" for n, f in ARX_CYCLES.items() for fn in ("cos", "sin")) + " FROM raw a "
+            + " ".join(f"LEFT JOIN raw l{k} ON l{k}.region = a.region AND l{k}.d = a.d - {k}" for k in (1, 2, 3)) + ")"]
+    parts = []
+    for model, terms in ARX_MODELS.items():
+        p = len(terms) + 1
+        known = " AND ".join(f"{t} IS NOT NULL" for t in terms)
+        c = [f"({t} - m_{t})" for t in terms] + ["(y - m_y)"]
+        means = ", ".join(f"avg({t}) OVER g AS m_{t}" for t in [*terms, "y"])
+        matrix = "[" + ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in c) + "]" for a in c[:-1]) + "]"
+        ctes.append(f"rows_{model} AS (SELECT region, origin_day, y, {', '.join(terms)}, {means} FROM z, o WHERE d < origin_day AND {known} WINDOW g AS (PARTITION BY region, origin_day))")
+        ctes.append(f"""solve_{model} AS (SELECT region, origin_day, count(*) AS n, {matrix} AS a, sum({c[-1]} * {c[-1]}) AS yy, [{', '.join(f'sum({x} * {c[-1]})' for x in c[:-1])}] AS b,
+            [{', '.join(f'avg({t})' for t in terms)}] AS mx, avg(y) AS my, 1 AS k FROM rows_{model} GROUP BY region, origin_day UNION ALL
+          SELECT region, origin_day, n, [CASE WHEN i = k THEN [v / a[k][k] FOR v IN a[k]] ELSE [a[i][j] - a[i][k] * a[k][j] / a[k][k] FOR j IN range(1, {p + 1})] END FOR i IN range(1, {p})], yy, b, mx, my, k + 1
+          FROM solve_{model} WHERE k < {p})""")
+        ctes.append(f"""done_{model} AS (SELECT region, origin_day, n, [r[{p}] FOR r IN a] AS s, (yy - list_sum([a[i][{p}] * b[i] FOR i IN range(1, {p})])) / n AS mse, yy, mx, my FROM solve_{model} WHERE k = {p})""")
+        parts.append(f"""SELECT '{model}' AS model, region, origin_day, n, mse, 1 - mse * n / yy AS r2, n * (ln(2 * pi()) + ln(mse) + 1) + 2 * {p + 1} AS AIC, n * (ln(2 * pi()) + ln(mse) + 1) + ln(n) * {p + 1} AS BIC,
+          unnest({['intercept', *terms]}) AS term, unnest([my - list_sum([s[i] * mx[i] FOR i IN range(1, {p})])] || s) AS coefficient FROM done_{model}""")
+    return "WITH RECURSIVE " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
+
+
+@query("M17_linear_arx", _arx_sql(), nums="mse r2 AIC BIC coefficient")
 def m17(spark, folder):
-    return _fit_rows(spark, folder, "linear")
+    """Daily demand on its own lags, temperature, its lags and two weekly cycles: three models, every series and origin in one plan."""
+    d = v.demand_temp(spark, folder).select("region", F.datediff("date", F.lit("1990-01-01").cast("date")).cast("long").alias("d"), F.col("demand").alias("y"), F.col("temp").alias("x"))
+    rows = cut_lineage(lsq.cycles(lsq.lagged(d, ["region"], "d", {"y": [1, 2, 3], "x": [1, 2, 3]}), "d", ARX_CYCLES), "arx")
+    origins = d.select("region").distinct().withColumn("origin_day", F.explode(F.array(*[F.lit(o).cast("long") for o in ARX_ORIGINS])))
+    out = None
+    for model, terms in ARX_MODELS.items():
+        fits = lsq.fit_all(rows, ["region"], "y", terms, origins, pos="d", origin="origin_day")
+        part = lsq.coefficient_rows(fits.withColumn("model", F.lit(model)), ["model", "region", "origin_day", "n", "mse", "r2", "AIC", "BIC"])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 TREND = """WITH d AS (SELECT temp_mean_c AS y, date_diff('day', DATE '1995-01-01', CAST(date AS DATE)) / 1000.0 - 1.25 AS t FROM daily_weather),
