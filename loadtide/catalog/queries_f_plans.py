@@ -11,6 +11,7 @@ from loadtide.operators import features as ft
 from loadtide.operators import least_squares as lsq
 from loadtide.operators import sequences as sq
 from loadtide.plans import custom, forecast, models, panel, selection
+from loadtide.plans import origin_maps as maps
 from loadtide.session import cut_lineage
 from loadtide.streaming import live
 
@@ -88,17 +89,72 @@ def m06(spark, folder):
     FROM origin_many o JOIN cal_a c ON c.region = o.region AND c.hh < o.origin_hh WHERE y IS NOT NULL GROUP BY 1, 2, 3, 4""", nums="historical_month_halfhour_mean historical_month_halfhour_median", ints="half_hour_index")
 def m07(spark, folder):
     c = v.cal_a(spark, folder)
-    pre = _pre_origin(c, v.origin_many(c))
-    keys = ["region", "origin_hh"]
-    rows = pre.groupBy(*keys, "month", "half_hour_index").agg(F.count(F.lit(1)).alias("history_rows"), F.max("hh").alias("history_end"))
-    return ft.halfhour_profile(pre, keys).join(rows, [*keys, "month", "half_hour_index"])
+    o = v.origin_many(c)
+    return maps.halfhour_map(maps.known_rows(c, o), o)
 
 
-def _pre_origin(c, origins):
-    """Known rows before each origin: the origin list of a series is one array, so rows are copied, not cross-matched."""
-    listed = origins.groupBy("region").agg(F.array_sort(F.collect_set("origin_hh")).alias("_o"))
-    pairs = c.where("y is not null").join(listed, "region")
-    return pairs.withColumn("origin_hh", F.explode(F.filter("_o", lambda o: o > F.col("hh")))).drop("_o")
+ORIGIN_DAYS = """SELECT o.region, o.origin_hh, c.month, c.local_date, avg(y) AS m, max(y) AS x FROM origin_many o JOIN cal_a c ON c.region = o.region AND c.hh < o.origin_hh WHERE y IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+@query("M07b_origin_monthly_map", f"""SELECT region, origin_hh, month, avg(m) AS historical_month_daily_mean, avg(x) AS historical_month_peak_mean, stddev_samp(m) AS historical_month_variability FROM ({ORIGIN_DAYS}) GROUP BY 1, 2, 3""",
+       nums="historical_month_daily_mean historical_month_peak_mean historical_month_variability")
+def m07b(spark, folder):
+    c = v.cal_a(spark, folder)
+    o = v.origin_many(c)
+    return maps.monthly_map(maps.known_rows(c, o), o)
+
+
+@query("M07c_origin_weekday_map", """SELECT o.region, o.origin_hh, c.month, c.day_of_week, c.half_hour_index, avg(y) AS historical_month_dow_halfhour_mean
+    FROM origin_many o JOIN cal_a c ON c.region = o.region AND c.hh < o.origin_hh WHERE y IS NOT NULL GROUP BY 1, 2, 3, 4, 5""", nums="historical_month_dow_halfhour_mean", ints="half_hour_index")
+def m07c(spark, folder):
+    c = v.cal_a(spark, folder)
+    o = v.origin_many(c)
+    return maps.dow_halfhour_map(maps.known_rows(c, o), o)
+
+
+@query("M07d_origin_history", """SELECT o.region, o.origin_hh, count(*) AS history_rows, max(c.hh) AS history_end, string_agg(DISTINCT CAST(c.year AS VARCHAR), ',' ORDER BY CAST(c.year AS VARCHAR)) AS years_used
+    FROM origin_many o JOIN cal_a c ON c.region = o.region AND c.hh < o.origin_hh WHERE y IS NOT NULL GROUP BY 1, 2""")
+def m07d(spark, folder):
+    c = v.cal_a(spark, folder)
+    o = v.origin_many(c)
+    return maps.history_map(maps.known_rows(c, o), o)
+
+
+#: Days since 1990 at which the daily maps are taken: inside a year and at its end.
+MAP_DAYS = (2000, 2191, 2700)
+WEATHER_DAYS = f"SELECT o.origin_day, w.*, month(w.date) AS month, dayofyear(w.date) AS day_of_year FROM daily_weather w, (SELECT unnest({list(MAP_DAYS)}) AS origin_day) o WHERE date_diff('day', DATE '1990-01-01', CAST(w.date AS DATE)) < origin_day"
+
+
+def _day_origins(days):
+    return days.select("region").distinct().withColumn("origin_day", F.explode(F.array(*[F.lit(d).cast("long") for d in MAP_DAYS])))
+
+
+def _weather_days(spark, folder):
+    w = v.daily_weather(spark, folder).withColumn("region", v.one_series("date"))
+    w = w.withColumns({"day": F.datediff("date", F.lit("1990-01-01").cast("date")).cast("long"), "month": F.month("date"), "day_of_year": F.dayofyear("date")})
+    return cut_lineage(w, "weather-days")
+
+
+@query("M07e_origin_temperature_map", f"SELECT origin_day, day_of_year, avg(temp_mean_c) AS expected_temp_climatology, count(*) AS days FROM ({WEATHER_DAYS}) GROUP BY 1, 2", nums="expected_temp_climatology")
+def m07e(spark, folder):
+    w = _weather_days(spark, folder)
+    return maps.temperature_map(w, _day_origins(w)).drop("region")
+
+
+@query("M07f_origin_rain_map", f"""SELECT origin_day, month, avg(CASE WHEN rainfall_mm > 0.45 THEN 1.0 ELSE 0.0 END) AS historical_rain_probability, avg(rainfall_mm) AS mean_rainfall_mm FROM ({WEATHER_DAYS}) GROUP BY 1, 2""",
+       nums="historical_rain_probability mean_rainfall_mm")
+def m07f(spark, folder):
+    w = _weather_days(spark, folder)
+    return maps.rain_map(w, _day_origins(w), threshold=0.45).drop("region")
+
+
+@query("M07g_origin_balance_point", f"""SELECT region, origin_day, base AS balance_point_c, c AS balance_point_corr, n AS days FROM (SELECT region, origin_day, base, count(*) AS n, abs(corr(demand, abs(temp - base))) AS c FROM demand_temp,
+    (SELECT unnest(range(28, 51)) / 2.0 AS base), (SELECT unnest({list(MAP_DAYS)}) AS origin_day) WHERE date_diff('day', DATE '1990-01-01', CAST(date AS DATE)) < origin_day GROUP BY 1, 2, 3)
+    WHERE n >= 60 QUALIFY row_number() OVER (PARTITION BY region, origin_day ORDER BY c DESC, base) = 1""", nums="balance_point_c balance_point_corr")
+def m07g(spark, folder):
+    d = v.demand_temp(spark, folder).withColumn("day", F.datediff("date", F.lit("1990-01-01").cast("date")).cast("long"))
+    d = cut_lineage(d, "demand-days")
+    return maps.balance_map(d, _day_origins(d))
 
 
 def _policy_sql(mode, use, base):
@@ -198,7 +254,7 @@ def m11(spark, folder):
 @query("M12_training_scaler", """SELECT g.region, o.origin_hh, max(hh) AS fitted_until_hh, count(*) AS fitted_rows, avg(y) AS y_mean, stddev_samp(y) AS y_std FROM grid_a g JOIN origin_many o ON o.region = g.region AND g.hh < o.origin_hh GROUP BY 1, 2""", nums="y_mean y_std")
 def m12(spark, folder):
     g = v.grid_a(spark, folder)
-    return sq.training_scaler(g.select("region", "hh", "y"), v.origin_many(g).select("region", "origin_hh"), ["y"])
+    return maps.scaler(g.select("region", "hh", "y"), v.origin_many(g), ["y"])
 
 
 MODEL_FEATURES = ["lag_48", "lag_96", "previous_day_mean", "previous_day_peak", "same_half_hour_7day_mean", "half_hour_index", "day_of_week", "sin_half_hour", "cos_half_hour", "historical_month_halfhour_mean"]
@@ -492,7 +548,7 @@ def m32(spark, folder):
     g = v.grid_a(spark, folder)
     o = v.origin_many(g)
     runs = forecast.naive_forecasts(g, o).groupBy("region", "model", "origin_hh").agg(F.count(F.lit(1)).alias("horizon_intervals"), F.count_if(F.col("forecast").isNull()).alias("unfilled"))
-    train = _pre_origin(g, o).groupBy("region", "origin_hh").agg(F.count(F.lit(1)).alias("train_rows"))
+    train = maps.scaler(g.where("y IS NOT NULL").select("region", "hh", "y"), o, []).select("region", "origin_hh", F.col("fitted_rows").alias("train_rows"))
     return runs.join(train, ["region", "origin_hh"]).withColumn("status", F.when(F.col("unfilled") == 0, "MODEL_READY").otherwise("MODEL_READY_WITH_WARNING"))
 
 

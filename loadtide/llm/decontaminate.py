@@ -10,6 +10,8 @@ Documents are cut into chunks of a fixed number of words, each with the words th
 text is many small rows. While the windows are few they go to every task and matches are confirmed where they are found: no text is
 shuffled. Beyond that bound, matches are joined by shingle, salted, and confirmed against the chunks.
 """
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,15 @@ def words_of(text):
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), PARTING), "")
 
 
-def _shingles(words, k: int):
-    """Structs (p, t): place and hash of each shingle of k words."""
-    places = F.when(F.size(words) >= k, F.sequence(F.lit(0), F.size(words) - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(words, i + 1, F.lit(k))).alias("t")))
+def _exploded(df: DataFrame, keep: list, sizes: list[int]) -> DataFrame:
+    """``keep`` with p and t: place and hash of each shingle of ``words``, for all asked sizes."""
+    shifted = [F.col("words").alias("a")] + [F.slice("words", F.lit(j + 1), F.greatest(F.size("words"), F.lit(1))).alias("abc"[j]) for j in range(1, max(sizes, default=1))]
+    rows = df.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("p", "z"))
+    hashes = {k: F.xxhash64(*[F.col(f"z.{c}") for c in "abc"[:k]]) for k in sizes}
+    if len(sizes) == 1:
+        return rows.filter(F.col(f"z.{'abc'[sizes[0] - 1]}").isNotNull()).select(*keep, "p", hashes[sizes[0]].alias("t"))
+    every = F.array(*[F.when(F.col(f"z.{'abc'[k - 1]}").isNotNull(), hashes[k]) for k in sizes]) if sizes else F.array().cast("array<bigint>")
+    return rows.select(*keep, "p", F.explode(every).alias("t")).filter("t IS NOT NULL")
 
 
 def _parsed(docs: DataFrame, column: str = "doc_id") -> DataFrame:
@@ -46,7 +53,7 @@ def _chunks(docs: DataFrame, reach: int) -> DataFrame:
     """doc, key, base (place of the first word), words: chunks with ``reach`` words of the next."""
     starts = F.sequence(F.lit(0), F.size("words") - 1, F.lit(CHUNK))
     cut = F.transform(starts, lambda b: F.struct(b.alias("base"), F.slice("words", b + 1, F.lit(CHUNK + reach)).alias("words")))
-    return (_parsed(docs).filter(F.size("words") > 0).select("doc", "key", F.explode(cut).alias("c")).select("doc", "key", "c.base", "c.words"))
+    return _parsed(docs).select("doc", "key", F.explode(F.when(F.size("words") > 0, cut)).alias("c")).select("doc", "key", "c.base", "c.words")
 
 
 def item_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
@@ -61,21 +68,11 @@ def item_windows(items: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     return windows, cut.join(windows.select("w", "words"), "words").select("w", "item")
 
 
-def _tokens(words, sizes: list[int], owned: bool = False):
-    """The shingles of a chunk, of all asked sizes; ``owned``: only those that start in the chunk itself."""
-    none = F.array().cast("array<struct<p:int,t:bigint>>")
-    parts = [_shingles(F.slice(words, 1, F.lit(CHUNK + k - 1)) if owned else words, k) for k in sizes]
-    return F.concat(*parts) if parts else none
-
-
-def _prefixes(chunks: DataFrame, windows: DataFrame, sizes: list[int], share: float) -> DataFrame:
+def _prefixes(docs: DataFrame, windows: DataFrame, sizes: list[int], share: float) -> DataFrame:
     """w, window, n, k, m, need and one of its rarest shingles with its offset: as many rows a window as its prefix takes."""
-    own = F.array().cast("array<struct<p:int,t:bigint>>")
-    for size in sizes:
-        own = F.when(F.col("k") == size, _shingles(F.col("words"), size)).otherwise(own)
-    parts = cut_lineage(windows.select("w", F.explode(own).alias("s")).select("w", F.col("s.p").alias("o"), F.col("s.t").alias("t")), "window_shingles")
-    met = chunks.select(F.explode(_tokens(F.col("words"), sizes, owned=True)).alias("s")).select(F.col("s.t").alias("t"))
-    counts = met.join(parts.select("t").distinct(), "t").groupBy("t").agg(F.count("*").alias("c"))
+    own = [_exploded(windows.filter(F.col("k") == k), ["w"], [k]).withColumnRenamed("p", "o") for k in sizes]
+    parts = cut_lineage(functools.reduce(DataFrame.unionByName, own), "window_shingles")
+    counts = _exploded(_parsed(docs), [], sizes).join(parts.select("t").distinct(), "t").groupBy("t").agg(F.count("*").alias("c"))
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "o", "t")))
     ranked = (parts.join(counts, "t", "left").groupBy("w").agg(order.alias("order")).withColumn("m", F.size("order"))
               .withColumn("need", F.greatest(F.ceil(F.lit(float(share)) * F.col("m")), F.lit(1)).cast("int")))
@@ -94,19 +91,18 @@ def _confirmed(share: float):
 
 def occurrences(docs: DataFrame, windows: DataFrame, window: int = WINDOW, share: float = 1.0, max_shipped: int = MAX_SHIPPED) -> DataFrame:
     """doc, key, at, n, w: windows that stand in a document from word ``at`` on. Rows may repeat."""
-    sizes = sorted(r["k"] for r in windows.select("k").distinct().collect())            # of 1, 2, 3
-    chunks = _chunks(docs, window - 1)
-    prefix = cut_lineage(_prefixes(chunks, windows, sizes, share), "prefixes")
-    tokens = F.explode(_tokens(F.col("words"), sizes)).alias("s")
-    start, room = (F.col("s.p") - F.col("o")).alias("start"), F.size("words").alias("room")
+    sizes = sorted(r["k"] for r in windows.select("k").distinct().collect()) or [SHINGLE]          # of 1, 2, 3
+    prefix = cut_lineage(_prefixes(docs, windows, sizes, share).withColumnRenamed("t", "rare"), "prefixes")
+    chunks = _chunks(docs, window - 1).withColumn("room", F.size("words"))
+    start = (F.col("p") - F.col("o")).alias("start")
     fits = (F.col("start") >= 0) & (F.col("start") < CHUNK) & (F.col("start") + F.col("n") <= F.col("room"))
     if prefix.count() <= max_shipped:
-        met = chunks.select("doc", "key", "base", "words", tokens).join(F.broadcast(prefix), F.col("s.t") == F.col("t"))
-        met = met.select("*", start, room).filter(fits).filter(_confirmed(share))
+        met = _exploded(chunks, ["doc", "key", "base", "words", "room"], sizes).join(F.broadcast(prefix), F.col("t") == F.col("rare"))
+        met = met.select("*", start).filter(fits).filter(_confirmed(share))
     else:
-        salted = chunks.select("doc", "key", "base", room, F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"), tokens)
-        spread = prefix.select("t", "o", "w", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
-        found = salted.join(spread, (F.col("s.t") == F.col("t")) & (F.col("salt") == F.col("salt2"))).select("*", start).filter(fits)
+        salted = _exploded(chunks, ["doc", "key", "base", "room"], sizes).withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+        spread = prefix.select("rare", "o", "w", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
+        found = salted.join(spread, (F.col("t") == F.col("rare")) & (F.col("salt") == F.col("salt2"))).select("*", start).filter(fits)
         found = found.select(F.col("doc").alias("doc2"), F.col("key").alias("key2"), F.col("base").alias("base2"), "start", "w").distinct()
         found = found.join(prefix.select("w", "window", "n", "k", "m", "need").dropDuplicates(["w"]), "w")
         met = chunks.join(found, F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("key") == F.col("key2")) & (F.col("base") == F.col("base2")))

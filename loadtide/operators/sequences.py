@@ -1,9 +1,9 @@
-"""Encoder/decoder windows, chronological split and training-only scaling."""
+"""Encoder/decoder windows and the chronological split."""
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadtide.config import DAY, WARMUP
-from loadtide.operators.ordered import framed, require_keys
+from loadtide.operators.ordered import framed
 
 KEYS = ["region"]
 
@@ -48,12 +48,3 @@ def chronological_split(starts: DataFrame, days: int = 56, min_valid: int = 10,
     part = (F.when(short, F.when(F.col("_k") <= F.floor(F.col("_n") * 0.9), "train").otherwise("validation"))
             .when(F.col("_tr"), "train").when(F.col("_va"), "validation"))
     return j.withColumn("part", part).where("part is not null").drop("_tr", "_va", "_ntr", "_nva", "_n", "_k")
-
-
-def training_scaler(df: DataFrame, limits: DataFrame, columns: list[str], keys=KEYS) -> DataFrame:
-    """Mean and deviation of the rows before each limit, with the last slot they saw."""
-    rows = require_keys(df, list(keys)).join(limits, keys).where(F.col("hh") < F.col("origin_hh"))
-    stats = [f(c).alias(f"{c}_{n}") for c in columns
-             for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
-    return rows.groupBy(*keys, "origin_hh").agg(F.max("hh").alias("fitted_until_hh"),
-                                                F.count(F.lit(1)).alias("fitted_rows"), *stats)
