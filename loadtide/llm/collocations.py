@@ -6,7 +6,8 @@ states with equal arcs are one. The parts of an automaton that begin with a rang
 all shards are united and their counts added. A prefix range that is too heavy for one task is dealt by whole windows instead; the counts of its
 phrases are partial and meet in one more sum. Parts of phrases are looked up by walking the sorted phrases' automata and the sorted questions in step.
 
-No word is ever cut from the counts. Phrases of the least count or more are few, and only they leave the ranges.
+Before, pairs of words are counted in a table of fixed size, whose counts are never too small. Windows go only as far as their pairs may be frequent enough
+for a candidate; this leaves out nothing that could become one, and where the table is too full to tell it leaves out nothing.
 """
 import struct
 
@@ -23,7 +24,9 @@ from loadtide.llm.common import BATCH_ROWS, cut_lineage, ship, whole_text
 #: Words of the longest phrase; occurrences of a candidate; share of a phrase's count in percent with which a longer one replaces it; phrases a language.
 LONGEST, LEAST, COVERED, TOP = 4, 30, 80, 2000
 #: Words of a shard, windows of a range, and prefix buckets, a fixed number whose counts the driver reads.
-SHARD_WORDS, RANGE_WINDOWS, BUCKETS = 2_000_000, 1_000_000, 1 << 16
+SHARD_WORDS, RANGE_WINDOWS, BUCKETS = 4_000_000, 2_000_000, 1 << 16
+#: Pair buckets, as a power of two: about one for eight characters of all texts, this many at most (16 MB of bits); and those of a slice.
+MOST_BITS, SLICE = 27, 1 << 16
 #: Shares of a phrase's questions, and bytes of a text that are cut into words at once.
 SALTS, BLOCK = 8, 1 << 20
 
@@ -66,12 +69,12 @@ class Shard:
         return np.concatenate([flat, np.zeros(LONGEST, dtype=np.int32)]), len(flat) - len(kept), words
 
 
-def windows(flat, owned: int):
-    """At each of the first ``owned`` words the window of the next words of its piece, 0 behind its end."""
-    cols = [flat[:owned]]
-    for k in range(1, LONGEST):
-        cols.append(np.where(cols[-1] > 0, flat[k:owned + k], 0))
-    return np.stack(cols, axis=1)[cols[0] > 0]
+def windows(flat, owned: int, heavy):
+    """At each word that starts a heavy pair the window of its next words, as far as pairs are heavy; 0 behind."""
+    at = np.flatnonzero(heavy[:owned])
+    third = heavy[at + 1]
+    fourth = third & heavy[at + 2]
+    return np.stack([flat[at], flat[at + 1], np.where(third, flat[at + 2], 0), np.where(fourth, flat[at + 3], 0)], axis=1)
 
 
 def summed(rows, counts):
@@ -231,29 +234,62 @@ def _shards(batches):
     yield from ((x, *s.cut(True)) for x, s in shards.items())
 
 
-def _buckets(lang: str, words: list, rows):
-    """The bucket of each window's language and first two words, and a hash of the whole window."""
-    h = np.array([0, *map(xxhash.xxh64_intdigest, words)], dtype=np.uint64)
-    pair = mixed(mixed(h[rows[:, 0]] + np.uint64(xxhash.xxh64_intdigest(lang))) * np.uint64(0x9E3779B97F4A7C15) + h[rows[:, 1]])
-    return (pair >> np.uint64(48)).astype(np.int64), lambda: mixed(mixed(pair + h[rows[:, 2]]) * np.uint64(0xC2B2AE3D27D4EB4F) + h[rows[:, 3]])
+def _pairs(lang: str, words: list, flat):
+    """A hash of each place's language and next two words, whether both stand in one piece, and the words' hashes by number."""
+    h = np.array([0, *map(xxhash.xxh64_intdigest, words[1:])], dtype=np.uint64)
+    first = mixed(h + np.uint64(xxhash.xxh64_intdigest(lang))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed(first[flat[:-1]] + h[flat[1:]]), (flat[:-1] > 0) & (flat[1:] > 0), h
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """lang, word, n of all words, and lang null, bucket, n: how many windows of two words and more fall into each prefix bucket."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+def pair_table(texts: DataFrame, bits: int, least: int):
+    """(heavy, full): a bit per pair bucket, whether its pairs occur ``least`` times or more in all, and the pairs of each prefix bucket.
 
-    def run(batches):
-        for lang, flat, owned, words in _shards(batches):
-            n = np.bincount(flat[:owned], minlength=len(words))
-            used = [i for i in np.flatnonzero(n).tolist() if i]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used)), pa.array([words[i].decode() for i in used]), pa.nulls(len(used), pa.int32()), pa.array(n[used])], schema=schema)
-            rows = windows(flat, owned)
-            full = np.bincount(_buckets(lang, words[1:], rows[rows[:, 1] > 0])[0], minlength=BUCKETS)
-            at = np.flatnonzero(full)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(full[at])], schema=schema)
+    Both have a fixed size. A phrase occurs no more often than a pair in it, and a pair no more often than its bucket, so a phrase with a pair
+    in a light bucket can't be a candidate. A task counts up to ``least`` only, which changes no verdict; tables travel in slices and are added up one by one.
+    """
+    kind = np.uint8 if least < 256 else np.int64
+    schema = pa.schema([("slice", pa.int32()), ("blob", pa.binary())])
 
-    found = texts.mapInArrow(run, "lang string, word string, bucket int, n long")
-    return found.groupBy("lang", "word", "bucket").agg(F.sum("n").alias("n"))
+    def batch(slices, arrays):
+        return pa.RecordBatch.from_arrays([pa.array(slices, type=pa.int32()), pa.array([zstandard.compress(x.tobytes(), 1) for x in arrays], type=pa.binary())], schema=schema)
+
+    def count(batches):
+        table, full = np.zeros(1 << bits, dtype=kind), np.zeros(BUCKETS, dtype=np.int64)
+        for lang, flat, owned, words in _shards(batches):
+            pair, inside, _ = _pairs(lang, words, flat)
+            pair = pair[:owned][inside[:owned]]
+            full += np.bincount((pair >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            at, n = np.unique((pair >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+            table[at] = np.minimum(table[at].astype(np.int64) + n, least)
+        yield batch([-1], [full])
+        for k in range(0, 1 << bits, SLICE):
+            if table[k:k + SLICE].any():
+                yield batch([k // SLICE], [table[k:k + SLICE]])
+
+    def add(batches):
+        now, total = None, None
+        for rows in batches:
+            for k, blob in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                got = np.frombuffer(zstandard.decompress(blob), dtype=np.int64 if k < 0 else kind).astype(np.int64)
+                if k == now:
+                    total += got
+                    continue
+                if now is not None:
+                    yield batch([now], [total if now < 0 else np.packbits(total >= least)])
+                now, total = k, got
+        if now is not None:
+            yield batch([now], [total if now < 0 else np.packbits(total >= least)])
+
+    tables = texts.mapInArrow(count, "slice int, blob binary").repartition("slice").sortWithinPartitions("slice")
+    heavy, full = np.zeros(1 << bits - 3, dtype=np.uint8), np.zeros(BUCKETS, dtype=np.int64)
+    for r in tables.mapInArrow(add, "slice int, blob binary").collect():               # 2 ** MOST_BITS bits at most
+        data = zstandard.decompress(bytes(r["blob"]))
+        if r["slice"] < 0:
+            full += np.frombuffer(data, dtype=np.int64)
+        else:
+            part = np.frombuffer(data, dtype=np.uint8)
+            heavy[r["slice"] * (SLICE >> 3):r["slice"] * (SLICE >> 3) + len(part)] = part
+    return heavy, full
 
 
 def ranges_of(full: np.ndarray, size: int):
@@ -265,49 +301,82 @@ def ranges_of(full: np.ndarray, size: int):
     return np.cumsum(new) - 1, shares
 
 
-def phrase_counts(texts: DataFrame, full: np.ndarray, least: int, range_windows: int) -> DataFrame:
-    """lang, phrase, k, f: the phrases of two words and more with ``least`` occurrences at least."""
+def phrase_counts(texts: DataFrame, heavy: np.ndarray, full: np.ndarray, least: int, range_windows: int) -> DataFrame:
+    """lang, phrase, k, f: the phrases of one word and more with ``least`` occurrences at least, and with k 0 the number of all words."""
     range_of, shares = ranges_of(full, range_windows)
+    shift, ranges = np.uint64(64 - (len(heavy) * 8).bit_length() + 1), int(range_of[-1]) + 1
+    schema = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("share", pa.int64()), ("whole", pa.bool_()), ("blob", pa.binary())])
 
     def run(batches):
-        schema = pa.schema([("lang", pa.string()), ("range", pa.int64()), ("share", pa.int64()), ("whole", pa.bool_()), ("blob", pa.binary())])
         for lang, flat, owned, words in _shards(batches):
-            named = sorted(words[1:])
-            number = dict(zip(named, range(1, len(named) + 1)))
-            rank = np.array([0, *(number[w] for w in words[1:])], dtype=np.int32)
-            rows = windows(rank[flat], owned)
-            rows = rows[rows[:, 1] > 0]
-            rows, counts = summed(rows, np.ones(len(rows), dtype=np.int64))
-            bucket, whole = _buckets(lang, named, rows)
-            share = np.where(shares[bucket] > 1, (whole() % shares[bucket].astype(np.uint64)).astype(np.int64), 0)
-            order = np.lexsort((share, range_of[bucket]))
-            where = np.stack([range_of[bucket], share])[:, order]
-            starts = np.flatnonzero((np.diff(where, axis=1, prepend=-1) != 0).any(axis=0))
-            for a, b in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
-                part = rows[order[a:b]]
-                used = np.unique(part)
-                used = used[used > 0]
-                local = np.where(part > 0, np.searchsorted(used, part) + 1, 0).astype(np.int32)
-                blob = CountAutomaton(local, counts[order[a:b]]).to_bytes([named[i - 1] for i in used.tolist()])
-                yield pa.RecordBatch.from_pylist([{"lang": lang, "range": int(where[0, a]), "share": int(where[1, a]), "whole": bool(shares[bucket[order[a]]] == 1), "blob": blob}],
-                                                 schema=schema)
-
-    def unite(pieces: pa.Table) -> pa.Table:
-        words, automaton = united(pieces["blob"].to_pylist())
-        whole, lang = pieces["whole"][0].as_py(), pieces["lang"][0].as_py()
+            pair, inside, h = _pairs(lang, words, flat)
+            bucket = (pair >> shift).astype(np.int64)
+            inside &= (heavy[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 > 0
+            places = windows(flat, owned, inside)
+            n = np.bincount(flat[:owned], minlength=len(words))
+            n[0] = 0
+            used = np.flatnonzero(n)
+            order = sorted(used.tolist(), key=words.__getitem__)
+            named, rank = [words[i] for i in order], np.zeros(len(words), dtype=np.int32)
+            rank[order] = np.arange(1, len(order) + 1)
+            # Words behind the last owned place stand in windows only.
+            extra = sorted({words[i] for i in np.unique(places).tolist() if i and not rank[i]})
+            if extra:
+                number = {w: i for i, w in enumerate(words)}
+                named = sorted([*named, *extra])
+                rank[[number[w] for w in named]] = np.arange(1, len(named) + 1)
+            hashes = np.zeros(len(named) + 1, dtype=np.uint64)
+            hashes[rank] = h
+            hashes[0] = 0
+            singles = np.zeros((len(order), LONGEST), dtype=np.int32)
+            singles[:, 0] = rank[order]
+            yield from pieces(lang, named, singles, n[order], ranges + (hashes[singles[:, 0]] % np.uint64(ranges)).astype(np.int64), np.zeros(len(order), dtype=np.int64), True)
+            rows, counts = summed(rank[places], np.ones(len(places), dtype=np.int64))
+            if len(rows):
+                first = mixed(hashes + np.uint64(xxhash.xxh64_intdigest(lang))) * np.uint64(0x9E3779B97F4A7C15)
+                pair = mixed(first[rows[:, 0]] + hashes[rows[:, 1]])
+                prefix = (pair >> np.uint64(48)).astype(np.int64)
+                whole = mixed(mixed(pair + hashes[rows[:, 2]]) * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[rows[:, 3]])
+                share = np.where(shares[prefix] > 1, (whole % shares[prefix].astype(np.uint64)).astype(np.int64), 0)
+                yield from pieces(lang, named, rows, counts, range_of[prefix], share, shares[prefix] == 1)
+
+    def pieces(lang, named, rows, counts, ranges, share, whole):
+        order = np.lexsort((share, ranges))
+        where = np.stack([ranges, share])[:, order]
+        starts = np.flatnonzero((np.diff(where, axis=1, prepend=-1) != 0).any(axis=0))
+        whole = np.broadcast_to(whole, len(rows))
+        cols = {f.name: [] for f in schema}
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+            part = rows[order[a:b]]
+            used = np.unique(part)
+            used = used[used > 0]
+            local = np.where(part > 0, np.searchsorted(used, part) + 1, 0).astype(np.int32)
+            blob = CountAutomaton(local, counts[order[a:b]]).to_bytes([named[i - 1] for i in used.tolist()])
+            for name, value in zip(cols, (lang, int(where[0, a]), int(where[1, a]), bool(whole[order[a]]), blob)):
+                cols[name].append(value)
+        if len(order):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in schema], schema=schema)
+
+    def unite(table: pa.Table) -> pa.Table:
+        words, automaton = united(table["blob"].to_pylist())
+        whole, lang, single = table["whole"][0].as_py(), table["lang"][0].as_py(), table["range"][0].as_py() >= ranges
         words = [b"", *words]
         out = {"lang": [], "phrase": [], "k": [], "f": []}
         for k, (rows, weight, _) in enumerate(automaton.prefixes(), 1):
-            at = np.flatnonzero(weight >= (least if whole or k == LONGEST else 1)) if k > 1 else np.zeros(0, dtype=np.int64)
+            if single and k == 1:
+                out["phrase"], out["k"], out["f"] = [None], [0], [int(weight.sum())]
+            if single != (k == 1):
+                continue
+            at = np.flatnonzero(weight >= (least if whole or k == LONGEST else 1))
             out["phrase"] += [b" ".join([words[i] for i in r]).decode() for r in rows[at, :k].tolist()]
             out["k"] += [k] * len(at)
             out["f"] += weight[at].tolist()
         out["lang"] = [lang] * len(out["f"])
         return pa.table(out, schema=pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("f", pa.int64())]))
 
-    pieces = texts.mapInArrow(run, "lang string, range long, share long, whole boolean, blob binary")
-    found = pieces.groupBy("lang", "range", "share").applyInArrow(unite, "lang string, phrase string, k int, f long")
-    return found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    parts = texts.mapInArrow(run, "lang string, range long, share long, whole boolean, blob binary")
+    found = parts.groupBy("lang", "range", "share").applyInArrow(unite, "lang string, phrase string, k int, f long")
+    return found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
 
 
 def part_counts(phrases: DataFrame, questions: DataFrame) -> DataFrame:
@@ -361,13 +430,11 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, to
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole_text().alias("text"))
-    counts = cut_lineage(word_counts(texts), "word_counts")
-    full = np.zeros(BUCKETS, dtype=np.int64)
-    for r in counts.filter("bucket IS NOT NULL").select("bucket", "n").collect():       # BUCKETS rows at most
-        full[r["bucket"]] = r["n"]
-    words = counts.filter("word IS NOT NULL")
-    longer = cut_lineage(phrase_counts(texts, full, least, range_windows), "phrases")
-    phrases = longer.unionByName(words.filter(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), F.col("n").alias("f")))
+    length = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(max((length // 8).bit_length(), 16), MOST_BITS)
+    heavy, full = pair_table(texts, bits, least)
+    counted = cut_lineage(phrase_counts(texts, heavy, full, least, range_windows), "phrases")
+    phrases, longer = counted.filter("k > 0"), counted.filter("k > 1")
     tokens = F.split("phrase", " ")
     cuts = F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut")
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.array_join(F.slice("w", F.lit(1), F.col("cut")), " ").alias("part")),
@@ -385,7 +452,7 @@ def collocations(docs: DataFrame, least: int = LEAST, covered: int = COVERED, to
             .filter(F.col("covering").isNull() | F.expr(f"100 * cast(covering AS decimal(20,0)) < {int(covered)} * cast(a AS decimal(20,0))")))
     order = W.partitionBy("lang").orderBy(F.desc("s.score"), F.desc("a"), "phrase")
     best = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = counted.filter("k = 0").select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", F.col("s.l").alias("l"), F.col("s.r").alias("r"), "n", F.col("s.score").alias("score")).withColumn(
         "rank", F.col("rank").cast("long"))
 
