@@ -20,6 +20,8 @@ CTES = {
         isodow(ts) - 1 AS day_of_week, day(ts) AS day_of_month, month(ts) AS month, year(ts) AS year, dayofyear(ts) AS day_of_year FROM grid_b""",
     "origin_one": """SELECT region, (max(hh) // 48 - 13) * 48 AS origin_hh, max(hh) AS end_hh FROM grid_a GROUP BY region""",
     "origin_one_b": """SELECT region, (max(hh) // 48 - 13) * 48 AS origin_hh, max(hh) AS end_hh FROM grid_b GROUP BY region""",
+    "origin_many_b": """SELECT region, (h // 48 - 13 + 3 * k) * 48 AS origin_hh, (h // 48 - 13 + 3 * k) * 48 + 335 AS end_hh
+        FROM (SELECT region, max(hh) AS h FROM grid_b GROUP BY region), (SELECT unnest([0, 1, 2]) AS k)""",
     "origin_many": """SELECT region, (h // 48 - 13 + 3 * k) * 48 AS origin_hh, (h // 48 - 13 + 3 * k) * 48 + 335 AS end_hh
         FROM (SELECT region, max(hh) AS h FROM grid_a GROUP BY region), (SELECT unnest([0, 1, 2]) AS k)""",
     "naive_many": """SELECT o.region, o.origin_hh, o.end_hh, o.hh, m.model, s.y AS forecast

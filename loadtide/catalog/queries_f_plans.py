@@ -3,15 +3,16 @@ from pyspark.sql import functions as F
 
 from loadtide.catalog import views as v
 from loadtide.catalog.registry import query
-from loadtide.config import DEMAND, LAGS
+from loadtide.config import FEATURES_A, LAGS
 from loadtide.functions.clock import slot_start
 from loadtide.functions.numeric import percent_of
 from loadtide.operators import evaluate as ev
 from loadtide.operators import features as ft
 from loadtide.operators import least_squares as lsq
 from loadtide.operators import sequences as sq
-from loadtide.plans import custom, forecast, models, panel, selection
+from loadtide.plans import custom, forecast, frames, models, panel, selection, trees
 from loadtide.plans import origin_maps as maps
+from loadtide.plans.backtest import backtest, backtest_scores, fitted_model
 from loadtide.session import cut_lineage
 from loadtide.streaming import live
 
@@ -208,22 +209,12 @@ def m08b(spark, folder):
       ON q.region = f.region AND q.month = f.month AND q.day_of_week = f.day_of_week AND q.half_hour_index = f.half_hour_index""",
        nums="historical_month_halfhour_mean historical_month_dow_halfhour_mean", ints="half_hour_index is_public_holiday")
 def m09(spark, folder):
-    g = v.grid_a(spark, folder)
-    frame = future_frame(g, v.origin_one(g), v.holidays(spark, folder))
+    g, h = v.grid_a(spark, folder), v.holidays(spark, folder)
+    frame = frames.horizon_frame(frames.base_frame(g, h), v.origin_one(g), h)
     return frame.select("region", "hh", "half_hour_index", "day_of_week", "month", "is_public_holiday", "time_index",
                         "historical_month_halfhour_mean", "historical_month_dow_halfhour_mean", "lag_48")
 
 
-def future_frame(g, origins, holidays):
-    """Everything known ahead for the horizon; demand features stay null until the recursion fills them."""
-    horizon = panel.horizon_rows(origins).select("region", "origin_hh", "hh", "ts")
-    history = ft.civil_calendar(g).join(origins.select("region", "origin_hh"), "region").where("hh < origin_hh")
-    starts = g.groupBy("region").agg(F.min("hh").alias("_h0"))
-    f = ft.attach_profiles(ft.holiday_features(ft.civil_calendar(horizon), holidays), history).join(starts, "region")
-    return f.withColumns({"time_index": F.col("hh") - F.col("_h0"), "days_since_start": (F.col("hh") - F.col("_h0")) / F.lit(48.0),
-                          **{c: F.lit(None).cast("double") for c in [*LAGS, *DEMAND]}}).drop("_h0")
-
-
 WIN = """SELECT g.region, o.origin_hh, g.hh - s.lo AS pos, g.hh AS start_hh, count(g2.y) FILTER (g2.hh < g.hh) AS encoder_len, count(g2.y) FILTER (g2.hh >= g.hh) AS target_len, sum(g2.y) FILTER (g2.hh < g.hh) AS encoder_sum,
       sum(g2.y) FILTER (g2.hh >= g.hh) AS target_sum FROM grid_b g JOIN (SELECT region, min(hh) AS lo FROM grid_b GROUP BY region) s ON s.region = g.region JOIN origin_one_b o ON o.region = g.region
       JOIN grid_b g2 ON g2.region = g.region AND g2.hh BETWEEN g.hh - 336 AND g.hh + 47 WHERE (g.hh - s.lo - 672) % 24 = 0 AND g.hh - s.lo >= 672 AND g.hh + 48 <= o.origin_hh + 336 GROUP BY 1, 2, 3, 4
@@ -257,58 +248,101 @@ def m12(spark, folder):
     return maps.scaler(g.select("region", "hh", "y"), v.origin_many(g), ["y"])
 
 
-MODEL_FEATURES = ["lag_48", "lag_96", "previous_day_mean", "previous_day_peak", "same_half_hour_7day_mean", "half_hour_index", "day_of_week", "sin_half_hour", "cos_half_hour", "historical_month_halfhour_mean"]
-
-
-def _train_and_future(spark, folder):
-    """Feature frame of the dense series before the origin, and the known frame after it."""
-    g = v.grid_b(spark, folder)
-    o = v.origin_one(g)
-    c = ft.civil_calendar(g)
-    hist = c.join(o.select("region", "origin_hh"), "region").where("hh < origin_hh")
-    train = cut_lineage(ft.attach_profiles(ft.demand_features(hist), hist), "features")
-    return g, o, train, future_frame(g, o, v.holidays(spark, folder))
+def _frames(spark, folder):
+    """Training and horizon frames of set A of the dense series at three origins."""
+    g, h = v.grid_b(spark, folder), v.holidays(spark, folder)
+    o = cut_lineage(v.origin_many(g), "origins")
+    base = frames.base_frame(g, h)
+    return g, o, cut_lineage(frames.training_frame(base, o), "training"), frames.horizon_frame(base, o, h)
+
+
+def _same(days):
+    return "list_avg([" + ", ".join(f"lag(y, {48 * k}) OVER s" for k in range(1, days + 1)) + "])"
+
+
+WAVES = ", ".join(f"{f}(2 * pi() * {c} / {p}) AS {f}_{n}" for n, c, p in (("half_hour", "half_hour_index", 48), ("day_of_week", "day_of_week", 7), ("month", "month", 12),
+                                                                         ("day_of_year", "day_of_year", 365.25)) for f in ("sin", "cos"))
+FRAME_A = f"""WITH b AS (SELECT c.*, hour(ts) AS hour, weekofyear(ts) AS week_of_year, quarter(ts) AS quarter, CAST(isodow(ts) >= 6 AS INT) AS is_weekend, {WAVES},
+      CAST(local_date IN (SELECT date FROM holidays) AS INT) AS is_public_holiday, CAST(local_date + INTERVAL 1 DAY IN (SELECT date FROM holidays) AS INT) AS is_day_before_holiday,
+      CAST(local_date - INTERVAL 1 DAY IN (SELECT date FROM holidays) AS INT) AS is_day_after_holiday, lag(y, 48) OVER s AS lag_48, lag(y, 96) OVER s AS lag_96, lag(y, 336) OVER s AS lag_336,
+      CASE WHEN count(y) OVER d = 48 THEN avg(y) OVER d END AS previous_day_mean, CASE WHEN count(y) OVER d = 48 THEN max(y) OVER d END AS previous_day_peak, CASE WHEN count(y) OVER d = 48 THEN min(y) OVER d END AS previous_day_min,
+      CASE WHEN count(y) OVER d = 48 THEN stddev_samp(y) OVER d END AS rolling_std_24h_at_t_minus_48, {_same(7)} AS same_half_hour_7day_mean, {_same(14)} AS same_half_hour_14day_mean,
+      hh - min(hh) OVER (PARTITION BY region) AS time_index, (hh - min(hh) OVER (PARTITION BY region)) / 48.0 AS days_since_start
+      FROM cal_b c WINDOW s AS (PARTITION BY region ORDER BY hh), d AS (PARTITION BY region ORDER BY hh RANGE BETWEEN 95 PRECEDING AND 48 PRECEDING)),
+    past AS (SELECT o.origin_hh, b.* FROM b JOIN origin_many_b o ON o.region = b.region AND b.hh < o.origin_hh),
+    p1 AS (SELECT region, origin_hh, month, half_hour_index, avg(y) AS historical_month_halfhour_mean, median(y) AS historical_month_halfhour_median FROM past GROUP BY 1, 2, 3, 4),
+    p2 AS (SELECT region, origin_hh, month, day_of_week, half_hour_index, avg(y) AS historical_month_dow_halfhour_mean FROM past GROUP BY 1, 2, 3, 4, 5),
+    p3 AS (SELECT region, origin_hh, month, avg(m) AS historical_month_daily_mean, avg(x) AS historical_month_peak_mean, stddev_samp(m) AS historical_month_variability FROM (
+      SELECT region, origin_hh, month, local_date, avg(y) AS m, max(y) AS x FROM past WHERE y IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+    frame AS (SELECT past.*, previous_day_mean AS rolling_mean_24h_at_t_minus_48, p1.historical_month_halfhour_mean, p1.historical_month_halfhour_median, p2.historical_month_dow_halfhour_mean, p3.historical_month_daily_mean,
+      p3.historical_month_peak_mean, p3.historical_month_variability FROM past LEFT JOIN p1 USING (region, origin_hh, month, half_hour_index) LEFT JOIN p2 USING (region, origin_hh, month, day_of_week, half_hour_index)
+      LEFT JOIN p3 USING (region, origin_hh, month))"""
+WHOLE = {"half_hour_index", "hour", "day_of_week", "day_of_month", "week_of_year", "month", "quarter", "day_of_year", "is_weekend", "is_public_holiday", "is_day_before_holiday", "is_day_after_holiday", "time_index", "year"}
+
+
+@query("M13_design_matrix", f"{FRAME_A} SELECT region, origin_hh, hh, y, {', '.join(FEATURES_A)} FROM frame WHERE y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES_A)}",
+       nums=" ".join(["y", *[c for c in FEATURES_A if c not in WHOLE]]), ints=" ".join(c for c in FEATURES_A if c in WHOLE))
+def m13(spark, folder):
+    """Complete training rows of all 39 features at three origins."""
+    _, _, train, _ = _frames(spark, folder)
+    return train.dropna()
 
 
-@query("M13_design_matrix", """SELECT region, hh, 10 AS width, lag_48, half_hour_index, y FROM (SELECT h.region, h.hh, h.y, h.half_hour_index, b.y AS lag_48, c.y AS lag_96,
-      count(h.y) OVER (PARTITION BY h.region ORDER BY h.hh RANGE BETWEEN 95 PRECEDING AND 48 PRECEDING) AS day_n, count(h.y) OVER (PARTITION BY h.region, h.month, h.half_hour_index) AS profile_n
-    FROM (SELECT c.* FROM cal_b c JOIN origin_one_b o ON o.region = c.region WHERE c.hh < o.origin_hh) h LEFT JOIN grid_b b ON b.hh = h.hh - 48 LEFT JOIN grid_b c ON c.hh = h.hh - 96)
-    WHERE y IS NOT NULL AND lag_48 IS NOT NULL AND lag_96 IS NOT NULL AND day_n = 48 AND profile_n > 0""", nums="lag_48 half_hour_index y", ints="width")
-def m13(spark, folder):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    _, _, train, _ = _train_and_future(spark, folder)
-    t = VectorAssembler(inputCols=MODEL_FEATURES, outputCol="x", handleInvalid="skip").transform(train.where("y is not null"))
-    x = vector_to_array("x")
-    return t.select("region", "hh", F.size(x).alias("width"), x[0].alias("lag_48"), x[5].alias("half_hour_index"), "y")
+def _fitted(spark, folder, kind, **settings):
+    _, o, train, _ = _frames(spark, folder)
+    predict, _ = fitted_model(kind, train, o, ["region"], FEATURES_A, 200, **settings)
+    return predict(train.dropna(subset=[*FEATURES_A, "y"])).select("region", "origin_hh", "hh", "y", "prediction")
 
 
-def _fit_predict(spark, folder, kind, **settings):
-    g, o, train, future = _train_and_future(spark, folder)
-    fitted, _ = models.fit_groups(train, ["region"], [("ALL",)], kind, MODEL_FEATURES, min_rows=20, quick=True, **settings)
-    return g, o, train, future, fitted
+@query("M14_random_forest_fit")
+def m14(spark, folder):
+    """The quick forest on all 39 features, three origins grown together."""
+    return _fitted(spark, folder, "forest", **trees.FOREST["quick"])
 
 
-def _fit_rows(spark, folder, kind, **settings):
-    _, _, train, _, fitted = _fit_predict(spark, folder, kind, **settings)
-    return models.predict_groups(fitted, ["region"])(train.dropna(subset=[*MODEL_FEATURES, "y"])).select("region", "hh", "y", "prediction")
+@query("M14b_one_split", f"""{FRAME_A}, k AS (SELECT region, origin_hh, y, unnest(['half_hour_index', 'day_of_week']) AS feature, unnest([half_hour_index, day_of_week]) AS x FROM frame WHERE y IS NOT NULL),
+    c AS (SELECT region, origin_hh, feature, x, sum(count(*)) OVER w AS nl, sum(sum(y)) OVER w AS sl, sum(count(*)) OVER a AS n, sum(sum(y)) OVER a AS t FROM k GROUP BY 1, 2, 3, 4
+      WINDOW w AS (PARTITION BY region, origin_hh, feature ORDER BY x), a AS (PARTITION BY region, origin_hh, feature)),
+    g AS (SELECT *, pow(sl, 2) / nl + pow(t - sl, 2) / (n - nl) - pow(t, 2) / n AS gain FROM c WHERE nl >= 5 AND n - nl >= 5)
+    SELECT region, origin_hh, feature, x AS threshold, n, nl AS n_left, sl / nl AS mean_left, (t - sl) / (n - nl) AS mean_right FROM g
+    QUALIFY row_number() OVER (PARTITION BY region, origin_hh ORDER BY round(gain, 9) DESC, feature DESC, x) = 1""", nums="threshold mean_left mean_right", ints="n n_left")
+def m14b(spark, folder):
+    """A tree of one split without bootstrap, which SQL can search too."""
+    _, o, train, _ = _frames(spark, folder)
+    made, groups, _ = trees.fit_forest(train, ["region", "origin_hh"], ["half_hour_index", "day_of_week"], trees=1, depth=1, min_leaf=5, features_a_split=2, bootstrap=False, min_rows=5)
+    group = ["region", "origin_hh"]
+    top = made.where("level = 0").join(groups.select(*group, F.col("level").alias("base")), group)
+    side = made.where("level = 1").groupBy(*group).agg(F.max(F.when(F.col("node") == 1, F.col("n"))).alias("n_left"), F.max(F.when(F.col("node") == 1, F.col("value"))).alias("l"),
+                                                       F.max(F.when(F.col("node") == 2, F.col("value"))).alias("r"))
+    return top.where("feature IS NOT NULL").join(side, group).select(*group, "feature", "threshold", F.col("n").cast("long").alias("n"), F.col("n_left").cast("long").alias("n_left"),
+                                                                     (F.col("base") + F.col("l")).alias("mean_left"), (F.col("base") + F.col("r")).alias("mean_right"))
 
 
-@query("M14_random_forest_fit")
-def m14(spark, folder):
-    return _fit_rows(spark, folder, "forest")
+#: Rounds of the registered boosted fits; the quick setting has 300, see the README for their time.
+ROUNDS = 10
 
 
 @query("M15_boosted_trees_fit")
 def m15(spark, folder):
-    return _fit_rows(spark, folder, "boost", maxIter=10, maxDepth=4)
+    """Boosted trees of the quick depth and step on all 39 features, three origins together."""
+    return _fitted(spark, folder, "boost", **(trees.BOOST["quick"] | {"rounds": ROUNDS}))
 
 
 @query("M16_recursive_forecast")
 def m16(spark, folder):
-    g, o, train, future, fitted = _fit_predict(spark, folder, "linear")
-    return models.recursive_forecast(train, future, models.training_medians(train, ["region"], MODEL_FEATURES), ["region"], MODEL_FEATURES,
-                                     models.predict_linear(fitted, ["region"], MODEL_FEATURES), o).drop("origin_hh", "status")
+    """A linear model of all 39 features, recursive over a week, at three origins."""
+    g, o, train, future = _frames(spark, folder)
+    predict, _ = fitted_model("linear", train, o, ["region"], FEATURES_A, 200)
+    medians = cut_lineage(models.training_medians(train, ["region", "origin_hh"], FEATURES_A), "medians")
+    return models.recursive_forecast(g, future, medians, ["region"], FEATURES_A, predict, o).drop("status")
+
+
+def _train_and_future(spark, folder):
+    """One origin: the rows before it, and the slots after it."""
+    g = v.grid_b(spark, folder)
+    o = v.origin_one(g)
+    hist = ft.civil_calendar(g).join(o.select("region", "origin_hh"), "region").where("hh < origin_hh").drop("origin_hh")
+    return g, o, cut_lineage(ft.demand_features(hist), "features"), panel.horizon_rows(o).select("region", "hh")
 
 
 LAGGED = """SELECT h.hh, h.y, b.y AS x1, sin(2 * pi() * h.half_hour_index / 48) AS x2 FROM (SELECT c.* FROM cal_b c JOIN origin_one_b o ON o.region = c.region WHERE c.hh < o.origin_hh) h LEFT JOIN grid_b b ON b.hh = h.hh - 48"""
@@ -320,9 +354,8 @@ LAGGED = """SELECT h.hh, h.y, b.y AS x1, sin(2 * pi() * h.half_hour_index / 48)
 def m16b(spark, folder):
     """The same recursion with one lag, where a linear model has a closed form to check against."""
     g, o, train, future = _train_and_future(spark, folder)
-    fitted, _ = models.fit_groups(train, ["region"], [("ALL",)], "linear", ["lag_48"], min_rows=20)
-    out = models.recursive_forecast(train, future, models.training_medians(train, ["region"], ["lag_48"]), ["region"], ["lag_48"],
-                                    models.predict_linear(fitted, ["region"], ["lag_48"]), o)
+    predict, _ = fitted_model("linear", train, o, ["region"], ["lag_48"], 20)
+    out = models.recursive_forecast(train, future, models.training_medians(train, ["region"], ["lag_48"]), ["region"], ["lag_48"], predict, o)
     return out.select("region", "hh", "forecast")
 
 
@@ -330,11 +363,8 @@ def m16b(spark, folder):
       avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM l), b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s)
     SELECT 'intercept' AS term, my - b1 * m1 - b2 * m2 AS coefficient FROM b UNION ALL SELECT 'lag_48', b1 FROM b UNION ALL SELECT 'sin_half_hour', b2 FROM b""", nums="coefficient")
 def m17b(spark, folder):
-    terms = ["lag_48", "sin_half_hour"]
     _, _, train, _ = _train_and_future(spark, folder)
-    fitted, _ = models.fit_groups(train, ["region"], [("ALL",)], "linear", terms, min_rows=20)
-    rows = [kv for m in fitted.values() for kv in models.linear_coefficients(m, terms).items()]
-    return spark.createDataFrame(rows, "term string, coefficient double")
+    return lsq.coefficient_rows(lsq.fit_all(train, ["region"], "y", ["lag_48", "sin_half_hour"]), []).select("term", "coefficient")
 
 
 # The two weekly frequencies, in cycles a day, and the terms of the three daily models.
@@ -443,7 +473,6 @@ BACKTEST = """WITH t AS (SELECT o.region, o.origin_hh, g.y, b.y AS x FROM origin
 @query("M22b_model_backtest", BACKTEST, nums="MAE RMSE")
 def m22b(spark, folder):
     """Naive and fitted models over all series and origins; with one lag the linear recursion has a closed form to check against."""
-    from loadtide.plans.backtest import backtest, backtest_scores
     g = v.grid_a(spark, folder)
     o = v.origin_many(g)
     known = panel.horizon_rows(o).select("region", "hh").distinct()
@@ -452,6 +481,21 @@ def m22b(spark, folder):
     return asked.join(backtest_scores(detail, ["region"]), ["region", "model", "origin_hh"], "left").select("region", "model", "origin_hh", "asked", "MAE", "RMSE")
 
 
+@query("M22c_family_backtest")
+def m22c(spark, folder):
+    """Naive, linear, forest and boosted models of set A over three origins, scored from one written detail table; the chosen model is marked."""
+    g, o, train, future = _frames(spark, folder)
+    families = {"RandomForest_A": {"kind": "forest", "features": FEATURES_A, **trees.FOREST["quick"]},
+                "XGBoost_A": {"kind": "boost", "features": FEATURES_A, **(trees.BOOST["quick"] | {"rounds": ROUNDS})},
+                "SARIMAX": {"kind": "linear", "features": ["lag_48", "lag_336", "sin_half_hour", "cos_half_hour", "is_weekend"]}}
+    detail, status = backtest(g, train, future, o, ["region"], families, min_rows=200)
+    scored = backtest_scores(detail, ["region"]).join(status, ["region", "model", "origin_hh"]).withColumnRenamed("origin_hh", "origin")
+    scored = cut_lineage(ev.with_skill(scored, ["Naive48", "Naive336"]), "scores")
+    chosen = selection.choose(selection.aggregate_scores(scored)).select("region", F.col("selected_model").alias("model"), F.lit(1).alias("chosen"))
+    return (scored.join(chosen, ["region", "model"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(0)))
+            .select("region", "model", "origin", "train_rows", "status", *METRICS, "MAE_first_7d", "skill_vs_naive_pct", "chosen"))
+
+
 @query("M23_model_choice", """WITH s AS (SELECT region, model, origin, MAE FROM scores UNION ALL SELECT region, 'XGBoost_A', origin, MAE * 2.6 FROM scores WHERE model = 'Naive48' UNION ALL SELECT region, 'RandomForest_A', origin, MAE * 0.995 FROM scores WHERE model = 'Naive48'),
     a AS (SELECT region, model, avg(MAE) AS m, stddev_samp(MAE) AS sd, count(DISTINCT origin) AS origins FROM s GROUP BY 1, 2)
     SELECT region, model AS selected_model, m AS mean_backtest_MAE, sd AS mae_spread, origins FROM (SELECT *, min(m) OVER (PARTITION BY region) AS best FROM a) WHERE m <= best * 1.01
@@ -527,8 +571,10 @@ def m29(spark, folder):
 
 @query("M30_feature_importance")
 def m30(spark, folder):
-    *_, fitted = _fit_predict(spark, folder, "forest")
-    return models.importance_table(spark, fitted, ["region"], MODEL_FEATURES)
+    """Share of each feature in the gain of the quick forest, per origin."""
+    _, _, train, _ = _frames(spark, folder)
+    made, _, _ = trees.fit_forest(train, ["region", "origin_hh"], FEATURES_A, min_rows=200, **trees.FOREST["quick"])
+    return trees.importance(made, ["region", "origin_hh"], FEATURES_A)
 
 
 @query("M31_benchmark_verified_accuracy", """SELECT o.region, CASE WHEN count(a.y) > 0 THEN 'VERIFIED' ELSE 'FORECAST_ONLY' END AS status, count(a.y) AS matched_intervals, avg(abs(f.forecast - a.y)) AS benchmark_MAE, avg(f.forecast - a.y) AS benchmark_Bias FROM origin_one o

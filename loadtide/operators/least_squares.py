@@ -1,4 +1,7 @@
 """Least squares of many groups at once from sums of products."""
+import functools
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,7 +42,10 @@ def fit_all(df: DataFrame, keys: list[str], target: str, terms: list[str], origi
     terms depend on each other it is RANK_DEFICIENT and the coefficients are the shortest that fit as well. A NULL key raises.
     """
     names, by = [*terms, target], [*keys, *([origin] if origins is not None else [])]
-    complete = require_keys(df, list(keys)).dropna(subset=names)
+    origin = origin if origins is not None else "_origin"
+    # One condition a column: a joint one would be rewritten for every set of renamed columns when the plan is optimised.
+    known = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in names])
+    complete = require_keys(df, list(keys)).where(known)
     complete = complete.select(*keys, *([pos] if origins is not None else []), *[F.col(c).cast("double").alias(f"_z{i}") for i, c in enumerate(names)])
     # Shifted by a mean of the series, so that squares of large values keep their digits; the shift cancels out.
     shifts = complete.groupBy(*keys).agg(F.array(*[F.avg(f"_z{i}") for i in range(len(names))]).alias("_shift"))
@@ -58,7 +64,7 @@ def fit_all(df: DataFrame, keys: list[str], target: str, terms: list[str], origi
         for until, n, s, products in zip(states["_until"], states["_n"].cumsum(), *totals):
             row = {k: states[k].iloc[0] for k in keys} | {origin: until, "n": n, "params": p + 1}
             if n <= p + 1:
-                out.append(row | {"status": "TOO_FEW_ROWS"})
+                out.append(row | {"status": "TOO_FEW_ROWS", "coefficients": None})
                 continue
             full = np.zeros((p + 1, p + 1))
             full[upper] = products

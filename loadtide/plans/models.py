@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from loadtide.config import DAY, LAGS, SEED
 from loadtide.operators.features import demand_features
+from loadtide.operators.ordered import require_keys
 from loadtide.operators.quantiles import exact_median
 from loadtide.session import cut_lineage
 
@@ -107,14 +108,14 @@ def recursive_forecast(state: DataFrame, known: DataFrame, medians: DataFrame, k
     the horizons and ``medians`` fill values; the last two may depend on origin_hh too. Every demand feature looks back
     at least 48 steps, so a whole day is predicted together from actuals and earlier blocks. Only the last 14 days
     feed a block, and each block is written to the shared folder, so the plan stays short and a lost executor re-reads
-    files. Every asked slot comes back; without a model its forecast is NULL and its status NO_MODEL.
+    files. Every asked slot comes back; without a model its forecast is NULL and its status NO_MODEL. A NULL key in ``origins`` raises.
     """
     demand = [f for f in features if f in {*LAGS, "previous_day_mean", "previous_day_peak", "previous_day_min",
                                            "same_half_hour_7day_mean", "same_half_hour_14day_mean",
                                            "rolling_mean_24h_at_t_minus_48", "rolling_std_24h_at_t_minus_48"}]
     given = [f for f in features if f not in demand]
     group = [*keys, "origin_hh"]
-    spans = cut_lineage(origins.select(*group, "end_hh").distinct(), "origins")
+    spans = cut_lineage(require_keys(origins, list(keys)).select(*group, "end_hh").distinct(), "origins")
     days = (spans.agg(F.max(F.col("end_hh") - F.col("origin_hh"))).first()[0] or -DAY) // DAY + 1
 
     def on(frame):
