@@ -1,4 +1,5 @@
 """Session settings and the shared scratch area."""
+import gc
 import os
 import tempfile
 import uuid
@@ -51,4 +52,23 @@ def cut_lineage(df: DataFrame, label: str = "cut", by: list[str] = ()) -> DataFr
     """Write and read back: survives executor loss, unlike a local checkpoint. ``by`` lays out folders that later filters prune."""
     path = scratch_path(df.sparkSession, label)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def forget(*frames: DataFrame, shuffles: bool = False) -> None:
+    """Delete the folders of tables from ``cut_lineage`` that nothing will read again; other frames are left alone.
+
+    Call it when everything made of them is written. With ``shuffles`` the JVM is asked to collect what finished steps held, so that Spark drops their
+    shuffle files too: a loop then needs the disk of its last round, not of all.
+    """
+    for df in frames:
+        path, sc = df.__dict__.get("scratch"), df.sparkSession.sparkContext
+        if path:
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+        if shuffles:
+            gc.collect()
+            sc._jvm.System.gc()
+            shuffles = False
