@@ -8,11 +8,12 @@ from loadtide.functions.clock import day_of, floor_div, lookup
 from loadtide.functions.numeric import positive
 from loadtide.operators import evaluate as ev
 from loadtide.operators import features as ft
-from loadtide.operators import stats
+from loadtide.operators import spectrum, stats
 
 from loadtide.operators.ordered import CHUNK, framed, with_neighbour, with_row_number
 from loadtide.plans import selection
 from loadtide.plans.forecast import forecast_frame, seasonal_naive
+from loadtide.session import cut_lineage
 
 HIST = "SELECT c.* FROM cal_a c JOIN origin_one o ON c.region = o.region WHERE c.hh < o.origin_hh AND c.y IS NOT NULL"
 
@@ -430,3 +431,38 @@ def m19(spark, folder):
 def m19b(spark, folder):
     spec = stats.power_at(_daily_series(spark, folder), PERIODS, values=["y", "x"], spread=12)
     return stats.coherence_at(spec).select("period", "smooth_a", "smooth_b", "coherence")
+
+
+def _daniell(source, name):
+    """Both window sums of a modified Daniell window of 12 steps to either side."""
+    sums = ", ".join(f"(sum({c}) OVER (ORDER BY k ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) + sum({c}) OVER (ORDER BY k ROWS BETWEEN 11 PRECEDING AND 11 FOLLOWING)) / 48 AS {c}" for c in ("sa", "sb", "cr", "ci"))
+    return f"{name} AS (SELECT k, size, power, power_b, {sums} FROM {source})"
+
+
+# The transform by its definition, every frequency against every position.
+FULL_SPECTRUM = f"""WITH s AS ({SERIES}), m AS (SELECT count(*) AS n, avg(pos) AS tm, avg(y) AS my, avg(x) AS mx, regr_slope(y, pos) AS sy, regr_slope(x, pos) AS sx FROM s),
+    d AS (SELECT pos, n, y - my - sy * (pos - tm) AS v0, x - mx - sx * (pos - tm) AS v1 FROM s, m),
+    z AS (SELECT min(p) AS size FROM (SELECT CAST(pow(2, a) * pow(3, b) * pow(5, c) AS BIGINT) AS p FROM (SELECT unnest(range(20)) AS a), (SELECT unnest(range(13)) AS b), (SELECT unnest(range(9)) AS c)), m WHERE p >= n),
+    ks AS (SELECT size, unnest(range(0, size // 2 + 1)) AS k FROM z),
+    f AS (SELECT k, size, max(n) AS n, sum(v0 * cos(2 * pi() * ((k * pos) % size) / size)) AS r0, -sum(v0 * sin(2 * pi() * ((k * pos) % size) / size)) AS i0, sum(v1 * cos(2 * pi() * ((k * pos) % size) / size)) AS r1,
+      -sum(v1 * sin(2 * pi() * ((k * pos) % size) / size)) AS i1 FROM d, ks GROUP BY k, size),
+    p AS (SELECT k, size, (r0 * r0 + i0 * i0) / n AS power, (r1 * r1 + i1 * i1) / n AS power_b, (r0 * r1 + i0 * i1) / n AS cr, (i0 * r1 - r0 * i1) / n AS ci FROM f),
+    e AS (SELECT * FROM p UNION ALL SELECT -k, size, power, power_b, cr, -ci FROM p WHERE k BETWEEN 1 AND 24 UNION ALL SELECT size - k, size, power, power_b, cr, -ci FROM p WHERE size - k > size // 2 AND size - k <= size // 2 + 24),
+    e0 AS (SELECT k, size, power, power_b, """ + ", ".join(
+    f"CASE WHEN k = 0 THEN (lag({c}) OVER (ORDER BY k) + lead({c}) OVER (ORDER BY k)) / 2 ELSE {c} END AS {n}" for c, n in (("power", "sa"), ("power_b", "sb"), ("cr", "cr"), ("ci", "ci"))) + f""" FROM e),
+    {_daniell("e0", "e1")}, {_daniell("e1", "e2")}, sp AS (SELECT k, k / size AS freq, power, sa AS smoothed, power_b, sb AS smoothed_b, (cr * cr + ci * ci) / (sa * sb) AS coherence FROM e2 WHERE k > 0 AND k <= size // 2)"""
+
+
+@query("M19c_full_spectrum", f"{FULL_SPECTRUM} SELECT * FROM sp", nums="freq power smoothed power_b smoothed_b coherence")
+def m19c(spark, folder):
+    """Power, smoothed power and coherence of temperature and rain at every Fourier frequency."""
+    spec = spectrum.spectrum(_daily_series(spark, folder), values=("y", "x"))
+    return spec.select("k", "freq", "power", "smoothed", "power_b", "smoothed_b", "coherence")
+
+
+@query("M19d_spectral_peaks", f"""{FULL_SPECTRUM} SELECT row_number() OVER (ORDER BY smoothed DESC, k) AS rank, k, freq, 1 / freq AS period, smoothed FROM (SELECT *, max(smoothed) OVER (ORDER BY k ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS b,
+      max(smoothed) OVER (ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS a FROM sp) WHERE coalesce(b, -1) < smoothed AND coalesce(a, -1) <= smoothed QUALIFY rank <= 5""", nums="freq period smoothed")
+def m19d(spark, folder):
+    """The five highest places of the smoothed spectrum, found and not named."""
+    spec = cut_lineage(spectrum.spectrum(_daily_series(spark, folder)), "spectrum")
+    return spectrum.peaks(spec).drop("region")

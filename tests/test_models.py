@@ -197,3 +197,41 @@ def test_recursion_refuses_a_null_key(spark):
     with pytest.raises(Exception, match="NULL in key"):
         models.recursive_forecast(state, known, state.groupBy("region").agg(F.lit(1.0).alias("med_lag_48")), ["region"], ["lag_48"],
                                   lambda rows: rows.withColumn("prediction", F.col("lag_48")), o)
+
+
+def test_spectrum_in_two_steps_is_the_whole_transform(spark):
+    """Lengths with large prime factors, a missing position, two series: power, smoothing and peaks against one transform in memory."""
+    from loadtide.operators.spectrum import padded, peaks, spectrum
+    rng = np.random.default_rng(12)
+    assert [padded(n) for n in (1, 7, 97, 1024, 2399)] == [(1, 1), (8, 2), (100, 10), (1024, 32), (2400, 48)]
+    data = {"a": 20 + np.sin(2 * np.pi * np.arange(397) / 7) + rng.normal(size=397) * 0.1, "b": 1e3 + 0.5 * np.arange(601) + rng.normal(size=601)}
+    rows = [(r, 100 + t, float(v), float(v) + float(rng.normal())) for r, y in data.items() for t, v in enumerate(y) if (r, t) != ("b", 77)]
+    df = spark.createDataFrame(rows, "region string, pos long, y double, x double").repartition(5)
+    spec = spectrum(df, values=("y", "x"), spans=(5, 3))
+    got = spec.toPandas().sort_values(["region", "k"])
+    for region, d in got.groupby("region"):
+        mine = pd.DataFrame([r for r in rows if r[0] == region], columns=["region", "pos", "y", "x"])
+        size = padded(len(data[region]))[0]
+        z = []
+        for c in ("y", "x"):
+            full = np.zeros(size)
+            line = np.polyfit(mine["pos"], mine[c], 1)
+            full[mine["pos"] - 100] = mine[c] - np.polyval(line, mine["pos"])
+            z.append(np.fft.fft(full))
+        n = len(data[region])
+        parts = [abs(z[0]) ** 2 / n, abs(z[1]) ** 2 / n, z[0] * z[1].conj() / n]
+        low = np.arange(1, size // 2 + 1)
+        np.testing.assert_allclose(d["power"], parts[0][low], rtol=1e-6, atol=1e-9)
+        smooth = []
+        for p in parts:
+            p = p.copy()
+            p[0] = (p[1] + p[-1]) / 2
+            for m in (2, 1):
+                w = np.r_[0.5, np.ones(2 * m - 1), 0.5] / (2 * m)
+                p = sum(w[j + m] * np.roll(p, -j) for j in range(-m, m + 1))
+            smooth.append(p)
+        np.testing.assert_allclose(d["smoothed"], smooth[0][low].real, rtol=1e-6)
+        np.testing.assert_allclose(d["coherence"], (abs(smooth[2]) ** 2 / (smooth[0] * smooth[1]))[low].real, rtol=1e-6)
+    top = {r["region"]: r["period"] for r in peaks(spec, top=1).collect()}
+    assert abs(top["a"] - 7) < 0.1
+    assert spectrum(df.where("pos < 104"), spans=(25, 25)).where("smoothed IS NOT NULL").count() == 0 and spectrum(df.limit(0)).count() == 0
