@@ -221,25 +221,36 @@ WIN = """SELECT g.region, o.origin_hh, g.hh - s.lo AS pos, g.hh AS start_hh, cou
       HAVING count(g2.y) FILTER (g2.hh < g.hh) = 336 AND count(g2.y) FILTER (g2.hh >= g.hh) = 48"""
 
 
-def _windows(spark, folder):
-    g = v.grid_b(spark, folder)
-    o = v.origin_one(g).withColumn("origin_hh", F.col("origin_hh") + 336)
-    return sq.training_windows(g, o, 336, 24)
+def _late_origin(g):
+    return v.origin_one(g).withColumn("origin_hh", F.col("origin_hh") + 336)
 
 
-@query("M10_sequence_windows", f"SELECT region, pos, start_hh, encoder_len, target_len, encoder_sum, target_sum FROM ({WIN})", nums="encoder_sum target_sum")
+@query("M10_sequence_windows", f"""SELECT w.region, w.pos, w.start_hh, encoder_len, target_len, encoder_sum, target_sum, e.clock AS encoder_clock_sum, d.clock AS decoder_clock_sum, d.dow AS decoder_weekday_sum, e.wave AS encoder_wave_sum FROM ({WIN}) w
+    JOIN LATERAL (SELECT sum(half_hour_index) AS clock, sum(half_hour_index * c.hh % 7) AS wave FROM cal_b c WHERE c.region = w.region AND c.hh BETWEEN w.start_hh - 336 AND w.start_hh - 1) e ON true
+    JOIN LATERAL (SELECT sum(half_hour_index) AS clock, sum(day_of_week * (c.hh - w.start_hh + 1)) AS dow FROM cal_b c WHERE c.region = w.region AND c.hh BETWEEN w.start_hh AND w.start_hh + 47) d ON true""",
+       nums="encoder_sum target_sum", ints="encoder_clock_sum decoder_clock_sum decoder_weekday_sum encoder_wave_sum")
 def m10(spark, folder):
-    w = _windows(spark, folder)
+    """Encoder with its calendar, decoder of columns known ahead, and target of every full block."""
+    g = v.grid_b(spark, folder)
+    c = ft.civil_calendar(g).withColumn("wave", F.col("half_hour_index") * F.col("hh") % 7)
+    w = sq.sequence_blocks(c, _late_origin(g), 336, 24, encoder=["half_hour_index", "wave"], decoder=["half_hour_index", "day_of_week"])
 
-    def total(c):
-        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    def total(c, start=0.0):
+        return F.aggregate(c, F.lit(start), lambda a, x: a + x)
+
+    steps = F.aggregate(F.transform("decoder_day_of_week", lambda x, i: x * (i + 1)), F.lit(0), lambda a, x: a + x)
+    whole = {n: F.aggregate(F.transform(c, lambda x: x.cast("long")), F.lit(0).cast("long"), lambda a, x: a + x) for n, c in
+             (("encoder_clock_sum", "encoder_half_hour_index"), ("decoder_clock_sum", "decoder_half_hour_index"), ("encoder_wave_sum", "encoder_wave"))}
     return w.select("region", "pos", "start_hh", F.size("encoder").alias("encoder_len"), F.size("target").alias("target_len"),
-                    total("encoder").alias("encoder_sum"), total("target").alias("target_sum"))
+                    total("encoder").alias("encoder_sum"), total("target").alias("target_sum"), steps.alias("decoder_weekday_sum"), *[c.alias(n) for n, c in whole.items()])
 
 
 @query("M11_chronological_split", f"""SELECT region, start_hh, CASE WHEN row_number() OVER (PARTITION BY region ORDER BY start_hh) <= floor(count(*) OVER (PARTITION BY region) * 0.9) THEN 'train' ELSE 'validation' END AS part FROM ({WIN})""")
 def m11(spark, folder):
-    return sq.chronological_split(_windows(spark, folder)).select("region", "start_hh", "part")
+    g = v.grid_b(spark, folder)
+    o = _late_origin(g)
+    starts = sq.before_origins(sq.window_starts(g, o, 336, 24), o)
+    return sq.chronological_split(starts).select("region", "start_hh", "part")
 
 
 @query("M12_training_scaler", """SELECT g.region, o.origin_hh, max(hh) AS fitted_until_hh, count(*) AS fitted_rows, avg(y) AS y_mean, stddev_samp(y) AS y_std FROM grid_a g JOIN origin_many o ON o.region = g.region AND g.hh < o.origin_hh GROUP BY 1, 2""", nums="y_mean y_std")
