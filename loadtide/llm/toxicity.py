@@ -10,16 +10,17 @@ turns the evidence of a text into a score.
 import math
 import re
 import unicodedata
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadtide.llm.common import BATCH_ROWS, cut_lineage, map_batches, ship, whole_text
+from loadtide.llm.common import BATCH_ROWS, cut_lineage, held, map_batches, ship, whole_text
 
-#: Labelled rows that the classifier is fitted on at most, those of smallest hash of doc_id; terms kept at most.
-MAX_TRAIN, MAX_TERMS = 20_000, 5_000
+#: Labelled rows that the classifier is fitted on at most, those of smallest hash of doc_id. They bound its terms.
+MAX_TRAIN = 20_000
 #: Toxic texts that a term must occur in, and the least lower bound of its log-odds.
 LEAST_TEXTS, LEAST_ODDS = 3, 1.0
 #: Shortest beginning of a word that is a term, and the longest.
@@ -37,9 +38,9 @@ OUTER = ".,;:?\"'()[]{}<>%#&*~`^=/\\_-…»«“”„’‘"
 LETTER = rf"(?:[^\W_]|[{re.escape(''.join(c for c in LOOKS if not c.isalnum()))}])"
 SPACED = re.compile(rf"(?<![^\W_]){LETTER}(?:[\s.\-_*]++{LETTER}){{2,}}(?![^\W_])")
 PIECE = re.compile(f"{LETTER}+")
-DOUBLE, TRIPLE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
-#: Symbols that also end a sentence or part words; tokens over so many characters are read as several words.
-PARTING, LONG = "!|+", 40
+DOUBLE, TRIPLE, RUN = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1"), re.compile(r"([^\W\d_])\1+")
+#: Symbols that also end a sentence or part words.
+PARTING = "!|+"
 
 
 def fold(c: str) -> int:
@@ -141,9 +142,10 @@ class Channel:
             return {"".join(c for c in word if c.isalpha())}
         word = word.rstrip("!") if bare != word and not any(c in LOOKS for c in bare) else word
         lattice, repeats = self.merged(word)
-        ways = [self.decode(gaps(self.lattice(word)) if len(word) > LONG else self.lattice(word))]
+        plain = self.lattice(word)
+        ways = [self.decode(plain), self.decode(gaps(plain))]
         if any(set(a) & set(b) for a, b in zip(repeats, repeats[1:])):
-            ways.append(self.decode(gaps(lattice) if len(word) > LONG else lattice, repeats))
+            ways += [self.decode(lattice, repeats), self.decode(gaps(lattice), repeats)]
         return {w for text in ways for w in text.split()}
 
     def joined(self, text: str) -> list:
@@ -215,41 +217,90 @@ def restored(text: str, words: Words):
     return len(tokens), out
 
 
+def single(word: str) -> str:
+    """Each run of a letter once: the same for all readings of a word that merge or keep repeated letters."""
+    return RUN.sub(r"\1", word)
+
+
 class Model:
     """Term counts and the logistic curve."""
 
     def __init__(self, counts, terms, n_toxic, n_clean, curve=None):
-        self.channel, self.words = Channel(counts), None
         self.counts, self.terms, self.n_toxic, self.n_clean, self.curve = counts, terms, n_toxic, n_clean, curve
+        self.name = uuid.uuid4().hex                                 # under which workers keep its memory
 
     def odds(self, toxic, clean):
         return math.log((toxic + 0.5) / (self.n_toxic + 1)) - math.log((clean + 0.5) / (self.n_clean + 1))
 
-    def features(self, text, label=None):
-        """Evidence and length of a text. With its label the text's own share in the term counts is taken out."""
-        if self.words is None:
-            self.words = Words(self.channel)
-        n, words = restored(text, self.words)
-        total, strong = 0.0, 0.0
-        for w in words:
-            best = 0.0
-            for key in term_keys(w):
-                if key in self.terms:
-                    t, c = self.terms[key]
-                    if label is not None:
-                        t, c = (t - 1, c) if label else (t, c - 1)
-                    if t >= LEAST_TEXTS - 1:
-                        best = max(best, self.odds(t, max(c, 0)))
-            total += best
-            strong = max(strong, best)
+    def strength(self, word, label=None):
+        """The strongest term of a word. With a text's label its own share in the counts is taken out."""
+        best = 0.0
+        for key in term_keys(word):
+            if key in self.terms:
+                t, c = self.terms[key]
+                if label is not None:
+                    t, c = (t - 1, c) if label else (t, c - 1)
+                if t >= LEAST_TEXTS - 1:
+                    best = max(best, self.odds(t, max(c, 0)))
+        return best
+
+    def features(self, n, strengths):
+        """Evidence and length of a text of n tokens."""
+        total, strong = sum(strengths), max(strengths, default=0.0)
         return [total, strong, total / (1 + n / 100), math.log1p(n)]
 
     def score(self, text):
+        reader = held(self.name, lambda: Reader(self))
         mean, scale, weights = self.curve
-        z = weights[0] + sum(w * (x - m) / s for w, x, m, s in zip(weights[1:], self.features(text), mean, scale))
+        z = weights[0] + sum(w * (x - m) / s for w, x, m, s in zip(weights[1:], self.features(*reader.evidence(text)), mean, scale))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+class Reader(dict):
+    """token -> the terms that its readings hit, as (word, strength) pairs; mostly none. A worker keeps one for all its tasks.
+
+    A word of letters can only hit a term that begins it when each run of a letter is written once, whatever readings merge; others need no decoding.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.channel = model, Channel(model.counts)
+        self.whole = {single(k[1:]) for k in model.terms if k[0] == "="}
+        self.heads = {single(k) for k in model.terms if k[0] != "="}
+        self.sizes = sorted({len(h) for h in self.heads})
+
+    def possible(self, word):
+        word = single(word) if DOUBLE.search(word) else word
+        return word in self.whole or any(word[:k] in self.heads for k in self.sizes)
+
+    def hits(self, words):
+        return tuple((w, s) for w in words if (s := self.model.strength(w)) > 0)
+
+    def __missing__(self, token):
+        pieces = PIECE.findall(token)
+        parts = pieces + ["".join(pieces)] if len(pieces) > 1 else pieces
+        if any(not p.isalpha() or self.possible(p) for p in parts):
+            found = self.hits(self.channel.restore(token))
+        else:
+            found = ()
+        if len(token) < 40:
+            if len(self) >= TOKENS:
+                self.clear()
+            self[token] = found
+        return found
+
+    def evidence(self, text):
+        """Number of tokens, and the strength of each distinct word that hits a term."""
+        low = text.lower()
+        tokens = low.split()
+        found = {}
+        for hits in map(self.__getitem__, set(tokens)):
+            if hits:
+                found.update(hits)
+        if SPACED.search(low):
+            found.update(self.hits(self.channel.joined(low)))
+        return len(tokens), list(found.values())
+
+
 def logistic(x, y, penalty=1.0, steps=50):
     """Weights of a ridge-penalised logistic regression by Newton's method; few columns."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -276,36 +327,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     counts = trigram_counts(docs)
     known = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
-    sample = cut_lineage(docs.select("doc_id", whole_text().alias("text")).join(known, "doc_id"), "train")
+    texts = docs.select("doc_id", whole_text().alias("text")).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    channel = Channel(counts)
+
+    def restore(batch):
+        words = Words(channel)
+        found = [restored(text, words) for text in batch.column(0).to_pylist()]
+        return {"toxic": batch.column(1), "n": [n for n, _ in found], "words": [sorted(w) for _, w in found]}
+
+    sample = cut_lineage(map_batches(texts.select("text", F.col("toxic").cast("int").alias("toxic")), restore, "toxic int, n long, words array<string>"), "train")
     totals = {r["toxic"] > 0: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = totals.get(True, 0), totals.get(False, 0)
-    channel = Channel(counts)
 
     def count_terms(batch):
-        words, found = Words(channel), {}
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for key in {k for w in restored(text, words)[1] for k in term_keys(w)}:
+        found = {}
+        for words, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key in {k for w in words for k in term_keys(w)}:
                 pair = found.setdefault(key, [0, 0])
                 pair[0 if toxic > 0 else 1] += 1
         return {"term": list(found), "t": [v[0] for v in found.values()], "c": [v[1] for v in found.values()]}
 
-    terms = map_batches(sample.select("text", "toxic"), count_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    terms = map_batches(sample.select("words", "toxic"), count_terms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # A term's log-odds less two standard errors.
     odds = F.expr(f"ln((t + 0.5) / {n_toxic + 1}) - ln((c + 0.5) / {n_clean + 1}) - 2 * sqrt(1 / (t + 0.5) + 1 / (c + 0.5))")
-    kept = (terms.withColumn("odds", odds).filter((F.col("t") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS))
-            .orderBy(F.desc(F.col("odds") * F.col("t")), "term").limit(MAX_TERMS).collect())
+    kept = terms.withColumn("odds", odds).filter((F.col("t") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS)).collect()
     model = Model(counts, {r["term"]: (r["t"], r["c"]) for r in kept}, n_toxic, n_clean)
 
     def evidence(batch):
-        return {"toxic": batch.column(1), "x": [model.features(t, y > 0) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]}
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+        return {"toxic": batch.column(0), "x": [model.features(n, [s for w in words if (s := model.strength(w, y > 0)) > 0]) for y, n, words in rows]}
 
-    rows = map_batches(sample.select("text", F.col("toxic").cast("int").alias("toxic")), evidence, "toxic int, x array<double>").collect()
+    rows = map_batches(sample, evidence, "toxic int, x array<double>").collect()
     if n_toxic and n_clean:
         model.curve = logistic(np.array([r["x"] for r in rows]), np.array([float(r["toxic"] > 0) for r in rows]))
     else:                                                            # nothing to tell apart: the base rate
         base = math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic + n_clean else -30.0
         model.curve = ([0.0] * 4, [1.0] * 4, [base, 0.0, 0.0, 0.0, 0.0])
-    model.words = None
     return model
 
 

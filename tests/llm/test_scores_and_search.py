@@ -203,3 +203,41 @@ def test_scores_without_labels_nulls_and_extra_columns(spark):
     assert kept.columns == df.columns and kept.count() == 4 and drop_toxic(df.limit(0), m).count() == 0
     import zlib
     assert {r["doc_id"]: r["h"] for r in df.filter("doc_id IS NOT NULL").select("doc_id", held_out().alias("h")).collect()} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 2)}
+
+
+def test_decoding_is_the_best_path_of_the_lattice():
+    """Viterbi against every way through small lattices."""
+    import itertools
+    import random
+    import numpy as np
+    from loadtide.llm.toxicity import EDGE, Channel, codes
+    rng = random.Random(6)
+    channel = Channel(np.random.default_rng(6).integers(0, 50, 27 ** 3))
+
+    def score(path):
+        x = y = EDGE
+        total = 0.0
+        for text, cost in path:
+            total += cost
+            for z in codes(text):
+                total += channel.logp[x][y][z]
+                x, y = y, z
+        return total + channel.logp[x][y][EDGE]
+
+    for _ in range(300):
+        lattice = [[("".join(rng.choice("abcdez ") for _ in range(rng.randrange(3))), -rng.random()) for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 6))]
+        best = max(score(p) for p in itertools.product(*lattice))
+        text = channel.decode(lattice)
+        assert any(abs(score(p) - best) < 1e-9 and "".join(t for t, _ in p) == text for p in itertools.product(*lattice))
+
+
+def test_the_memory_of_hits_leaves_none_out(model):
+    """A reader's shortcut for words of letters finds the same terms as restoring every token."""
+    import random
+    from loadtide.llm.toxicity import Reader
+    m, rng = model[1], random.Random(9)
+    reader, some = Reader(m), sorted(k.strip("=") for k in m.terms) + ["house", "erand"]
+    for _ in range(3000):
+        w = "".join(c * rng.choice([1, 1, 1, 2, 3]) for c in rng.choice(some)) + rng.choice(["", "s", "ing", "!", ",", "-", "ss"]) + rng.choice(["", rng.choice(some)])
+        w = w.replace("o", rng.choice(["o", "o", "0"])).lower()
+        assert sorted(reader[w]) == sorted(reader.hits(reader.channel.restore(w))), w
