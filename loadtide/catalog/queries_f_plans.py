@@ -649,6 +649,12 @@ def st2(spark, folder):
     return live.run_available(live.stream_dedupe(s), "dedupe").select("region", "ts")
 
 
+@query("ST2b_streaming_keep_last", """SELECT region, ts, y, seq FROM minutely_last WHERE epoch_us(ts) <= (SELECT max(epoch_us(ts)) - 3600000000 FROM minutely)""", nums="y")
+def st2b(spark, folder):
+    s = _stream(spark, folder).select("region", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"), "y", "seq")
+    return live.run_available(live.stream_keep_last(s), "keep-last")
+
+
 @query("ST3_streaming_forecast_error", """SELECT r.region, date_trunc('day', r.ts) AS day, count(*) AS readings, avg(abs(f.forecast - r.y)) AS MAE, avg(f.forecast - r.y) AS Bias FROM readings r JOIN naive_one f ON f.model = 'Naive336' AND f.region = r.region
     AND f.hh = epoch_us(r.ts) // 1800000000 AND f.forecast IS NOT NULL WHERE date_trunc('day', r.ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM readings) GROUP BY 1, 2""", nums="MAE Bias")
 def st3(spark, folder):

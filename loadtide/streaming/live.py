@@ -6,10 +6,11 @@ from loadtide.functions.clock import slot
 from loadtide.session import scratch_path
 
 
-def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Stream of the files in ``folder`` matching ``name``, with the table's own schema."""
+def file_stream(spark: SparkSession, folder: str, name: str, files_a_batch: int | None = None) -> DataFrame:
+    """Stream of the files in ``folder`` matching ``name``, with the table's own schema, oldest first."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(folder)
 
 
 def _event_time(ts="ts"):
@@ -32,6 +33,17 @@ def stream_dedupe(readings: DataFrame, delay: str = "1 hour", keys=("region",))
             .dropDuplicatesWithinWatermark([*keys, "_t"]).drop("_t"))
 
 
+def stream_keep_last(readings: DataFrame, delay: str = "1 hour", keys=("region",), order: str = "seq") -> DataFrame:
+    """Last copy by ``order`` of each (series, timestamp), as the batch rule has it, emitted once when the watermark has passed the timestamp.
+
+    State holds one row per key and timestamp within ``delay``. A copy that comes later than that is dropped, whatever its order.
+    """
+    rest = [c for c in readings.columns if c not in (*keys, "ts")]
+    timed = readings.withColumn("_t", _event_time()).withWatermark("_t", delay)
+    last = timed.groupBy(*keys, "_t").agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+    return last.select(*keys, F.col("_t").cast("timestamp_ntz").alias("ts"), *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
 def stream_forecast_error(readings: DataFrame, frozen: DataFrame, delay: str = "1 hour", keys=("region",)) -> DataFrame:
     """Stream against a static forecast table: daily MAE and bias per series."""
     rows = readings.withColumns({"_t": _event_time(), "hh": slot("ts")}).withWatermark("_t", delay)
