@@ -94,8 +94,15 @@ def postfix(tokens):
     return done
 
 
+class Either(frozenset):
+    """Alternatives as one part of a way to comply; the way takes any of them."""
+
+
 def choices(rpn):
-    """Ways to comply: a set of frozensets of license names, by OR (either), AND (both) and WITH (an exception to a license)."""
+    """Ways to comply: a set of frozensets of license names, by OR (either), AND (both) and WITH (an exception to a license).
+
+    AND of several ways with several ways stays factored, as two Either parts of one way: written out, n such factors would be 2 ** n ways.
+    """
     stack = []
     for t in rpn:
         if t not in BINDS:
@@ -105,12 +112,32 @@ def choices(rpn):
         if t == "or":
             stack.append(a | b)
         elif t == "and":
-            stack.append({x | y for x in a for y in b} if len(a) * len(b) <= 64 else {frozenset().union(*a, *b)})
+            whole = min(len(a), len(b)) > 1 or any(isinstance(part, Either) for way in a | b for part in way)
+            stack.append({factored(a) | factored(b)} if whole else {x | y for x in a for y in b})
         else:
-            stack.append({frozenset(f"{n} with {m}" for n in x for m in y) for x in a for y in b})
+            stack.append({frozenset(f"{written(n)} with {written(m)}" for n in x for m in y) for x in a for y in b})
     return stack.pop()
 
 
+def factored(ways):
+    """Several ways as one."""
+    return next(iter(ways)) if len(ways) == 1 else frozenset([Either(ways)])
+
+
+def written(part):
+    """A name as it is, alternatives as ``(a + b | c)``."""
+    return "(" + " | ".join(sorted(way_text(w) for w in part)) + ")" if isinstance(part, Either) else part
+
+
+def way_text(way):
+    return " + ".join(sorted(map(written, way)))
+
+
+def names_of(ways):
+    """All license names in ways to comply."""
+    return {n for way in ways for part in way for n in (names_of(part) if isinstance(part, Either) else [part])}
+
+
 class Scanner:
     """``scan(text)`` gives n_words, base starts, {label: how sure}, {expression as written: choices}."""
 
@@ -159,8 +186,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         out = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions")}
         for text in batch.column(1).to_pylist():
             n, base, labels, tagged = scanner.scan(text)
-            names = {name.replace(",", " ") for ways in tagged.values() for way in ways for name in way}
-            ways = sorted({" + ".join(sorted(way)) for some in tagged.values() for way in some})
+            names = {name.replace(",", " ") for ways in tagged.values() for name in names_of(ways)}
+            ways = sorted({way_text(way) for some in tagged.values() for way in some})
             starts = [s for s, _ in base]
             for k, v in (("n_words", n), ("n_base", len(base)), ("first_word", min(starts, default=None)), ("last_word", max(starts, default=None)),
                          ("base_labels", ",".join(sorted({x for _, x in base}))), ("labels", ",".join(sorted(names | set(labels)))),

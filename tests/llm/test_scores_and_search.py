@@ -241,3 +241,13 @@ def test_the_memory_of_hits_leaves_none_out(model):
         w = "".join(c * rng.choice([1, 1, 1, 2, 3]) for c in rng.choice(some)) + rng.choice(["", "s", "ing", "!", ",", "-", "ss"]) + rng.choice(["", rng.choice(some)])
         w = w.replace("o", rng.choice(["o", "o", "0"])).lower()
         assert sorted(reader[w]) == sorted(reader.hits(reader.channel.restore(w))), w
+
+
+def test_conjunctions_of_alternatives_stay_whole(spark):
+    """Twelve factors of two names: all names are labels, and nothing is written out."""
+    text = "SPDX-License-Identifier: " + " AND ".join(f"(a{i} OR b{i})" for i in range(12))
+    row = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["labels"].split(",") == sorted(f"{x}{i}" for i in range(12) for x in "ab")
+    assert all(f"(a{i} | b{i})" in row["expressions"] for i in range(12)) and len(row["expressions"]) < 600
+    from loadtide.llm.licenses import way_text
+    assert [way_text(w) for w in choices(postfix("( a or b ) and ( c or d ) and e".split()))] == ["(a | b) + (c | d) + e"]
