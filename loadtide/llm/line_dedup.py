@@ -49,10 +49,11 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """``docs`` with boilerplate lines taken out of ``text``; with ``counted`` also n_lines and n_dropped.
 
     Every row and column stays, also a text that becomes empty. The other lines keep their order and form. Empty lines are never
-    boilerplate. A row without a host is left as it is, and so is a null text (no lines).
+    boilerplate. A row without a host is left as it is, and so is a null text (no lines). Repeated rows are one page. ``least_pages`` is the
+    support that a line needs: on a host with fewer than ``least_pages / ratio`` distinct pages it, and not the ratio, decides; without it every line of a host of one page would go.
     """
     salt, bad_host, bad = fresh(docs, "_salt"), fresh(docs, "_host"), fresh(docs, "_bad")
-    lists = cut_lineage(boilerplate(docs, host, text, ratio, least_pages).coalesce(1), "boilerplate")
+    lists = cut_lineage(boilerplate(docs, host, text, ratio, least_pages), "boilerplate")
     lists = lists.select(F.col("host").alias(bad_host), F.col("lines").alias(bad), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     salted = docs.withColumn(salt, F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
     joined = salted.join(lists, (salted[host].cast("string") == lists[bad_host]) & (salted[salt] == lists[salt]), "left").drop(lists[salt])

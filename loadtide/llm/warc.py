@@ -82,6 +82,7 @@ def decoded(headers: dict, payload: bytes) -> str:
             payload = zlib.decompress(payload)
     except zlib.error:
         pass                                                         # a broken coding: the bytes as they are
+    # Twice the 1024 bytes in which HTML lets a page declare its encoding; readers look no further.
     m = CHARSET.search(headers.get("content-type", "").encode("latin-1", "replace")) or CHARSET.search(payload[:2048])
     try:
         return payload.decode(m[1].decode() if m else "utf-8", "replace")
