@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadtide.session import cut_lineage, scratch_path  # noqa: F401
+from loadtide.session import cut_lineage, forget, scratch_path  # noqa: F401
 
 #: Rows in one Arrow batch. Texts are long, so a batch stays a few megabytes.
 BATCH_ROWS = 256

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loadtide.llm.common import cut_lineage, fresh, map_batches, ship, whole_text
+from loadtide.llm.common import cut_lineage, forget, fresh, map_batches, ship, whole_text
 from loadtide.llm.shingles import Shingler, mixed
 
 #: Signature values in a band, and bands. A pair at the threshold t is missed with probability (1 - t^4)^24:
@@ -96,10 +96,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
                                             .alias("e")).select("e.*").filter("a <> b").distinct()
-        now = cut_lineage(small, label)
+        before, now = now, cut_lineage(small, label)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if seen is not None:                                         # the first one is the caller's
+            forget(before)
         if state == seen:
-            return now.selectExpr("a AS node", "b AS root")
+            out = now.selectExpr("a AS node", "b AS root")
+            out.scratch = now.scratch
+            return out
         seen = state
 
 
@@ -129,9 +133,13 @@ def node_links(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> D
     pairs = members.join(centre, "band").filter("c <> node").selectExpr("c", "nc", "node AS x", "n AS nx")
     edges = cut_lineage(_links(pairs, sets, percent), "edges")
     more = nodes.select("node", "bands").join(sets.select("node", "parts").dropDuplicates(["node"]), "node")
+    stale = [members]                                                # tables that the next round's make useless
     for round_ in itertools.count():                                 # each round takes centres out of every open bucket
-        members = cut_lineage(_open_members(members, components(edges), sets, percent), "open")
+        roots = components(edges)
+        members = _open_members(members, roots, sets, percent)
+        forget(roots, *stale, shuffles=True)
         if members.isEmpty():
+            forget(members, sets)
             return edges
         rank = F.row_number().over(W.partitionBy("band").orderBy("node"))
         centre = (members.filter("asks").withColumn("_r", rank).filter(F.col("_r") <= CENTRES[min(round_, len(CENTRES) - 1)])
@@ -143,8 +151,10 @@ def node_links(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> D
         pairs = (members.join(more, "node").join(centre, "band")
                  .filter(f"root <> root_c AND {_may_link('least(reach, reach_c)', 'nc', 'n', percent)} AND {first} = band AND {_may_link(common, 'nc', 'n', percent)}")
                  .selectExpr("least(c, node) AS c", "IF(c < node, nc, n) AS nc", "greatest(c, node) AS x", "IF(c < node, n, nc) AS nx"))
-        edges = cut_lineage(edges.unionByName(_links(pairs, sets, percent)).distinct(), "edges")
+        known, edges = edges, cut_lineage(edges.unionByName(_links(pairs, sets, percent)).distinct(), "edges")
+        stale = [members, centre]
         members = members.join(centre.select("band", F.col("c").alias("node")), ["band", "node"], "left_anti").select("band", "node", "n")
+        forget(known)
 
 
 def _may_link(reach: str, n: str, other: str, percent: int) -> str:
@@ -153,7 +163,7 @@ def _may_link(reach: str, n: str, other: str, percent: int) -> str:
 
 
 def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """band, node, n, root, reach, asks for buckets in which a link between two components may be left.
+    """band, node, n, root, reach, asks, written, for buckets in which a link between two components may be left.
 
     reach is how many of a node's shingles occur in any other component. Members whose reach can't make a link in the bucket are
     left out. asks: the node is outside the bucket's largest component, so it is for it to meet the others.
@@ -161,7 +171,7 @@ def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent
     rooted = members.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut_lineage(_several(rooted, "root"), "rooted")
     everyone = rooted.select("node", "root").distinct()
-    items = cut_lineage(sets.join(everyone, "node").select("node", "root", "items"), "items")
+    items = sets.join(everyone, "node").select("node", "root", "items")
     shared = (items.select("root", F.explode("items").alias("item")).groupBy("item")
               .agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("item"))
     reach = (items.select("node", F.explode("items").alias("item")).join(shared, "item", "left_semi").groupBy("node").agg(F.count("*").alias("reach")))
@@ -169,7 +179,9 @@ def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent
     largest = sized.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.min("least").alias("least"))
     state = rooted.join(largest, "band").join(reach, "node").filter(_may_link("reach", "n", "greatest(least, reach)", percent))
     state = state.withColumn("asks", F.col("root") != F.col("largest")).select("band", "node", "n", "root", "reach", "asks")
-    return _several(state, "root")
+    out = cut_lineage(_several(state, "root"), "open")
+    forget(rooted)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
@@ -188,11 +200,13 @@ def _classified(docs: DataFrame, percent: int, words: int) -> DataFrame:
     nodes = (signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node", "node2", "n_shingles")
              .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     nodes = cut_lineage(nodes, "nodes")
-    roots = components(node_links(nodes, docs.withColumn("doc_id", F.col("doc_id").cast("long")), percent, words))
+    edges = node_links(nodes, docs.withColumn("doc_id", F.col("doc_id").cast("long")), percent, words)
+    roots = components(edges)
     rooted = (nodes.select("node", "node2", "n_shingles", "doc_id").join(roots, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = cut_lineage(rooted.join(heads, "root").select("node", "node2", "n_shingles", "component_id"), "classes")
+    forget(roots, edges, nodes)
     return (signed.select("doc_id", "text_key", "node", "node2", "n_shingles").join(classes, ["node", "node2", "n_shingles"], "left")
             .select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))
