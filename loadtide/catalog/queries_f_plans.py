@@ -404,7 +404,7 @@ def _arx_sql():
         matrix = "[" + ", ".join("[" + ", ".join(f"sum({a} * {b})" for b in c) + "]" for a in c[:-1]) + "]"
         ctes.append(f"rows_{model} AS (SELECT region, origin_day, y, {', '.join(terms)}, {means} FROM z, o WHERE d < origin_day AND {known} WINDOW g AS (PARTITION BY region, origin_day))")
         ctes.append(f"""solve_{model} AS (SELECT region, origin_day, count(*) AS n, {matrix} AS a, sum({c[-1]} * {c[-1]}) AS yy, [{', '.join(f'sum({x} * {c[-1]})' for x in c[:-1])}] AS b,
-            [{', '.join(f'avg({t})' for t in terms)}] AS mx, avg(y) AS my, 1 AS k FROM rows_{model} GROUP BY region, origin_day UNION ALL
+            [{', '.join(f'avg({t})' for t in terms)}] AS mx, avg(y) AS my, 1 AS k FROM rows_{model} GROUP BY region, origin_day HAVING count(*) > {p} UNION ALL
           SELECT region, origin_day, n, [CASE WHEN i = k THEN [v / a[k][k] FOR v IN a[k]] ELSE [a[i][j] - a[i][k] * a[k][j] / a[k][k] FOR j IN range(1, {p + 1})] END FOR i IN range(1, {p})], yy, b, mx, my, k + 1
           FROM solve_{model} WHERE k < {p})""")
         ctes.append(f"""done_{model} AS (SELECT region, origin_day, n, [r[{p}] FOR r IN a] AS s, (yy - list_sum([a[i][{p}] * b[i] FOR i IN range(1, {p})])) / n AS mse, yy, mx, my FROM solve_{model} WHERE k = {p})""")
