@@ -453,6 +453,7 @@ def m20(spark, folder):
     past = F.when(F.col("hh") < F.col("origin_hh"), F.col("y"))
     ahead = F.when(F.col("hh") >= F.col("origin_hh"), F.col("y"))
     s = r.groupBy("region").agg((F.max(past) - F.min(past)).alias("train_range"), (F.max(ahead) - F.min(ahead)).alias("horizon_range"), F.stddev_samp(past).alias("train_sd"))
+    # The three verdicts.
     return s.withColumn("verdict", F.when(F.col("train_sd") <= 1e-8, "no training variation")
                         .when(F.col("horizon_range") > 1.5 * F.greatest(F.col("train_range"), F.lit(1e-9)), "horizon outruns training").otherwise("keep"))
 

@@ -12,20 +12,22 @@ def is_unsafe(feature="feature") -> Column:
     return F.lower(F.col(feature)).rlike("|".join(UNSAFE_PATTERNS))
 
 
+# Usage phrases and weather rules that readers of the feature contract look for.
+USE = {"recursive": "Yes, recursive", "known": "Yes", "forecast": "Forecast then climatology", "rebuilt": "Rebuild/fallback", "benchmark": "Benchmark only", "none": "No"}
+WEATHER_RULE = {"input": "FORECAST_7DAY > CLIMATOLOGY_FALLBACK", "context": "origin-safe reconstruction/climatology", "none": "none"}
+
+
 def four_month_use(feature="feature") -> Column:
     """How a predictor may be used over a four-month recursive horizon."""
     f = F.col(feature)
-    return (F.when(f.isin([*LAGS, *DEMAND]), "Yes, recursive")
-            .when(f.isin(CALENDAR + HOLIDAY + TREND + PROFILE + CLIMATE), "Yes")
-            .when(f.isin(WEATHER_INPUT), "Forecast then climatology")
-            .when(f.isin(WEATHER_CONTEXT), "Rebuild/fallback")
-            .when(f.isin("aemo_forecast_MW", "aemo_actual_MW"), "Benchmark only").otherwise("No"))
+    return (F.when(f.isin([*LAGS, *DEMAND]), USE["recursive"]).when(f.isin(CALENDAR + HOLIDAY + TREND + PROFILE + CLIMATE), USE["known"])
+            .when(f.isin(WEATHER_INPUT), USE["forecast"]).when(f.isin(WEATHER_CONTEXT), USE["rebuilt"])
+            .when(f.isin("aemo_forecast_MW", "aemo_actual_MW"), USE["benchmark"]).otherwise(USE["none"]))
 
 
 def weather_source_rule(feature="feature") -> Column:
     f = F.col(feature)
-    return (F.when(f.isin(WEATHER_INPUT), "FORECAST_7DAY > CLIMATOLOGY_FALLBACK")
-            .when(f.isin(WEATHER_CONTEXT), "origin-safe reconstruction/climatology").otherwise("none"))
+    return F.when(f.isin(WEATHER_INPUT), WEATHER_RULE["input"]).when(f.isin(WEATHER_CONTEXT), WEATHER_RULE["context"]).otherwise(WEATHER_RULE["none"])
 
 
 def filled_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -105,6 +105,7 @@ def learning_curves(history: DataFrame, keys: list[str], epoch_limit: int) -> Da
     limit = (F.col("best_epoch") == F.col("epochs_run")) & (F.col("epochs_run") == epoch_limit)
     worse = ((F.col("final_val_loss") > 1.10 * F.col("min_val_loss"))
              & (F.col("final_loss") < F.col("train_loss_at_best")))
+    # The three verdict words.
     return out.drop("_best").withColumns({
         "generalisation_gap": F.col("min_val_loss") - F.col("train_loss_at_best"),
         "verdict": F.when(limit, "EPOCH_LIMIT_REACHED").when(worse, "OVERFITTING_SIGNAL").otherwise("CONVERGED")})
