@@ -20,6 +20,8 @@ from loadtide.llm.common import BATCH_ROWS, ship, to_arrow, whole_text
 
 #: Characters of a k-gram and hashes of a window: shared passages of 47 characters are sure to be seen.
 GRAM, WINDOW = 16, 32
+#: Bytes of text in a range of documents, about: a task reads one, whatever the size of the input.
+RANGE_BYTES = 16 << 20
 
 
 def _mix(h):
@@ -112,8 +114,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _ranges(docs: DataFrame):
     """part, doc_id, text, own (and the number of partitions): documents by ranges of doc_id, and the first of the range after each."""
     spark = docs.sparkSession
-    parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 4 * parts))).first()[0]
     # Null ids come first. A range holds the ids from its cut on; the cast to double keeps their order.
     edges = sorted({float(c) for c in cuts or []}) or [0.0]
     finder = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_id", outputCol="_part", handleInvalid="keep")
