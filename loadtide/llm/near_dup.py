@@ -137,7 +137,7 @@ def node_links(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> D
     for round_ in itertools.count():                                 # each round takes centres out of every open bucket
         roots = components(edges)
         members = _open_members(members, roots, sets, percent)
-        forget(roots, *stale, shuffles=True)
+        forget(roots, *stale, shuffles=round_ % 4 == 3)
         if members.isEmpty():
             forget(members, sets)
             return edges
@@ -171,7 +171,7 @@ def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent
     rooted = members.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut_lineage(_several(rooted, "root"), "rooted")
     everyone = rooted.select("node", "root").distinct()
-    items = sets.join(everyone, "node").select("node", "root", "items")
+    items = cut_lineage(sets.join(everyone, "node").select("node", "root", "items"), "items")
     shared = (items.select("root", F.explode("items").alias("item")).groupBy("item")
               .agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("item"))
     reach = (items.select("node", F.explode("items").alias("item")).join(shared, "item", "left_semi").groupBy("node").agg(F.count("*").alias("reach")))
@@ -180,7 +180,7 @@ def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent
     state = rooted.join(largest, "band").join(reach, "node").filter(_may_link("reach", "n", "greatest(least, reach)", percent))
     state = state.withColumn("asks", F.col("root") != F.col("largest")).select("band", "node", "n", "root", "reach", "asks")
     out = cut_lineage(_several(state, "root"), "open")
-    forget(rooted)
+    forget(rooted, items)
     return out
 
 
