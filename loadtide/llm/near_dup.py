@@ -24,7 +24,7 @@ from loadtide.llm.shingles import Shingler, mixed
 #: 2e-8 at 0.85, 3e-6 at 0.8.
 BAND_VALUES, BANDS = 4, 24
 #: Centres of a bucket, by round after the first; the last value goes on.
-CENTRES = (8, 64, 1024)
+CENTRES = (64, 1024)
 #: Parts of the hash range in which the items of two sets are counted: the smaller counts bound what they share.
 PARTS = 256
 
@@ -86,25 +86,25 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node -> root (smallest node of its component), for nodes other than roots, by alternating stars.
 
     ``edges`` has columns a, b. A large star hangs each node's larger neighbours on its smallest one, a small
-    star does it with the smaller ones. Each pass is written to the shared folder; the loop ends when nothing changes.
+    star does it with the smaller ones. Each pass is written to the shared folder; the loop ends when every node hangs on one root.
     """
-    now, seen = edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), None
+    now, first = edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b"), True
     while True:
         both = now.unionByName(now.selectExpr("b AS a", "a AS b"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").selectExpr("b AS a", "m AS b").distinct()
+        large = both.join(low, "a").filter("b > a").selectExpr("b AS a", "m AS b").repartition("a")  # dealt once for minimum and join
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
                                             .alias("e")).select("e.*").filter("a <> b").distinct()
         before, now = now, cut_lineage(small, label)
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen is not None:                                         # the first one is the caller's
+        if not first:                                                # the first one is the caller's
             forget(before)
-        if state == seen:
+        first = False
+        ends = now.selectExpr("a AS node", "1 AS below", "0 AS above").unionByName(now.selectExpr("b AS node", "0 AS below", "1 AS above"))
+        if not ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).filter("below > 1 OR below = 1 AND above = 1").count():
             out = now.selectExpr("a AS node", "b AS root")
             out.scratch = now.scratch
             return out
-        seen = state
 
 
 def _several(members: DataFrame, key: str) -> DataFrame:
@@ -114,47 +114,55 @@ def _several(members: DataFrame, key: str) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges a, b of the pairs c, nc, x, nx whose whole sets are alike enough."""
-    asked = pairs.filter(f"100 * least(nc, nx) >= {percent} * greatest(nc, nx)").select("c", "nc", "x", "nx").distinct()
+    """Those of the pairs c, nc, x, nx whose whole sets are alike enough."""
+    asked = pairs.filter(f"100 * least(nc, nx) >= {percent} * greatest(nc, nx)")
     met = (asked.join(sets.select(F.col("node").alias("x"), F.col("items").alias("ix")), "x")
            .join(sets.select(F.col("node").alias("c"), F.col("items").alias("ic")), "c")
            .withColumn("common", F.size(F.array_intersect("ix", "ic"))))
-    return met.filter(f"100 * common >= {percent} * (nc + nx - common)").selectExpr("x AS a", "c AS b").distinct()
+    return met.filter(f"100 * common >= {percent} * (nc + nx - common)")
 
 
-def node_links(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
-    """Edges a, b between nodes with 100 * intersection >= percent * union, enough of them to span every component."""
-    members = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"))
+def node_roots(nodes: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+    """node -> root (smallest node of its component), for nodes other than roots, by links with 100 * intersection >= percent * union."""
+    members = nodes.select(F.explode("bands").alias("band"), "node", F.col("n_shingles").alias("n"), F.col("node").alias("root"))
     members = cut_lineage(_several(members, "node"), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("doc_id").distinct()
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"), words).join(members.select("node").distinct(), "node", "left_semi")
-    sets = cut_lineage(sets, "sets")
+    wanted = nodes.join(members.select("node"), "node", "left_semi").select("doc_id")
+    sets = cut_lineage(full_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
     centre = members.groupBy("band").agg(F.min_by(F.struct("node", "n"), "node").alias("c")).selectExpr("band", "c.node AS c", "c.n AS nc")
     pairs = members.join(centre, "band").filter("c <> node").selectExpr("c", "nc", "node AS x", "n AS nx")
-    edges = cut_lineage(_links(pairs, sets, percent), "edges")
+    edges = cut_lineage(_links(pairs.repartition("x").distinct(), sets, percent).selectExpr("x AS a", "c AS b"), "edges")
     more = nodes.select("node", "bands").join(sets.select("node", "parts").dropDuplicates(["node"]), "node")
-    stale = [members]                                                # tables that the next round's make useless
+    known, stale = None, [members]                                   # tables that the next round's make useless
     for round_ in itertools.count():                                 # each round takes centres out of every open bucket
-        roots = components(edges)
-        members = _open_members(members, roots, sets, percent)
-        forget(roots, *stale, shuffles=round_ % 4 == 3)
+        moved = components(edges)                                    # after the first round, components of former roots
+        known, before = moved if known is None else _followed(known, moved), known
+        members = _open_members(members, moved, sets, percent)
+        forget(edges, *stale, *([before, moved] if before is not None else []), shuffles=round_ % 4 == 3)
         if members.isEmpty():
             forget(members, sets)
-            return edges
-        rank = F.row_number().over(W.partitionBy("band").orderBy("node"))
+            return known
+        band = W.partitionBy("band")
+        rank = F.row_number().over(band.orderBy("node"))
         centre = (members.filter("asks").withColumn("_r", rank).filter(F.col("_r") <= CENTRES[min(round_, len(CENTRES) - 1)])
-                  .selectExpr("band", "node AS c", "n AS nc", "root AS root_c", "reach AS reach_c").join(more.selectExpr("node AS c", "bands AS bands_c", "parts AS parts_c"), "c"))
+                  .withColumn("last", F.max("node").over(band)).selectExpr("band", "last", "node AS c", "n AS nc", "root AS root_c", "reach AS reach_c")
+                  .join(more.selectExpr("node AS c", "bands AS bands_c", "parts AS parts_c"), "c"))
         centre = cut_lineage(centre, "centres")
-        # Two members of several buckets meet in the first of these only.
-        first = "element_at(filter(zip_with(bands_c, bands, (p, q) -> IF(p = q, p, NULL)), z -> z IS NOT NULL), 1)"
+        # Two members of several buckets meet in the first of these only, and two centres once.
+        first = "coalesce(" + ", ".join(f"IF(get(bands_c, {i}) = get(bands, {i}), get(bands, {i}), NULL)" for i in range(BANDS)) + ")"
         common = "aggregate(zip_with(parts_c, parts, (p, q) -> least(p, q)), 0, (a, x) -> a + x)"
         pairs = (members.join(more, "node").join(centre, "band")
-                 .filter(f"root <> root_c AND {_may_link('least(reach, reach_c)', 'nc', 'n', percent)} AND {first} = band AND {_may_link(common, 'nc', 'n', percent)}")
-                 .selectExpr("least(c, node) AS c", "IF(c < node, nc, n) AS nc", "greatest(c, node) AS x", "IF(c < node, n, nc) AS nx"))
-        known, edges = edges, cut_lineage(edges.unionByName(_links(pairs, sets, percent)).distinct(), "edges")
+                 .filter(f"root <> root_c AND NOT (asks AND node <= last AND node < c) AND {_may_link('least(reach, reach_c)', 'nc', 'n', percent)} "
+                         f"AND {first} = band AND {_may_link(common, 'nc', 'n', percent)}")
+                 .selectExpr("c", "nc", "node AS x", "n AS nx", "root AS a", "root_c AS b"))
+        edges = cut_lineage(_links(pairs, sets, percent).select("a", "b").distinct(), "edges")
         stale = [members, centre]
-        members = members.join(centre.select("band", F.col("c").alias("node")), ["band", "node"], "left_anti").select("band", "node", "n")
-        forget(known)
+        members = members.join(centre.select("band", F.col("c").alias("node")), ["band", "node"], "left_anti").select("band", "node", "n", "root")
+
+
+def _followed(roots: DataFrame, moved: DataFrame) -> DataFrame:
+    """node -> root after some roots got roots of their own."""
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return cut_lineage(roots.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root")).unionByName(moved), "roots")
 
 
 def _may_link(reach: str, n: str, other: str, percent: int) -> str:
@@ -162,22 +170,24 @@ def _may_link(reach: str, n: str, other: str, percent: int) -> str:
     return f"(100 + {percent}) * {reach} >= {percent} * ({n} + {other})"
 
 
-def _open_members(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_members(members: DataFrame, moved: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """band, node, n, root, reach, asks, written, for buckets in which a link between two components may be left.
 
-    reach is how many of a node's shingles occur in any other component. Members whose reach can't make a link in the bucket are
-    left out. asks: the node is outside the bucket's largest component, so it is for it to meet the others.
+    ``members`` has the former roots, ``moved`` (node -> root) what became of them. reach is how many of a node's shingles occur in any
+    other component. Members whose reach can't make a link in the bucket are left out. asks: the node is outside the bucket's largest
+    component, so it is for it to meet the others.
     """
-    rooted = members.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    to = moved.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    rooted = members.join(to, "root", "left").select("band", "node", "n", F.coalesce("_to", "root").alias("root"))
     rooted = cut_lineage(_several(rooted, "root"), "rooted")
-    everyone = rooted.select("node", "root").distinct()
+    everyone = rooted.groupBy("node").agg(F.min("root").alias("root"))  # a node has one root
     items = cut_lineage(sets.join(everyone, "node").select("node", "root", "items"), "items")
     shared = (items.select("root", F.explode("items").alias("item")).groupBy("item")
               .agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("item"))
     reach = (items.select("node", F.explode("items").alias("item")).join(shared, "item", "left_semi").groupBy("node").agg(F.count("*").alias("reach")))
     sized = rooted.groupBy("band", "root").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     largest = sized.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("largest"), F.min("least").alias("least"))
-    state = rooted.join(largest, "band").join(reach, "node").filter(_may_link("reach", "n", "greatest(least, reach)", percent))
+    state = rooted.join(reach, "node").join(largest, "band").filter(_may_link("reach", "n", "greatest(least, reach)", percent))
     state = state.withColumn("asks", F.col("root") != F.col("largest")).select("band", "node", "n", "root", "reach", "asks")
     out = cut_lineage(_several(state, "root"), "open")
     forget(rooted, items)
@@ -200,13 +210,12 @@ def _classified(docs: DataFrame, percent: int, words: int) -> DataFrame:
     nodes = (signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("node", "node2", "n_shingles")
              .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     nodes = cut_lineage(nodes, "nodes")
-    edges = node_links(nodes, docs.withColumn("doc_id", F.col("doc_id").cast("long")), percent, words)
-    roots = components(edges)
+    roots = node_roots(nodes, docs.withColumn("doc_id", F.col("doc_id").cast("long")), percent, words)
     rooted = (nodes.select("node", "node2", "n_shingles", "doc_id").join(roots, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
     heads = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = cut_lineage(rooted.join(heads, "root").select("node", "node2", "n_shingles", "component_id"), "classes")
-    forget(roots, edges, nodes)
+    forget(roots, nodes)
     return (signed.select("doc_id", "text_key", "node", "node2", "n_shingles").join(classes, ["node", "node2", "n_shingles"], "left")
             .select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id") == F.col("component_id")))

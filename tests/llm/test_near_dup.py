@@ -3,7 +3,8 @@ import random
 import pytest
 from helpers import near_classes, shingle_set
 
-from loadtide.llm.near_dup import drop_near_duplicates, near_duplicates
+from loadtide.llm import near_dup
+from loadtide.llm.near_dup import components, drop_near_duplicates, near_duplicates
 from loadtide.llm.shingles import BLOCK, Shingler
 
 
@@ -66,3 +67,28 @@ def test_a_doc_id_with_two_texts_loses_only_the_copy(spark):
     rows = [(5, "one two three four"), (5, "x y z w"), (2, "x y z w"), (7, "One two three four"), (8, None), (8, "X y z w")]
     kept = drop_near_duplicates(frame(spark, rows), 85, 3).collect()
     assert sorted((r["doc_id"], r["text"]) for r in kept) == [(2, "x y z w"), (5, "one two three four"), (8, None)]
+
+
+def test_components_end_with_the_pass_that_leaves_stars(spark, monkeypatch):
+    passes, write = [], near_dup.cut_lineage
+    monkeypatch.setattr(near_dup, "cut_lineage", lambda df, label="cut", by=(): passes.append(label) or write(df, label, by))
+    star = [(i, 1) for i in range(2, 40)] + [(1, 39), (50, 50)]
+    got = components(spark.createDataFrame(star, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(i, 1) for i in range(2, 40)] and len(passes) == 1
+    rng = random.Random(3)
+    edges = [(rng.randrange(90), rng.randrange(90)) for _ in range(60)] + [(i, i + 1) for i in range(100, 130)]
+    root = {}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root.get(a, a), root.get(b, b))
+    got = components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted((n, r) for n, r in root.items() if n != r)
+
+
+def test_links_found_over_several_rounds(spark, monkeypatch):
+    """Few centres a round: components of one round are joined in later ones."""
+    monkeypatch.setattr(near_dup, "CENTRES", (1, 3))
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    rows = list(enumerate([edits(rng, base, rng.choice([1, 2, 3, 4, 5])) for _ in range(60)], 1))
+    assert result(near_duplicates(frame(spark, rows + rows[:5]), 85, 3)) == near_classes(rows, 85, 3)
